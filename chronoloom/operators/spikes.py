@@ -1 +1,188 @@
-def implausible(*a): raise NotImplementedError
+"""Implausible readings: out of range, spikes, and stuck values, judged against the signal's own behaviour.
+
+Chunks are cut into blocks of ``BLOCK`` chunks per signal with ``HALO`` chunks of context on either side, so a signal
+with a third of all rows is many tasks and every task is bounded. Within a block, robust principal components of the
+profile matrix (rows are successive profiles of one period) separate low-rank normal behaviour from a sparse part;
+readings with a sparse part are candidates, and an exact check of each candidate against the spread of the whole block
+and of its surroundings follows. Ranges and constant runs are tested by themselves.
+"""
+
+from __future__ import annotations
+
+import warnings
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BLOCK, HALO = 64, 16  #: chunks
+PROFILE = 32  #: readings of a profile where the signal shows no period of its own
+OVERALL, AROUND = 3.05, 2.8  #: times the high quantile of the departures, of the block and around a reading
+FOLLOW = 2.0  #: the same for a reading next to a spike
+LONGEST_SPIKE = 6  #: readings
+STUCK_TIMES, STUCK_LEAST = 4.0, 15  #: times the longest run that the signal otherwise has, and readings
+RESTLESS = 0.2  #: share of readings that differ from the one before, below which a signal hardly ever changes
+
+
+def robust_pca(m: np.ndarray, weight: float = 0.6, rounds: int = 25) -> np.ndarray:
+    """The sparse part of ``m`` by principal component pursuit (augmented Lagrangian, inexact).
+
+    ``weight`` scales the usual price 1/sqrt(max(shape)) of a sparse entry; below 1 more entries become candidates.
+    """
+    price = weight / np.sqrt(max(m.shape))
+    norm = np.linalg.norm(m, 2)
+    if norm == 0:
+        return np.zeros_like(m)
+    y = m / max(norm, np.abs(m).max() / price)
+    mu, s = 1.25 / norm, np.zeros_like(m)
+    for _ in range(rounds):
+        u, d, v = np.linalg.svd(m - s + y / mu, full_matrices=False)
+        low = (u * np.maximum(d - 1 / mu, 0)) @ v
+        rest = m - low + y / mu
+        s = np.sign(rest) * np.maximum(np.abs(rest) - price / mu, 0)
+        gap = m - low - s
+        y += mu * gap
+        mu *= 1.5
+        if np.linalg.norm(gap) < 1e-5 * np.linalg.norm(m):
+            break
+    return s
+
+
+def period(f: np.ndarray) -> int:
+    """Length of a profile: the lag of the highest autocorrelation from 8 readings to an eighth of the series."""
+    n = len(f)
+    top = min(n // 8, 512)
+    if top <= 8:
+        return min(PROFILE, max(2, n // 4))
+    z = f - f.mean()
+    p = np.fft.rfft(z, 2 * n)
+    acf = np.fft.irfft(p * np.conj(p))[: top + 1]
+    if acf[0] <= 0:
+        return PROFILE
+    lag = 8 + int(np.argmax(acf[8:]))
+    return lag if acf[lag] > 0.3 * acf[0] else min(PROFILE, n // 4)
+
+
+def _windows(f: np.ndarray, n: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(f, n)
+
+
+def _spread(r: np.ndarray) -> float:
+    return max(np.quantile(r, 0.95), 0.8 * np.quantile(r, 0.97))
+
+
+def spike_mask(f: np.ndarray, ends: bool = True) -> np.ndarray:
+    """Which readings of ``f`` (finite, in range) are spikes. ``ends``: the last reading is the signal's last."""
+    n = len(f)
+    none = np.zeros(n, bool)
+    if n < 24 or f.max() == f.min():
+        return none
+    # candidates: the sparse part of the profile matrix
+    middle = np.median(f)
+    length = period(np.clip(f, *np.quantile(f, [0.01, 0.99])))
+    rows = -(-n // length)
+    padded = np.full(rows * length, middle)
+    padded[:n] = f
+    sparse = robust_pca(padded.reshape(rows, length) - middle).reshape(-1)[:n]
+    candidate = np.abs(sparse) > 1e-3 * (np.abs(f - middle).max() + 1e-12)
+    if not candidate.any():
+        return none
+    # the check: departure from the middle of the surroundings, and from what comes before and after
+    w, b = 10, 9
+    around = np.abs(f - np.median(_windows(np.pad(f, w, mode="reflect"), 2 * w + 1), axis=1))
+    nans = np.full(b, np.nan)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        side = np.nanmedian(_windows(np.r_[nans, f, nans], b), axis=1)
+        beside = np.fmin(around, np.fmin(np.abs(f - side[:n]), np.abs(f - side[b + 1 : b + 1 + n])))
+        step = np.diff(np.unique(f)).min()
+        overall = np.fmin(around / max(_spread(around), step), beside / max(_spread(beside), step))
+        look, skip = 24, 4
+        at = np.flatnonzero(candidate & (overall >= FOLLOW))
+        if not len(at):
+            return none
+        near = _windows(np.r_[np.full(look, np.nan), around, np.full(look, np.nan)], 2 * look + 1)[at].copy()
+        near[:, look - skip : look + skip + 1] = np.nan
+        local = np.zeros(n)
+        local[at] = around[at] / np.maximum(np.nan_to_num(np.nanquantile(near, 0.9, axis=1)), step)
+    odd = (overall >= OVERALL) & (local >= AROUND)
+    follow = (overall >= FOLLOW) & (local >= AROUND)
+    for _ in range(LONGEST_SPIKE):
+        odd |= follow & (np.r_[False, odd[:-1]] | np.r_[odd[1:], False])
+    first = np.flatnonzero(odd & ~np.r_[False, odd[:-1]])
+    last = np.flatnonzero(odd & ~np.r_[odd[1:], False])
+    for a, z in zip(first, last):
+        if z - a + 1 > LONGEST_SPIKE or (ends and z == n - 1):  # it lasts, or doesn't go on as before
+            odd[a : z + 1] = False
+    return odd
+
+
+def stuck_mask(f: np.ndarray) -> np.ndarray:
+    """Which readings of ``f`` belong to a run of one value far longer than the signal otherwise has."""
+    n = len(f)
+    out = np.zeros(n, bool)
+    if n < STUCK_LEAST:
+        return out
+    first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+    length = np.diff(np.r_[first, n])
+    order = np.argsort(-length)
+    long = [i for i in order if length[i] >= STUCK_LEAST]
+    if not long:
+        return out
+    lengths = length[order]
+    for i in long:
+        usual = lengths[lengths < length[i] / STUCK_TIMES]
+        between = lengths[(lengths >= length[i] / STUCK_TIMES) & (lengths <= length[i])]
+        # other runs of about this length: either stuck as well (few, far above the rest) or how the signal is
+        rest = n - lengths[lengths >= length[i] / STUCK_TIMES].sum()
+        if not len(usual) or rest < 2 * STUCK_LEAST or len(usual) / rest < RESTLESS or len(between) > 1 + len(usual) // 50:
+            continue
+        if any(STUCK_TIMES * usual[0] > x for x in between if x < length[i]) and usual[0] * STUCK_TIMES * 2 > length[i]:
+            continue
+        out[first[i] : first[i] + length[i]] = True
+    return out
+
+
+def _judge(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("chunk_idx", kind="stable").drop_duplicates("chunk_idx")
+    block = int(group["block"].iloc[0])
+    values = [np.asarray(v, float) if v is not None else np.zeros(0) for v in group["values"]]
+    size = np.array([len(v) for v in values], int)
+    v = np.concatenate(values) if values else np.zeros(0)
+    chunk = np.repeat(group["chunk_idx"].to_numpy(), size)
+    place = np.concatenate([np.arange(k) for k in size]) if len(size) else np.zeros(0, int)
+    core = chunk // BLOCK == block
+    low, high = group["low"].iloc[0], group["high"].iloc[0]
+    read = ~np.isnan(v)
+    outside = read & ((v < (-np.inf if pd.isna(low) else low)) | (v > (np.inf if pd.isna(high) else high)) | np.isinf(v))
+    good = np.flatnonzero(read & ~outside)
+    spike, stuck = np.zeros(len(v), bool), np.zeros(len(v), bool)
+    if len(good):
+        last = group["chunk_idx"].iloc[-1] // BLOCK == block and len(group) > 0
+        spike[good] = spike_mask(v[good], ends=bool(last))
+        stuck[good] = stuck_mask(v[good])
+        spike &= ~stuck
+    hit = core & (outside | spike | stuck)
+    n = int(hit.sum())
+    return pd.DataFrame({
+        "signal": [group["signal"].iloc[0]] * n, "chunk_idx": chunk[hit].astype("int32"), "value_idx": place[hit].astype("int32"),
+        "out_of_range": outside[hit], "spike": spike[hit], "stuck": stuck[hit],
+    })
+
+
+def implausible(shard: DataFrame, specs: DataFrame) -> DataFrame:
+    """``signal, chunk_idx, value_idx, out_of_range, spike, stuck``: the readings that have at least one of the three.
+
+    Null and NaN are no readings; infinite values are out of range. Chunks sent twice count once; a chunk without
+    signal, index or values has no readings; a spec that isn't in ``specs`` has no range. Empty tables give no rows.
+    """
+    s = shard.select("spec_type", "signal", "chunk_idx", "values").where(F.col("signal").isNotNull() & F.col("chunk_idx").isNotNull() & (F.size("values") > 0))
+    k = specs.select("spec_type", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high")).dropDuplicates(["spec_type"])
+    own = F.floor(F.col("chunk_idx") / BLOCK)
+    within = F.col("chunk_idx") - own * BLOCK
+    blocks = F.array_compact(F.array(own, F.when(within < HALO, own - 1), F.when(within >= BLOCK - HALO, own + 1)))
+    s = s.withColumn("block", F.explode(F.filter(blocks, lambda b: b >= 0)))
+    s = s.join(F.broadcast(k), "spec_type", "left")  # the fixed table of specs, a row per spec_type
+    out = "signal string, chunk_idx int, value_idx int, out_of_range boolean, spike boolean, stuck boolean"
+    return s.select("signal", "block", "chunk_idx", "values", "low", "high").groupBy("signal", "block").applyInPandas(_judge, out)
