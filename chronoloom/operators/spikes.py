@@ -12,7 +12,7 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,30 +144,29 @@ def stuck_mask(f: np.ndarray) -> np.ndarray:
     return out
 
 
-def _judge(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("chunk_idx", kind="stable").drop_duplicates("chunk_idx")
-    block = int(group["block"].iloc[0])
-    values = [np.asarray(v, float) if v is not None else np.zeros(0) for v in group["values"]]
-    size = np.array([len(v) for v in values], int)
-    v = np.concatenate(values) if values else np.zeros(0)
-    chunk = np.repeat(group["chunk_idx"].to_numpy(), size)
-    place = np.concatenate([np.arange(k) for k in size]) if len(size) else np.zeros(0, int)
+def _judge(group: pa.Table) -> pa.Table:
+    """One block of one signal: its own chunks and the halo around them."""
+    at = group.column("chunk_idx").to_numpy()
+    at, row = np.unique(at, return_index=True)  # chunks sent twice count once; in order
+    lists = group.column("values").combine_chunks().take(pa.array(row))
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    v = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null becomes NaN
+    chunk = np.repeat(at, size)
+    place = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
+    block, low, high = (group.column(c)[0].as_py() for c in ("block", "low", "high"))
     core = chunk // BLOCK == block
-    low, high = group["low"].iloc[0], group["high"].iloc[0]
     read = ~np.isnan(v)
-    outside = read & ((v < (-np.inf if pd.isna(low) else low)) | (v > (np.inf if pd.isna(high) else high)) | np.isinf(v))
+    outside = read & ((v < (-np.inf if low is None else low)) | (v > (np.inf if high is None else high)) | np.isinf(v))
     good = np.flatnonzero(read & ~outside)
     spike, stuck = np.zeros(len(v), bool), np.zeros(len(v), bool)
-    if len(good):
-        last = group["chunk_idx"].iloc[-1] // BLOCK == block and len(group) > 0
-        spike[good] = spike_mask(v[good], ends=bool(last))
+    if len(good) and core.any():
         stuck[good] = stuck_mask(v[good])
+        spike[good] = spike_mask(v[good], ends=bool(at[-1] // BLOCK == block))
         spike &= ~stuck
     hit = core & (outside | spike | stuck)
-    n = int(hit.sum())
-    return pd.DataFrame({
-        "signal": [group["signal"].iloc[0]] * n, "chunk_idx": chunk[hit].astype("int32"), "value_idx": place[hit].astype("int32"),
-        "out_of_range": outside[hit], "spike": spike[hit], "stuck": stuck[hit],
+    return pa.table({
+        "signal": pa.array([group.column("signal")[0].as_py()] * int(hit.sum()), pa.string()), "chunk_idx": pa.array(chunk[hit], pa.int32()), "value_idx": pa.array(place[hit], pa.int32()),
+        "out_of_range": pa.array(outside[hit]), "spike": pa.array(spike[hit]), "stuck": pa.array(stuck[hit]),
     })
 
 
@@ -185,4 +184,4 @@ def implausible(shard: DataFrame, specs: DataFrame) -> DataFrame:
     s = s.withColumn("block", F.explode(F.filter(blocks, lambda b: b >= 0)))
     s = s.join(F.broadcast(k), "spec_type", "left")  # the fixed table of specs, a row per spec_type
     out = "signal string, chunk_idx int, value_idx int, out_of_range boolean, spike boolean, stuck boolean"
-    return s.select("signal", "block", "chunk_idx", "values", "low", "high").groupBy("signal", "block").applyInPandas(_judge, out)
+    return s.select("signal", "block", "chunk_idx", "values", "low", "high").groupBy("signal", "block").applyInArrow(_judge, out)
