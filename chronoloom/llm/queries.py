@@ -4,13 +4,103 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronoloom.llm import pairs
+from chronoloom.llm import encoding, grouping, mixture, overlap, pairs, residue
 from chronoloom.plans.registry import Registry
 from chronoloom.session import table
 
 llm = Registry()
 
 
+_SPLIT = """CASE WHEN lower(trim(split)) IN ('val', 'valid') THEN 'validation' ELSE lower(trim(split)) END"""
+
+_GROUPS = """
+e AS (SELECT DISTINCT ecg_id e, patient_id p FROM ptbxl_recordings WHERE ecg_id IS NOT NULL AND patient_id > 0),
+l AS (SELECT DISTINCT a.e x, b.e y FROM e a JOIN e b ON a.p = b.p),
+reach AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x),
+g AS (SELECT x, min(y) group_id FROM reach GROUP BY x),
+c AS (SELECT DISTINCT ecg_id FROM cot_rows WHERE ecg_id IS NOT NULL),
+m AS (SELECT c.ecg_id, coalesce(g.group_id, c.ecg_id) group_id FROM c LEFT JOIN g ON g.x = c.ecg_id)
+"""
+
+
+@llm.add(
+    "p3_found",
+    f"""WITH RECURSIVE {_GROUPS},
+    b AS (SELECT group_id FROM m JOIN cot_rows r USING (ecg_id) WHERE split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT {_SPLIT}) > 1)
+    SELECT ecg_id FROM m WHERE group_id IN (SELECT group_id FROM b)""",
+)
+def p3_found(spark, d):
+    rows = table(spark, d, "cot_rows")
+    return grouping.straddling(grouping.groups(table(spark, d, "ptbxl_recordings"), rows), rows)
+
+
+@llm.add("p3_groups", f"WITH RECURSIVE {_GROUPS} SELECT ecg_id, group_id FROM m")
+def p3_groups(spark, d):
+    return grouping.groups(table(spark, d, "ptbxl_recordings"), table(spark, d, "cot_rows"))
+
+
+@llm.add("p3_assigned")
+def p3_assigned(spark, d):
+    return grouping.assign(grouping.groups(table(spark, d, "ptbxl_recordings"), table(spark, d, "cot_rows")), table(spark, d, "split_targets"))
+
+
+@llm.add("p3_shares")
+def p3_shares(spark, d):
+    rows = table(spark, d, "cot_rows")
+    targets = table(spark, d, "split_targets")
+    return grouping.shares(grouping.assign(grouping.groups(table(spark, d, "ptbxl_recordings"), rows), targets), rows, targets)
+
+
 @llm.add("p4_found")
 def p4_found(spark, d):
     return pairs.defects(table(spark, d, "cot_rows"))
+
+
+@llm.add("p4_report")
+def p4_report(spark, d):
+    rows = table(spark, d, "cot_rows")
+    found = pairs.defects(rows).join(rows.select("row_id", "source").dropDuplicates(["row_id"]), "row_id")
+    return found.groupBy("source", "defect").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@llm.add("p7_found")
+def p7_found(spark, d):
+    return overlap.found(overlap.overlaps(table(spark, d, "cot_rows")))
+
+
+@llm.add("p7_report")
+def p7_report(spark, d):
+    rows = table(spark, d, "cot_rows")
+    return overlap.report(overlap.overlaps(rows), rows)
+
+
+@llm.add("p8_ids")
+def p8_ids(spark, d):
+    return encoding.encode(table(spark, d, "documents"))
+
+
+@llm.add("p8_corpus_tokens")
+def p8_corpus_tokens(spark, d):
+    return encoding.corpus_tokens(table(spark, d, "documents"))
+
+
+@llm.add("p9_mix")
+def p9_mix(spark, d):
+    return mixture.mix(mixture.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+@llm.add("p9_shares")
+def p9_shares(spark, d):
+    records, targets = mixture.sized(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    return mixture.shares(mixture.mix(records, targets), records, targets)
+
+
+@llm.add("p10_found")
+def p10_found(spark, d):
+    return residue.documents_with_residue(table(spark, d, "documents")).select("doc_id")
+
+
+@llm.add("p10_clean_counts")
+def p10_clean_counts(spark, d):
+    kept = residue.without_residue(table(spark, d, "documents"))
+    return kept.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"))
