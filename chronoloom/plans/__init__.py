@@ -4,5 +4,7 @@
 def registries():
     """All registries of the core."""
     from chronoloom.plans.problems import problems
+    from chronoloom.plans.select_plan import select_plan
+    from chronoloom.plans.series_plan import series_plan
 
-    return [problems]
+    return [problems, series_plan, select_plan]
