@@ -130,9 +130,9 @@ def pj12(spark, d):
     return table(spark, d, "cot_rows").select("row_id", (F.array_position(codes, F.col("question_type")) - 1).cast("int").alias("code"))
 
 
-@add("pj13_scaling", "SELECT vec_id, list_transform(embedding, lambda x: round((x::DOUBLE - 0.25) / 200, 6)) AS physical FROM embeddings")
+@add("pj13_scaling", "SELECT vec_id, list_transform(embedding, lambda x: round((x::DOUBLE - 0.25) / 200, 6) + 0.0) AS physical FROM embeddings")
 def pj13(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round((x.cast("double") - 0.25) / 200, 6)).alias("physical"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round((x.cast("double") - 0.25) / 200, 6) + F.lit(0.0)).alias("physical"))
 
 
 @add(
