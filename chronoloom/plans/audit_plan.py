@@ -32,7 +32,7 @@ def au2(spark, d):
     return of("source", "signals", "source_id", "sources", "source_id").unionByName(of("record", "sources", "record_id", "records", "record_id")).unionByName(of("parent", "sources", "parent_source_id", "sources", "source_id")).unionByName(of("ecg", "cot_rows", "ecg_id", "ptbxl_recordings", "ecg_id"))
 
 
-@add("au3_domains", """SELECT DISTINCT signal_id, unnest(list_filter([CASE WHEN n_values <= 0 THEN 'n_values' END, CASE WHEN null_count < 0 OR null_count > n_values THEN 'null_count' END, CASE WHEN spec_type NOT IN (SELECT spec_type FROM spec_refs) THEN 'spec_type' END, CASE WHEN dtype NOT IN ('bool', 'enum', 'float32', 'float64', 'int8', 'int16', 'int32', 'str', 'uint8', 'uint16', 'uint32') THEN 'dtype' END, CASE WHEN trim(name) = '' THEN 'name' END, CASE WHEN missing_reason NOT IN ('sensor_gap', 'not_recorded', 'alignment_padding', 'not_applicable', 'redacted') THEN 'missing_reason' END, CASE WHEN modality <> 'time_series' THEN 'modality' END, CASE WHEN null_count > 0 AND missing_reason IS NULL THEN 'nulls without reason' END], lambda x: x IS NOT NULL)) AS rule FROM signals""")
+@add("au3_domains", """SELECT DISTINCT signal_id, unnest(list_filter([CASE WHEN n_values <= 0 THEN 'n_values' END, CASE WHEN null_count < 0 OR null_count > n_values THEN 'null_count' END, CASE WHEN spec_type NOT IN (SELECT spec_type FROM spec_refs) THEN 'spec_type' END, CASE WHEN dtype NOT IN ('bool', 'enum', 'float32', 'float64', 'int8', 'int16', 'int32', 'str', 'uint8', 'uint16', 'uint32') THEN 'dtype' END, CASE WHEN trim(name) = '' THEN 'name' END, CASE WHEN missing_reason NOT IN ('sensor_gap', 'not_recorded', 'alignment_padding', 'not_applicable', 'redacted') THEN 'missing_reason' END, CASE WHEN modality <> 'time_series' THEN 'modality' END, CASE WHEN null_count > 0 AND missing_reason IS NULL THEN 'nulls without reason' END], lambda x: x IS NOT NULL)) AS rule FROM (SELECT * REPLACE (CASE WHEN signal_id % 50 = 0 THEN n_values + 1 ELSE null_count END AS null_count, CASE WHEN signal_id % 77 = 0 THEN 'int64' ELSE dtype END AS dtype, CASE WHEN signal_id % 91 = 0 THEN ' ' ELSE name END AS name) FROM signals)""")
 def au3(spark, d):
     c = F.col
     known = [r[0] for r in table(spark, d, "spec_refs").select("spec_type").collect()]  # the fixed table of specs
@@ -42,20 +42,26 @@ def au3(spark, d):
         "missing_reason": c("missing_reason").isin("sensor_gap", "not_recorded", "alignment_padding", "not_applicable", "redacted"), "modality": c("modality") == "time_series",
         "nulls without reason": ~((c("null_count") > 0) & c("missing_reason").isNull()),
     }
-    return audit.breaking(table(spark, d, "signals"), "signal_id", rules)
+    # the data keep these rules, so faults are put in, the same ones in the SQL
+    k = c("signal_id")
+    faulty = table(spark, d, "signals").withColumns({"null_count": F.when(k % 50 == 0, c("n_values") + 1).otherwise(c("null_count")), "dtype": F.when(k % 77 == 0, "int64").otherwise(c("dtype")), "name": F.when(k % 91 == 0, " ").otherwise(c("name"))})
+    return audit.breaking(faulty, "signal_id", rules)
 
 
-@add("au4_modality_rules", f"WITH {_TASKS} SELECT task_id, rule FROM (SELECT task_id, CASE WHEN len(modalities) = 0 THEN 'empty' WHEN prompt IS NOT NULL AND NOT list_contains(modalities, 'text') THEN 'prompt without text' WHEN record_id IS NULL AND NOT list_contains(modalities, 'no_input') THEN 'no_input' WHEN list_contains(modalities, 'no_input') AND list_contains(modalities, 'image') THEN 'no_input with input' END rule FROM t) WHERE rule IS NOT NULL")
+@add("au4_modality_rules", f"WITH {_TASKS} SELECT task_id, rule FROM (SELECT task_id, CASE WHEN len(modalities) = 0 THEN 'empty' WHEN prompt IS NOT NULL AND NOT list_contains(modalities, 'text') THEN 'prompt without text' WHEN record_id IS NULL AND NOT list_contains(modalities, 'no_input') THEN 'no_input' WHEN list_contains(modalities, 'no_input') AND list_contains(modalities, 'image') THEN 'no_input with input' END rule FROM (SELECT * REPLACE (CASE WHEN task_id % 40 = 0 THEN ['image', 'time_series'] ELSE modalities END AS modalities) FROM t)) WHERE rule IS NOT NULL")
 def au4(spark, d):
     m = F.col("modalities")
     has = lambda x: F.array_contains(m, x)
     rules = {"empty": F.size(m) > 0, "prompt without text": F.col("prompt").isNull() | has("text"), "no_input": F.col("record_id").isNotNull() | has("no_input"), "no_input with input": ~(has("no_input") & has("image"))}
-    return audit.breaking(tasks(spark, d), "task_id", rules)
+    faulty = tasks(spark, d).withColumn("modalities", F.when(F.col("task_id") % 40 == 0, F.array(F.lit("image"), F.lit("time_series"))).otherwise(m))
+    return audit.breaking(faulty, "task_id", {k: v for k, v in rules.items() if k != "no_input"}).unionByName(audit.breaking(faulty.where("prompt is null"), "task_id", {"no_input": rules["no_input"]}))
 
 
-@add("au5_owner_exists", f"WITH {_OWNERS} SELECT object_type, object_id, count(*) AS n FROM annotation_occurrences a WHERE object_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w WHERE w.object_type = a.object_type AND w.object_id = a.object_id) GROUP BY 1, 2")
+@add("au5_owner_exists", f"WITH {_OWNERS} SELECT object_type, object_id, count(*) AS n FROM (SELECT object_type, CASE WHEN occurrence_id % 100 = 0 THEN object_id + 1000000000 ELSE object_id END AS object_id FROM annotation_occurrences) a WHERE object_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w WHERE w.object_type = a.object_type AND w.object_id = a.object_id) GROUP BY 1, 2")
 def au5(spark, d):
-    return audit.dangling_owner(table(spark, d, "annotation_occurrences"), owners(spark, d))
+    a = table(spark, d, "annotation_occurrences")
+    faulty = a.withColumn("object_id", F.when(F.col("occurrence_id") % 100 == 0, F.col("object_id") + 1_000_000_000).otherwise(F.col("object_id")))
+    return audit.dangling_owner(faulty, owners(spark, d))
 
 
 @add("au8_label_rules", "WITH t AS (SELECT row_id AS task_id, CASE WHEN row_id % 5 = 0 THEN NULL WHEN row_id % 7 = 0 THEN 'other' ELSE question_type END AS label FROM cot_rows) SELECT task_id, 'not in the set' AS rule FROM t WHERE label NOT IN ('choose', 'measure', 'query', 'verify') UNION SELECT task_id, 'not exactly one' FROM t GROUP BY 1 HAVING count(label) <> 1")
@@ -66,9 +72,9 @@ def au8(spark, d):
     return audit.label_rules(t, labels, "task_id", "label", multi=False)
 
 
-@add("au9_scope_resolves", "SELECT occurrence_id, count(DISTINCT s.record_id) AS n_records FROM (SELECT DISTINCT occurrence_id, object_id FROM annotation_occurrences WHERE object_type = 'Signal') a LEFT JOIN signals g ON g.signal_id = a.object_id LEFT JOIN sources s ON s.source_id = g.source_id GROUP BY 1 HAVING count(DISTINCT s.record_id) <> 1")
+@add("au9_scope_resolves", "SELECT occurrence_id, count(DISTINCT s.record_id) AS n_records FROM (SELECT DISTINCT occurrence_id, CASE WHEN occurrence_id % 60 = 0 THEN -object_id ELSE object_id END AS object_id FROM annotation_occurrences WHERE object_type = 'Signal') a LEFT JOIN signals g ON g.signal_id = a.object_id LEFT JOIN sources s ON s.source_id = g.source_id GROUP BY 1 HAVING count(DISTINCT s.record_id) <> 1")
 def au9(spark, d):
-    a = table(spark, d, "annotation_occurrences").where("object_type = 'Signal'").select("occurrence_id", F.col("object_id").alias("signal_id")).distinct()
+    a = table(spark, d, "annotation_occurrences").where("object_type = 'Signal'").select("occurrence_id", F.when(F.col("occurrence_id") % 60 == 0, -F.col("object_id")).otherwise(F.col("object_id")).alias("signal_id")).distinct()
     g = table(spark, d, "signals").select("signal_id", "source_id").distinct().join(table(spark, d, "sources").select("source_id", "record_id").distinct(), "source_id", "left").select("signal_id", "record_id")
     return a.join(g, "signal_id", "left").groupBy("occurrence_id").agg(F.countDistinct("record_id").alias("n_records")).where("n_records <> 1")
 
@@ -93,9 +99,9 @@ def au12(spark, d):
     return audit.coverage(table(spark, d, "signals"), chunked(spark, d))
 
 
-@add("au12_chunk_gaps", f"WITH {_CHUNK} SELECT signal_id, count(DISTINCT chunk_idx) AS n, max(chunk_idx) AS last FROM ch GROUP BY 1 HAVING min(chunk_idx) <> 0 OR max(chunk_idx) <> count(DISTINCT chunk_idx) - 1")
+@add("au12_chunk_gaps", f"WITH {_CHUNK} SELECT signal_id, count(DISTINCT chunk_idx) AS n, max(chunk_idx) AS last FROM ch WHERE NOT (signal_id % 9 = 0 AND chunk_idx = 1) GROUP BY 1 HAVING min(chunk_idx) <> 0 OR max(chunk_idx) <> count(DISTINCT chunk_idx) - 1")
 def au12_gaps(spark, d):
-    return audit.chunk_gaps(chunked(spark, d))
+    return audit.chunk_gaps(chunked(spark, d).where("not (signal_id % 9 = 0 and chunk_idx = 1)"))  # a lost chunk, put in
 
 
 @add("au15_spec_contract", "SELECT DISTINCT spec_type, unit, dtype FROM signals WHERE spec_type IN (SELECT spec_type FROM signals GROUP BY 1 HAVING count(DISTINCT coalesce(unit, '-') || dtype) > 1)")

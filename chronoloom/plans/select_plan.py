@@ -138,10 +138,10 @@ def fl9(spark, d):
     return t.where(F.col("scope").isNull() | F.array_contains("scope", F.col("signal_id"))).select("task_id", "signal_id")
 
 
-@add("fl10_search", "SELECT p_partkey AS id, p_name FROM part WHERE (lower(p_name || ' ' || p_type) LIKE '%green%' OR lower(p_name || ' ' || p_type) LIKE '%brass%') AND p_brand IN ('Brand#11', 'Brand#23', 'Brand#1', 'Brand#2') ORDER BY p_partkey LIMIT 100")
+@add("fl10_search", "SELECT p_partkey AS id, p_name FROM part WHERE (lower(p_name || ' ' || p_type) LIKE '%ring%' OR lower(p_name || ' ' || p_type) LIKE '%small%') AND p_brand IN ('Brand#11', 'Brand#23', 'Brand#1', 'Brand#2') ORDER BY p_partkey LIMIT 100")
 def fl10(spark, d):
     cards = table(spark, d, "part").withColumnRenamed("p_partkey", "id")
-    return sel.search(cards, ["Green", "BRASS"], ["p_name", "p_type"], {"p_brand": ["Brand#11", "Brand#23", "Brand#1", "Brand#2"]}).select("id", "p_name")
+    return sel.search(cards, ["Ring", "SMALL"], ["p_name", "p_type"], {"p_brand": ["Brand#11", "Brand#23", "Brand#1", "Brand#2"]}).select("id", "p_name")
 
 
 @add("fl11_ambiguous_names", "WITH g AS (SELECT DISTINCT signal_id, source_id, name FROM signals), s AS (SELECT DISTINCT source_id, record_id FROM sources) SELECT record_id, name, count(*) AS n FROM g JOIN s USING (source_id) GROUP BY 1, 2 HAVING count(*) > 1")
