@@ -16,6 +16,7 @@ from chronoloom.operators.components import connected_components
 from chronoloom.session import stage, unstage
 
 WALK_ROWS = 200_000
+GROUP_ROWS = 20_000  #: nodes of small components that share a task group, about
 
 NODES = "node_id long, parent_id long, root_id long, depth int, path array<long>, n_descendants long, fault string, end_id long"
 
@@ -27,7 +28,7 @@ def parents_of(rows: DataFrame, node: str, parent: str) -> DataFrame:
 
 
 def _walk(group: pd.DataFrame) -> pd.DataFrame:
-    """Depth-first with colours over one component. White nodes are unseen, grey ones on the stack, black ones done."""
+    """Depth-first with colours over whole components. White nodes are unseen, grey ones on the stack, black ones done."""
     ids = group["node_id"].tolist()
     parent = {n: (None if p is pd.NA or p != p or p is None else int(p)) for n, p in zip(ids, group["parent_id"].astype("Int64"))}
     children: dict[int, list[int]] = {}
@@ -142,6 +143,12 @@ def _double(nodes: DataFrame) -> DataFrame:
     return out.drop("way").join(counts, "node_id", "left").select("node_id", "parent_id", "root_id", "depth", "path", F.coalesce("n_descendants", F.lit(0).cast("long")).alias("n_descendants"), "fault", "end_id")
 
 
+def _walked(member: DataFrame) -> DataFrame:
+    """Walk components where they lie; several small ones share a group, none is torn."""
+    groups = max(1, member.count() // GROUP_ROWS)
+    return member.groupBy(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("bucket")).applyInPandas(_walk, NODES)
+
+
 def resolve(rows: DataFrame, node: str = "source_id", parent: str = "parent_source_id", walk_rows: int = WALK_ROWS) -> DataFrame:
     """``node_id, parent_id, root_id, depth, path, n_descendants, fault, end_id``, one row per node.
 
@@ -157,8 +164,8 @@ def resolve(rows: DataFrame, node: str = "source_id", parent: str = "parent_sour
     large = stage(sizes)
     unstage(nodes)
     if not large.limit(1).count():
-        return member.groupBy("component").applyInPandas(_walk, NODES)
-    small = member.join(large, "component", "left_anti").groupBy("component").applyInPandas(_walk, NODES)
+        return _walked(member)
+    small = _walked(member.join(large, "component", "left_anti"))
     return small.unionByName(_double(member.join(large, "component", "left_semi").select("node_id", "parent_id")))
 
 
