@@ -35,7 +35,7 @@ def scan(c: DataFrame) -> DataFrame:
 def read_range(c: DataFrame, start: Column, stop: Column) -> DataFrame:
     """``signal_id, values`` of steps [start, stop), from the chunks that meet the range only, clipped. A stop past the
     end truncates; an empty range gives no row for the signal."""
-    b = with_base(c).where((F.col("base") < stop) & (F.col("base") + F.col("n_values") > start))
+    b = with_base(c).where((start < stop) & (F.col("base") < stop) & (F.col("base") + F.col("n_values") > start))
     head = F.greatest(start - F.col("base"), F.lit(0)).cast("int")
     tail = F.least(stop - F.col("base"), F.col("n_values").cast("long")).cast("int")
     return scan(b.select("signal_id", "chunk_idx", F.slice("values", head + 1, tail - head).alias("values")))
@@ -92,10 +92,10 @@ def steps_in(placed: DataFrame, start: Column, end: Column) -> DataFrame:
 
 
 def slice_axis(located: DataFrame) -> DataFrame:
-    """A slice's axis: ``signal_id, start_index, n_values, clip_from, clip_to``; clipped to the signal, empty ones left out.
+    """A slice's axis: ``signal_id, start_index, n_values, clip_from, clip_to``; clipped to the signal; empty and ordinal ones left out.
     A regular axis keeps offset and period and only moves its start."""
     a, z = F.greatest(F.col("step_from"), F.lit(0)), F.least(F.col("step_to"), F.col("n_values"))
-    return located.select("signal_id", "axis_type", F.when(F.col("axis_type") == "regular", F.col("start_index") + a).alias("start_index"), (z - a).alias("n_values"), a.alias("clip_from"), z.alias("clip_to")).where("clip_to > clip_from")
+    return located.where("step_from is not null and step_to is not null").select("signal_id", "axis_type", F.when(F.col("axis_type") == "regular", F.col("start_index") + a).alias("start_index"), (z - a).alias("n_values"), a.alias("clip_from"), z.alias("clip_to")).where(F.col("clip_to") > F.col("clip_from"))
 
 
 def epochs(intervals: DataFrame, length: int) -> DataFrame:

@@ -231,7 +231,7 @@ def ts2(spark, d):
 
 @add(
     "ts3_slice_axis",
-    f"""WITH {_STEPS}, c AS (SELECT *, greatest(f, 0) a0, least(t, n_values) z0 FROM q) SELECT signal_id, axis_type, CASE WHEN axis_type = 'regular' THEN start_index + a0 END AS start_index, z0 - a0 AS n_values, a0 AS clip_from, z0 AS clip_to FROM c WHERE z0 > a0""",
+    f"""WITH {_STEPS}, c AS (SELECT *, greatest(f, 0) a0, least(t, n_values) z0 FROM q) SELECT signal_id, axis_type, CASE WHEN axis_type = 'regular' THEN start_index + a0 END AS start_index, z0 - a0 AS n_values, a0 AS clip_from, z0 AS clip_to FROM c WHERE f IS NOT NULL AND z0 > a0""",
 )
 def ts3(spark, d):
     return series.slice_axis(located(spark, d))
