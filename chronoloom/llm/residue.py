@@ -23,8 +23,8 @@ BUCKETS = 1 << 16  #: hashed features
 FIT_TRUSTED, FIT_OTHER = 60_000, 240_000  #: bound of the sample that the model is fitted on, by passages
 ROUNDS = 6
 #: log odds from which a passage counts as residue; the words around a field say little, so there the model only turns
-#: down what is content for certain
-LEAST, LEAST_SLOT = 0.0, -10.0
+#: down what is content for certain, and a sentence that has no more than a cue needs the model to be sure
+LEAST, LEAST_SLOT, LEAST_LOOSE = 0.0, -10.0, 10.0
 
 # fixed values: words of filler Latin
 LATIN = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
@@ -53,6 +53,7 @@ NOTICE = re.compile(
 )
 #: what a short sentence must have for the model alone to decide
 CUE = re.compile(_SCRIPT + r"|\b(?:error|fehler|erreur|unavailable|unreachable|denied|forbidden|expired|not found|could not|cannot be|nicht gefunden|nicht erreichbar|introuvable|indisponible|no encontrada|no disponible|placeholder|platzhalter|lorem|ipsum|dummy|coming soon|browser|maintenance)\b", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|`[^`]*`|\u201c[^\u201d]*\u201d|\u00ab[^\u00bb]*\u00bb")
 _NAME = r"[^\W\d][\w.:/-]*(?:[ _-][\w.]+){0,4}"
 SLOT = re.compile(
     r"(?P<dbl>\{\{[^{}\n]{0,60}\}\})|(?P<erb><%=?[^<>\n]{1,60}%>)|(?P<tag>\{%[^{}\n]{1,60}%\})|(?P<pct>%\([^()\n]{1,40}\)[sdfr])|(?P<dollar>\$[\[{(]\s*" + _NAME + r"\s*[\]})])|(?P<wiki>\[\[[^\[\]\n]{1,60}\]\])|(?P<dbla><<[^<>\n]{1,60}>>)"
@@ -117,7 +118,7 @@ def sentences(text: str) -> Iterator[tuple[str, bool, bool, list[str]]]:
         w = [("#" if x.isdigit() else x) for x in words[:60]]
         feats = sorted({f"w {x}" for x in w}) + [f"first {x}" for x in (" ".join(w[:1]), " ".join(w[:2]))] + [f"size {min(len(w), 20) // 4}", f"latin {latin}", f"opens {core[0] if not core[0].isalnum() else ''}"]
         strict = filler or script or error
-        yield "sentence", strict, strict or (len(words) <= 14 and bool(CUE.search(core))), feats
+        yield "sentence", strict, strict or (len(words) <= 14 and bool(CUE.search(QUOTED.sub(" ", core)))), feats
 
 
 def passages_of(text: str) -> list[tuple[str, bool, bool, list[int]]]:
@@ -209,7 +210,8 @@ def documents_with_residue(docs: DataFrame, least: float = LEAST, least_slot: fl
 
     Null, empty and blank texts are no cases; null ids are left out; whole texts are read. An empty table gives no rows.
     """
-    bad = scored_passages(docs).where(F.col("plausible") & (F.col("score") > F.when(F.col("kind") == "slot", least_slot).otherwise(least)))
+    bound = F.when(F.col("kind") == "slot", least_slot).when(F.col("trusted"), least).otherwise(LEAST_LOOSE)
+    bad = scored_passages(docs).where(F.col("plausible") & (F.col("score") > bound))
     return bad.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_passages"), F.max("score").alias("score"))
 
 
