@@ -34,8 +34,8 @@ FILLER = re.compile(
 )
 _STATUS = r"(?:bad request|unauthori[sz]ed|payment required|forbidden|(?:page |file |resource |document )?not found|method not allowed|not acceptable|request time-?\s?out|conflict|gone|length required|payload too large|uri too long|unsupported media type|too many requests|internal (?:server )?error|server error|not implemented|bad gateway|(?:service|site|page) (?:temporarily |currently )?(?:unavailable|overloaded)|gateway time-?\s?out|time-?\s?out|unknown error|web server is down|connection (?:timed out|refused|reset)|origin is unreachable|network error)"
 ERROR = re.compile(
-    r"^\W*(?:(?:http(?:/[\d.]+)?|(?:an? )?error|fehler|erreur|status|code)\W{0,4}(?:code\W{0,3})?[1-5]\d\d\b|[45]\d\d\W{1,4}(?:\(?" + _STATUS + r")|" + _STATUS + r"\W{0,4}(?:\(?[45]\d\d\)?)?\W*(?:$|nginx|ray |upstream|the requested|return|request id|please try|contact|back |if this|we could|ref |apache|cloud|sorry)|" + _STATUS + r"\W{1,4}\(?[45]\d\d"
-    r"|\{\s*[\"'](?:error|status|code|errors|message|detail)[\"']|(?:we |i )?(?:could not|couldn['’]t|cannot|can['’]t|unable to|failed to) (?:reach|connect|load|open|fetch|find|display|process|retrieve|complete) (?:\w+ ){0,6}|access (?:is )?denied|permission denied|(?:your |the )?session (?:has )?(?:expired|timed out)|sorry, (?:we|this|the|something|but)|(?:oops|whoops|uh-oh)\b|something went wrong|an (?:unexpected |unknown |internal )?error (?:has )?occurred|this (?:page|site|dataset|record|resource) (?:could not|cannot|can['’]t|is (?:currently |temporarily )?(?:not|un)\s?available|does not exist|no longer)|the (?:mirror|server|gateway|catalog|registry|host|page|dataset|file|record|resource|requested \w+|\w+)(?: you (?:asked|requested|were looking)(?: for)?)? (?:returned an error|does not exist|was not found|could not be (?:found|loaded)|cannot be (?:found|displayed)|is (?:temporarily |currently )?(?:down|unavailable|not available|overloaded))"
+    r"^\W*(?:(?:http(?:/[\d.]+)?|(?:an? )?error|fehler|erreur|status|code)\W{0,4}(?:code\W{0,3})?[1-5]\d\d\b|[45]\d\d\W*$|[45]\d\d\W{1,4}(?:nginx|request id|apache|\(?" + _STATUS + r")|" + _STATUS + r"\W{0,4}(?:\(?[45]\d\d\)?)?\W*(?:$|nginx|ray |upstream|the requested|return|request id|please try|contact|back |if this|we could|ref |apache|cloud|sorry)|" + _STATUS + r"\W{1,4}\(?[45]\d\d"
+    r"|\{\s*[\"'](?:error|status|code|errors|message|detail)[\"']|(?:we |i )?(?:could not|couldn['’]t|cannot|can['’]t|unable to|failed to) (?:reach|connect|load|open|fetch|find|display|process|retrieve|complete) (?:\w+ ){0,6}|access (?:is )?denied|permission denied|(?:your |the )?session (?:has )?(?:expired|timed out)|sorry, (?:we|this|the|something|but)|(?:oops|whoops|uh-oh)\b|something went wrong|an (?:unexpected |unknown |internal )?error (?:has )?occurred|this (?:page|site|dataset|record|resource) (?:could not|cannot|can['’]t|is (?:currently |temporarily )?(?:not|un)\s?available|does not exist|no longer)|the (?:\w+ ){1,3}?(?:you (?:asked|requested|were looking)(?: for)? )?(?:returned an error|does not exist|was not found|could not be (?:found|loaded)|cannot be (?:found|displayed)|is (?:temporarily |currently )?(?:down|unavailable|not available|overloaded))"
     r"|we are (?:currently )?down for|(?:down|closed) for maintenance|traceback \(most recent|exception in thread|fatal error|syntax ?error|segmentation fault|(?:uncaught|unhandled) |file \"[^\"]+\", line \d|(?:key|value|type|index|attribute|runtime|name|import|file ?not ?found|io|os)error\b|warning: \w+\(\)|stack trace|null ?pointer ?exception|captcha|checking your browser|verify (?:that )?you are (?:a )?human|rate limit|quota exceeded|too many requests"
     r"|seite nicht gefunden|(?:diese |die )?seite (?:konnte nicht|wurde nicht|ist nicht|existiert nicht)|der (?:dienst|server) (?:ist|antwortet)|zugriff verweigert|es ist ein (?:\w+ )?fehler|ein (?:\w+ )?fehler ist|interner (?:server)?fehler|nicht gefunden|sitzung abgelaufen|ihre sitzung|zeitüberschreitung|verbindung (?:fehlgeschlagen|unterbrochen)|wartungsarbeiten|dienst nicht"
     r"|(?:cette )?page (?:introuvable|non trouvée|n['’]a pas)|une erreur|erreur (?:interne|du serveur|serveur|de)|accès (?:refusé|interdit)|(?:le )?service (?:est )?(?:temporairement )?indisponible|session expirée|votre session|délai d['’]attente|le serveur (?:ne|n['’])|site en maintenance"
