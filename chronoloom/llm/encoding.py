@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -89,12 +90,13 @@ class Encoder:
         return ids
 
 def _encode(path: str, counts: bool):
+    """Replaces the last column, the text, by its ids or their number; the others pass through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for b in batches:
-            ids = [encoder.encode(t) if t else [] for t in b.column(1).to_pylist()]
+            ids = [encoder.encode(t) if t else [] for t in b.column(b.num_columns - 1).to_pylist()]
             out = pa.array([len(x) for x in ids], pa.int64()) if counts else pa.array(ids, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), out], names=[b.schema.names[0], "n_tokens" if counts else "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], names=[*b.schema.names[:-1], "n_tokens" if counts else "ids"])
 
     return run
 
@@ -107,12 +109,13 @@ def encode(docs: DataFrame, ident: str = "doc_id", text: str = "text", folder: s
     kind = docs.schema[ident].dataType.simpleString()
     return docs.select(ident, text).mapInArrow(_encode(f"{folder}/{vocabulary}", False), f"`{ident}` {kind}, ids array<int>")
 
-def token_counts(docs: DataFrame, ident: str = "doc_id", text: str = "text", folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``<ident>, n_tokens``: the same, counted."""
-    kind = docs.schema[ident].dataType.simpleString()
-    return docs.select(ident, text).mapInArrow(_encode(f"{folder}/{vocabulary}", True), f"`{ident}` {kind}, n_tokens long")
+def token_counts(docs: DataFrame, keep: list[str], text: str = "text", folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The columns ``keep`` and ``n_tokens``: the same, counted, without a join back."""
+    rows = docs.select(*keep, text)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_tokens", T.LongType())])
+    return rows.mapInArrow(_encode(f"{folder}/{vocabulary}", True), schema)
+
 
 def corpus_tokens(docs: DataFrame, **kw) -> DataFrame:
     """``source, lang, n_docs, n_tokens``: tokens of the whole corpus by source and language."""
-    counts = token_counts(docs, **kw)
-    return docs.select("doc_id", "source", "lang").join(counts, "doc_id").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    return token_counts(docs, ["source", "lang"], **kw).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))

@@ -26,10 +26,9 @@ def quality(text: Column) -> Column:
 
 def sized(docs: DataFrame, **kw) -> DataFrame:
     """``doc_id, source, n_tokens, weight`` of the records that can be in a mix: with an id, a source and tokens."""
-    d = docs.where(F.col("doc_id").isNotNull())
-    meta = d.select("doc_id", "source", quality(F.col("text")).alias("weight"))
-    counts = token_counts(d, **kw)
-    return stage(meta.join(counts, "doc_id").where(F.col("source").isNotNull() & (F.col("n_tokens") > 0)))
+    d = docs.where(F.col("doc_id").isNotNull() & F.col("source").isNotNull() & (F.length("text") > 0))
+    d = d.select("doc_id", "source", quality(F.col("text")).alias("weight"), "text")
+    return stage(token_counts(d, ["doc_id", "source", "weight"], **kw).where("n_tokens > 0"))
 
 
 def budgets(records: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:

@@ -209,7 +209,7 @@ def test_encoding_equals_the_library_and_round_trips(spark):
     for i, t in enumerate(texts):
         assert got[i] == lib.encode_ordinary(t)
         assert b"".join(back[x] for x in got[i]).decode() == t
-    n = {r["doc_id"]: r["n_tokens"] for r in encoding.token_counts(df).collect()}
+    n = {r["doc_id"]: r["n_tokens"] for r in encoding.token_counts(df, ["doc_id"]).collect()}
     assert all(n[i] == len(got[i]) for i in got)
 
 
