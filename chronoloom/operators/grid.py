@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 TILE_SLOTS = 256
 TILE_ROWS = 256
+PIECE = 65_536  #: slots of a gap that are unfolded at a time
 SUPPORT = 2  #: observed cells that the row and the column of a cell need for the cell to be filled
 
 
@@ -60,7 +61,9 @@ def grid_cells(readings: DataFrame, values: DataFrame | None = None) -> DataFram
     gaps = (
         readings.select("signal_id", "spec_type", "step_us", slots.alias("s"))
         .select("signal_id", "spec_type", "step_us", F.explode(F.expr("filter(zip_with(slice(s, 1, greatest(size(s) - 1, 0)), slice(s, 2, greatest(size(s) - 1, 0)), (a, b) -> struct(a, b)), p -> p.b - p.a > 1)")).alias("p"))
-        .select("signal_id", "spec_type", "step_us", F.explode(F.expr("sequence(p.a + 1, p.b - 1)")).alias("slot"))
+        # a gap can be long: it is unfolded in pieces, so no row holds all of its slots
+        .select("signal_id", "spec_type", "step_us", "p", F.explode(F.expr(f"sequence(0L, (p.b - p.a - 2) div {PIECE})")).alias("piece"))
+        .select("signal_id", "spec_type", "step_us", F.explode(F.expr(f"sequence(p.a + 1 + piece * {PIECE}, least(p.b - 1, p.a + (piece + 1) * {PIECE}))")).alias("slot"))
         .withColumn("n_readings", F.lit(0).cast("long"))
         .withColumn("value", F.lit(None).cast("double"))
     )
