@@ -20,12 +20,16 @@ BLOCK, HALO = 64, 16  #: chunks
 PROFILE = 32  #: readings of a profile where the signal shows no period of its own
 OVERALL, AROUND = 3.05, 2.8  #: times the high quantile of the departures, of the block and around a reading
 FOLLOW = 2.0  #: the same for a reading next to a spike
+#: departures from both the readings before and after, in the same direction: times the high quantile of the widest ones,
+#: and of those at the same distance (which is small where the signal is smooth)
+BOTH_SIDES, OWN_SCALE, BOTH_ALONE = 2.5, 8.0, 2.95
+CALM, CALM_LATE, CALM_WITHIN = 0.4, 0.5, 12  #: no more than a few readings within so many depart by this share of a spike's departure
 LONGEST_SPIKE = 6  #: readings
 STUCK_TIMES, STUCK_LEAST = 4.0, 15  #: times the longest run that the signal otherwise has, and readings
 RESTLESS = 0.2  #: share of readings that differ from the one before, below which a signal hardly ever changes
 
 
-def robust_pca(m: np.ndarray, weight: float = 0.6, rounds: int = 25) -> np.ndarray:
+def robust_pca(m: np.ndarray, weight: float = 0.4, rounds: int = 25) -> np.ndarray:
     """The sparse part of ``m`` by principal component pursuit (augmented Lagrangian, inexact).
 
     ``weight`` scales the usual price 1/sqrt(max(shape)) of a sparse entry; below 1 more entries become candidates.
@@ -72,6 +76,27 @@ def _spread(r: np.ndarray) -> float:
     return max(np.quantile(r, 0.95), 0.8 * np.quantile(r, 0.97))
 
 
+def two_sided(f: np.ndarray, step: float, most: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far each reading lies outside of both neighbours at a distance of 1 to ``most``: the widest departure, and the
+    ratios to the high quantile of the widest ones and of those at the same distance. Slopes and steps have none."""
+    n = len(f)
+    widest, own = np.zeros(n), np.zeros(n)
+    for k in range(1, most + 1):
+        before, after = f[k:-k] - f[: -2 * k], f[k:-k] - f[2 * k :]
+        e = np.zeros(n)
+        e[k:-k] = np.where(before * after > 0, np.minimum(np.abs(before), np.abs(after)), 0)
+        own = np.maximum(own, e / max(_spread(e), step))
+        widest = np.maximum(widest, e)
+    return widest, widest / max(_spread(widest), step), own
+
+
+def _beside(values: np.ndarray, at: np.ndarray, look: int, skip: int) -> np.ndarray:
+    """High quantile of ``values`` around each place, the nearest ones left out."""
+    near = _windows(np.r_[np.full(look, np.nan), values, np.full(look, np.nan)], 2 * look + 1)[at].copy()
+    near[:, look - skip : look + skip + 1] = np.nan
+    return np.nan_to_num(np.nanquantile(near, 0.9, axis=1))
+
+
 def spike_mask(f: np.ndarray, ends: bool = True) -> np.ndarray:
     """Which readings of ``f`` (finite, in range) are spikes. ``ends``: the last reading is the signal's last."""
     n = len(f)
@@ -98,22 +123,30 @@ def spike_mask(f: np.ndarray, ends: bool = True) -> np.ndarray:
         beside = np.fmin(around, np.fmin(np.abs(f - side[:n]), np.abs(f - side[b + 1 : b + 1 + n])))
         step = np.diff(np.unique(f)).min()
         overall = np.fmin(around / max(_spread(around), step), beside / max(_spread(beside), step))
-        look, skip = 24, 4
-        at = np.flatnonzero(candidate & (overall >= FOLLOW))
+        widest, both, own = two_sided(f, step)
+        at = np.flatnonzero(candidate & ((overall >= FOLLOW) | (both >= 0.6 * BOTH_SIDES)))
         if not len(at):
             return none
-        near = _windows(np.r_[np.full(look, np.nan), around, np.full(look, np.nan)], 2 * look + 1)[at].copy()
-        near[:, look - skip : look + skip + 1] = np.nan
-        local = np.zeros(n)
-        local[at] = around[at] / np.maximum(np.nan_to_num(np.nanquantile(near, 0.9, axis=1)), step)
-    odd = (overall >= OVERALL) & (local >= AROUND)
-    follow = (overall >= FOLLOW) & (local >= AROUND)
+        local, lone = np.zeros(n), np.zeros(n)
+        local[at] = around[at] / np.maximum(_beside(around, at, 24, 4), step)
+        lone[at] = widest[at] / np.maximum(_beside(widest, at, 24, 5), step)
+    sharp, active = lone >= BOTH_SIDES, np.zeros(n, bool)
+    odd = (local >= AROUND) & ((overall >= OVERALL) | ((both >= BOTH_ALONE) & sharp)) | (both >= BOTH_SIDES) & (own >= OWN_SCALE) & sharp
+    follow = (overall >= FOLLOW) & (local >= AROUND) | (both >= 0.6 * BOTH_SIDES) & (own >= 0.6 * OWN_SCALE) & sharp
+    # in a phase of strong activity the readings around depart as far
+    for i in np.flatnonzero(odd):
+        a, z = max(0, i - CALM_WITHIN), min(n, i + CALM_WITHIN + 1)
+        active[i] = min((x[a:z] >= CALM * x[i]).sum() - 1 for x in (around, widest)) > LONGEST_SPIKE - 2
+    odd &= ~active
     for _ in range(LONGEST_SPIKE):
         odd |= follow & (np.r_[False, odd[:-1]] | np.r_[odd[1:], False])
     first = np.flatnonzero(odd & ~np.r_[False, odd[:-1]])
     last = np.flatnonzero(odd & ~np.r_[odd[1:], False])
     for a, z in zip(first, last):
-        if z - a + 1 > LONGEST_SPIKE or (ends and z == n - 1):  # it lasts, or doesn't go on as before
+        beside_it = np.r_[around[max(0, a - LONGEST_SPIKE) : a], around[z + 1 : z + 1 + LONGEST_SPIKE]]
+        # it lasts, or doesn't go on as before, or starts a phase that the end cuts short
+        late = ends and z >= n - CALM_WITHIN - 1 and len(beside_it) and beside_it.max() >= CALM_LATE * around[a : z + 1].max()
+        if z - a + 1 > LONGEST_SPIKE or (ends and z == n - 1) or late:
             odd[a : z + 1] = False
     return odd
 
@@ -161,8 +194,8 @@ def _judge(group: pa.Table) -> pa.Table:
     spike, stuck = np.zeros(len(v), bool), np.zeros(len(v), bool)
     if len(good) and core.any():
         stuck[good] = stuck_mask(v[good])
-        spike[good] = spike_mask(v[good], ends=bool(at[-1] // BLOCK == block))
-        spike &= ~stuck
+        moving = good[~stuck[good]]  # a stuck stretch says nothing of what the signal does around it
+        spike[moving] = spike_mask(v[moving], ends=bool(at[-1] // BLOCK == block) and moving[-1:].tolist() == good[-1:].tolist())
     hit = core & (outside | spike | stuck)
     return pa.table({
         "signal": pa.array([group.column("signal")[0].as_py()] * int(hit.sum()), pa.string()), "chunk_idx": pa.array(chunk[hit], pa.int32()), "value_idx": pa.array(place[hit], pa.int32()),
