@@ -8,7 +8,7 @@ about ``tile_rows`` signals x ``tile_slots`` slots) per task group.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,20 +95,29 @@ def als(matrix: np.ndarray, rank: int = 3, rounds: int = 8, ridge: float = 0.1)
     return (rows @ cols.T) * scale + mean, support
 
 
-def _fill(tile: pd.DataFrame) -> pd.DataFrame:
-    ids, r = np.unique(tile["signal_id"].to_numpy(), return_inverse=True)
-    slots, c = np.unique(tile["slot"].to_numpy(), return_inverse=True)
-    matrix = np.full((len(ids), len(slots)), np.nan)
-    value = tile["value"].to_numpy(float)
-    matrix[r, c] = value
-    empty = tile["n_readings"].to_numpy() == 0
-    fit, support = als(matrix) if empty.any() and np.isfinite(matrix).any() else (matrix, np.zeros(matrix.shape, bool))
-    filled = empty & support[r, c]
-    return pd.DataFrame({
-        "signal_id": tile["signal_id"], "slot_start_us": tile["slot"] * tile["step_us"],
-        "state": np.where(~empty, "observed", np.where(filled, "filled", "missing")),
-        "value": pd.Series(np.where(filled, fit[r, c], value), index=tile.index).astype("Float64").where(~(empty & ~filled)),
-        "n_readings": tile["n_readings"],
+def _fill(tile: pa.Table) -> pa.Table:
+    """One tile: cells that several rows tell of are put together, then the empty ones are filled where they have support."""
+    ids, r = np.unique(tile.column("signal_id").to_numpy(), return_inverse=True)
+    slots, c = np.unique(tile.column("slot").to_numpy(), return_inverse=True)
+    cell, at = np.unique(r * len(slots) + c, return_inverse=True)
+    n = np.bincount(at, weights=tile.column("n_readings").to_numpy()).astype(np.int64)
+    value = tile.column("value").to_numpy()
+    known = np.isfinite(value)
+    count = np.bincount(at, weights=known)
+    value = np.bincount(at, weights=np.where(known, value, 0.0)) / np.where(count > 0, count, np.nan)
+    matrix = np.full(len(ids) * len(slots), np.nan)
+    matrix[cell] = value
+    matrix = matrix.reshape(len(ids), len(slots))
+    empty = n == 0
+    filled = np.zeros(len(cell), bool)
+    if empty.any() and np.isfinite(matrix).any():
+        fit, support = als(matrix)
+        filled = empty & support.reshape(-1)[cell]
+        value = np.where(filled, fit.reshape(-1)[cell], value)
+    state = pa.DictionaryArray.from_arrays(pa.array(np.where(~empty, 0, np.where(filled, 1, 2)), pa.int8()), ["observed", "filled", "missing"])
+    return pa.table({
+        "signal_id": ids[cell // len(slots)], "slot_start_us": slots[cell % len(slots)] * tile.column("step_us")[0].as_py(), "state": state.cast(pa.string()),
+        "value": pa.array(value, from_pandas=True), "n_readings": n,
     })
 
 
@@ -123,11 +132,9 @@ def regular_grid(signals: DataFrame, axes: DataFrame, specs: DataFrame, values:
     readings = reading_slots(signals, axes, specs)
     parts = readings.groupBy("spec_type").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).cast("int").alias("parts"))
     cells = grid_cells(readings, values).join(F.broadcast(parts), "spec_type")  # one row per spec_type of the fixed spec table
-    # signals declared twice with different rows: a slot that any of them read is read
-    cells = cells.groupBy("signal_id", "spec_type", "step_us", "slot", "parts").agg(F.sum("n_readings").alias("n_readings"), F.avg("value").alias("value"))
     cells = cells.withColumn("tile", F.expr(f"(slot - pmod(slot, {tile_slots})) div {tile_slots}")).withColumn("part", F.expr("pmod(xxhash64(signal_id), parts)"))
     out = "signal_id long, slot_start_us long, state string, value double, n_readings long"
-    return cells.select("signal_id", "spec_type", "step_us", "slot", "n_readings", "value", "tile", "part").groupBy("spec_type", "tile", "part").applyInPandas(_fill, out)
+    return cells.select("signal_id", "spec_type", "step_us", "slot", "n_readings", "value", "tile", "part").groupBy("spec_type", "tile", "part").applyInArrow(_fill, out)
 
 
 def empty_slots(grid: DataFrame) -> DataFrame:
