@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,27 +13,23 @@ from chronoloom.plans.audit_plan import _LINKS, links
 from chronoloom.plans.registry import Registry
 from chronoloom.plans.select_plan import _TASKS, tasks
 from chronoloom.plans.series_plan import _CHUNK, chunked
-from chronoloom.session import shared_dir, stage, table
+from chronoloom.session import scratch, stage, table
 from chronoloom.sources import readers
 from chronoloom.streaming import ingest
 
 io_plan = Registry()
 add = io_plan.add
 
-def place(spark) -> str:
-    """A new folder in the shared one."""
-    return posixpath.join(shared_dir(spark), f"chronoloom-io-{uuid.uuid4().hex}")
-
 @add("sc15_csv", "SELECT c_custkey, c_name, c_mktsegment, round(c_acctbal, 2) AS c_acctbal FROM customer")
 def sc15(spark, d):
-    path = place(spark)
+    path = scratch(spark)
     table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal").coalesce(1).write.csv(path, header=True)
     rows = readers.read_csv(spark, path, "c_custkey long, c_name string, c_mktsegment string, c_acctbal double")
     return rows.withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 @add("sc16_json", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
 def sc16(spark, d):
-    path = place(spark)
+    path = scratch(spark)
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     one = n.agg(F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("value"))  # the fixed table of nations
     one.write.text(path)
@@ -42,7 +37,7 @@ def sc16(spark, d):
 
 @add("sc17_jsonl", "SELECT ecg_id, patient_id, sex FROM ptbxl_recordings")
 def sc17(spark, d):
-    path = place(spark)
+    path = scratch(spark)
     table(spark, d, "ptbxl_recordings").select("ecg_id", "patient_id", "sex").write.option("ignoreNullFields", "false").json(path)
     return readers.read_jsonl(spark, path, "ecg_id long, patient_id long, sex string")
 
@@ -66,14 +61,14 @@ def sk10(spark, d):
 
 @add("sk1_version_round_trip", "SELECT record_id, clock_id, read_order FROM records")
 def sk1(spark, d):
-    path = f"{place(spark)}/org/set/1.0.0"
+    path = f"{scratch(spark)}/org/set/1.0.0"
     store.write_version({n: table(spark, d, n) for n in ("records", "sources")}, path, {"name": "Set"})
     tables, _ = store.open_version(spark, path)
     return tables["records"].select("record_id", "clock_id", "read_order")
 
 @add("sk3_values_by_spec", f"WITH {_CHUNK}, s AS (SELECT DISTINCT CAST(signal AS BIGINT) signal_id, spec_type FROM shard) SELECT signal_id, chunk_idx, n::INT AS n FROM ch JOIN s USING (signal_id) WHERE spec_type = 'eeg'")
 def sk3(spark, d):
-    path = place(spark)
+    path = scratch(spark)
     spec = table(spark, d, "shard").select(F.col("signal").cast("long").alias("signal_id"), "spec_type").distinct()
     store.write_values(chunked(spark, d).join(spec, "signal_id"), path)
     return spark.read.parquet(path).where("spec_type = 'eeg'").select("signal_id", "chunk_idx", F.size("values").alias("n"))
@@ -86,14 +81,14 @@ def sk7(spark, d):
 
 @add("sk11_manifest")
 def sk11(spark, d):
-    path = place(spark)
+    path = scratch(spark)
     table(spark, d, "signals").repartition(4, "signal_id").write.parquet(path)
     return store.manifest(spark, path)
 
 @add("au13_files_verify")
 def au13(spark, d):
     """Files that differ from their manifest after one was put away and one added."""
-    path = place(spark)
+    path = scratch(spark)
     table(spark, d, "sources").repartition(3, "source_id").write.parquet(path)
     kept = stage(store.manifest(spark, path))
     table(spark, d, "region").write.mode("append").parquet(f"{path}/extra")
@@ -101,7 +96,7 @@ def au13(spark, d):
 
 @add("sc25_catalog")
 def sc25(spark, d):
-    root = place(spark)
+    root = scratch(spark)
     t = {"records": table(spark, d, "records").select("record_id")}
     for name, version in (("one", "1.9.0"), ("one", "1.10.0"), ("two", "0.1.0")):
         store.write_version(t, f"{root}/org/{name}/{version}", {"name": name, "tags": ["ecg"], "description": "recordings"})
@@ -109,7 +104,7 @@ def sc25(spark, d):
 
 @add("ext_stream_windows", "SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def ext_stream(spark, d):
-    folder = place(spark)
+    folder = scratch(spark)
     events = table(spark, d, "events")
     events.repartition(3).write.parquet(f"{folder}/in")
     name = f"w_{uuid.uuid4().hex}"
@@ -119,7 +114,7 @@ def ext_stream(spark, d):
 
 @add("ext_stream_once", "SELECT count(DISTINCT event_id) AS n FROM events")
 def ext_once(spark, d):
-    folder = place(spark)
+    folder = scratch(spark)
     events = table(spark, d, "events")
     events.unionByName(events).repartition(4).write.parquet(f"{folder}/in")
     ingest.append(ingest.once(ingest.read_events(spark, f"{folder}/in", events.schema), late="100 days"), f"{folder}/out", f"{folder}/ck").awaitTermination()
@@ -127,7 +122,7 @@ def ext_once(spark, d):
 
 @add("fl13_repeated_header", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
 def fl13(spark, d):
-    path = place(spark)
+    path = scratch(spark)
     r = table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("r_regionkey"), "r_name")
     head = spark.createDataFrame([("r_regionkey", "r_name")], "r_regionkey string, r_name string")
     r.unionByName(head).unionByName(head).coalesce(1).write.csv(path, header=True)

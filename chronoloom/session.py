@@ -44,14 +44,20 @@ def stage(df: DataFrame) -> DataFrame:
     the planner true sizes. The table lives until ``unstage`` or the end of the process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chronoloom-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _staged.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._chronoloom_path = path
     return out
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below the shared folder, deleted at the end of the process."""
+    path = f"{shared_dir(spark)}/chronoloom-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
 def unstage(df: DataFrame | None) -> None:
     """Drop a table made by ``stage`` that nothing reads any more."""
     path = getattr(df, "_chronoloom_path", None)
