@@ -41,14 +41,15 @@ def p3_groups(spark, d):
 
 @llm.add("p3_assigned")
 def p3_assigned(spark, d):
-    return grouping.assign(grouping.groups(table(spark, d, "ptbxl_recordings"), table(spark, d, "cot_rows")), table(spark, d, "split_targets"))
+    rows = table(spark, d, "cot_rows")
+    return grouping.assign(grouping.groups(table(spark, d, "ptbxl_recordings"), rows), rows, table(spark, d, "split_targets"))
 
 
 @llm.add("p3_shares")
 def p3_shares(spark, d):
     rows = table(spark, d, "cot_rows")
     targets = table(spark, d, "split_targets")
-    return grouping.shares(grouping.assign(grouping.groups(table(spark, d, "ptbxl_recordings"), rows), targets), rows, targets)
+    return grouping.shares(grouping.assign(grouping.groups(table(spark, d, "ptbxl_recordings"), rows), rows, targets), rows, targets)
 
 
 @llm.add("p4_found")

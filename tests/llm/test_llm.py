@@ -56,11 +56,22 @@ def test_split_shares_and_whole_groups(spark):
     recs = spark.createDataFrame([(i, 1 + i // 3, "") for i in range(1, 9001)], REC)
     c = spark.range(1, 9001).selectExpr("id as row_id", "id as ecg_id", "'train' as split")
     t = spark.createDataFrame([("train", 7.0), ("validation", 1.5), ("test", 1.5), ("none", 0.0), (None, 3.0)], "split string, share double")
-    a = grouping.assign(grouping.groups(recs, c), t)
+    a = grouping.assign(grouping.groups(recs, c), c, t)
     assert a.groupBy("group_id").agg({"split": "min"}).count() == a.select("group_id", "split").distinct().count()
     got = {r["split"]: r["share"] for r in grouping.shares(a, c, t).collect()}
     assert set(got) == {"train", "validation", "test"} and abs(got["train"] - 0.7) < 0.03 and abs(got["test"] - 0.15) < 0.03
-    assert rows(a) == rows(grouping.assign(grouping.groups(recs, c.limit(9000)), t))
+    assert rows(a) == rows(grouping.assign(grouping.groups(recs, c), c, t))
+
+
+def test_large_groups_do_not_upset_the_shares(spark):
+    recs = spark.createDataFrame([(i, 1 if i <= 3000 else 2 if i <= 3900 else i, "") for i in range(1, 9001)], REC)
+    c = spark.range(1, 9001).selectExpr("id as row_id", "id as ecg_id", "'train' as split")
+    t = spark.createDataFrame([("train", 0.7), ("validation", 0.15), ("test", 0.15)], "split string, share double")
+    a = grouping.assign(grouping.groups(recs, c), c, t)
+    assert a.where("ecg_id <= 3000").select("split").distinct().count() == 1
+    assert all(abs(r["share"] - r["target"]) < 0.02 for r in grouping.shares(a, c, t).collect())
+    empty = c.limit(0)
+    assert grouping.assign(grouping.groups(recs, empty), empty, t).count() == 0
 
 
 # problem 4
