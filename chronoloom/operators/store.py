@@ -32,6 +32,42 @@ def write_values(chunks: DataFrame, path: str, spec: str = "spec_type", key: str
     w.parquet(path)
 
 
+def write_parts(rows: DataFrame, path: str, most: int) -> None:
+    """Files of at most ``most`` rows each."""
+    rows.write.option("maxRecordsPerFile", most).parquet(path)
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file made by the driver."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p)
+    out.write(bytearray(content))
+    out.close()
+
+
+def _encodings(batches):
+    import io
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for b in batches:
+        file, column, encoding = [], [], []
+        for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+            meta = pq.ParquetFile(io.BytesIO(content)).metadata
+            for g in range(meta.num_row_groups):
+                for c in range(meta.num_columns):
+                    x = meta.row_group(g).column(c)
+                    file.append(path.rpartition("/")[2]), column.append(x.path_in_schema), encoding.append(sorted(x.encodings))
+        yield pa.RecordBatch.from_arrays([pa.array(file, pa.string()), pa.array(column, pa.string()), pa.array(encoding, pa.list_(pa.string()))], names=["file", "column", "encodings"])
+
+
+def applied_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """``file, column, encodings`` of every column chunk, read from the files' footers where the files are."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "content")
+    return files.mapInArrow(_encodings, "file string, column string, encodings array<string>")
+
+
 def encoding_for(values: DataFrame, column: str = "value", stride: int = 7) -> str:
     """``dictionary`` up to 65,536 distinct values in a strided sample, else ``plain``; the sample is the feature."""
     s = values.where(F.pmod(F.xxhash64(*values.columns), F.lit(stride)) == 0)

@@ -282,3 +282,61 @@ def ext_salted(spark, d):
     """Counts and means by a skewed key. Partial sums are combined before the exchange, so the hot key needs no salt."""
     return table(spark, d, "annotation_occurrences").groupBy("object_type", "object_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 5).alias("mean"))
 
+
+
+_WAVE = "SELECT 'I' AS label, i::INT AS step, round(round(1000 * sin(i * 2 * pi() / 16)) / 1000, 4) + 0.0 AS value FROM range(512) t(i)"
+
+
+def _wave():
+    import math
+
+    return [round(1000 * math.sin(i * 2 * math.pi / 16)) for i in range(512)]
+
+
+@add("sc20_edf", _WAVE)
+def sc20(spark, d):
+    """A demo wave written as EDF (64 records of 8 samples) and read back in physical units."""
+    import struct
+
+    text = lambda x, n: str(x).ljust(n).encode()
+    head = text(0, 8) + text("p", 80) + text("r", 80) + text("01.01.20", 8) + text("00.00.00", 8) + text(512, 8) + text("", 44) + text(64, 8) + text(1, 8) + text(1, 4)
+    head += text("I", 16) + text("", 80) + text("mV", 8) + text(-1, 8) + text(1, 8) + text(-1000, 8) + text(1000, 8) + text("", 80) + text(8, 8) + text("", 32)
+    path = f"{scratch(spark)}/wave.edf"
+    store.write_bytes(spark, path, head + struct.pack("<512h", *_wave()))
+    return readers.read_edf(spark, path).select("label", F.posexplode("values").alias("step", "v")).select("label", "step", (F.round(F.col("v").cast("double"), 4) + F.lit(0.0)).alias("value"))
+
+
+@add("sc21_wfdb", _WAVE)
+def sc21(spark, d):
+    """The same wave as a WFDB record with a gain of 1000 and a baseline of 5."""
+    import struct
+
+    folder = scratch(spark)
+    store.write_bytes(spark, f"{folder}/w.hea", b"w 1 250 512\nw.dat 16 1000(5)/mV 16 0 0 0 0 I\n")
+    store.write_bytes(spark, f"{folder}/w.dat", struct.pack("<512h", *[x + 5 for x in _wave()]))
+    return readers.read_wfdb(spark, folder).select("label", F.posexplode("values").alias("step", "v")).select("label", "step", (F.round(F.col("v").cast("double"), 4) + F.lit(0.0)).alias("value"))
+
+
+@add("sk8_applied_encodings")
+def sk8(spark, d):
+    """Encodings that the footers of a dictionary-encoded version show."""
+    path = scratch(spark)
+    spec = table(spark, d, "shard").select(F.col("signal").cast("long").alias("signal_id"), "spec_type").distinct()
+    store.write_values(chunked(spark, d).join(spec, "signal_id"), path, dictionary=True)
+    return store.applied_encodings(spark, path).groupBy("column").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("encodings")))).alias("encodings"))
+
+
+@add("sk12_parts", "SELECT max(n) <= 500 AS bounded, sum(n)::BIGINT AS n FROM (SELECT count(*) AS n FROM cot_rows GROUP BY (row_id - 1) // 500)")
+def sk12(spark, d):
+    path = scratch(spark)
+    store.write_parts(table(spark, d, "cot_rows").coalesce(1), path, 500)
+    per = spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n"))
+    return per.agg((F.max("n") <= 500).alias("bounded"), F.sum("n").alias("n"))
+
+
+@add("sk13_copied_version", "SELECT count(*) AS n FROM records")
+def sk13(spark, d):
+    root = scratch(spark)
+    store.write_version({"records": table(spark, d, "records")}, f"{root}/a/set/1.0.0", {"name": "Set"})
+    store.copy_version(spark, f"{root}/a/set/1.0.0", f"{root}/b/set/1.0.0")
+    return store.open_version(spark, f"{root}/b/set/1.0.0")[0]["records"].agg(F.count(F.lit(1)).alias("n"))
