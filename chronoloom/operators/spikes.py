@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 BLOCK, HALO = 64, 16  #: chunks
 PROFILE = 32  #: readings of a profile where the signal shows no period of its own
 OVERALL, AROUND = 3.05, 2.8  #: times the high quantile of the departures, of the block and around a reading
-FOLLOW = 2.0  #: the same for a reading next to a spike
+FOLLOW, SHARE = 2.0, 0.4  #: the same for a reading next to a spike, and how much of the spike's departure it must have
 #: departures from both the readings before and after, in the same direction: times the high quantile of the widest ones,
 #: and of those at the same distance (which is small where the signal is smooth)
 BOTH_SIDES, OWN_SCALE, BOTH_ALONE = 2.5, 8.0, 2.95
@@ -132,14 +132,20 @@ def spike_mask(f: np.ndarray, ends: bool = True) -> np.ndarray:
         lone[at] = widest[at] / np.maximum(_beside(widest, at, 24, 5), step)
     sharp, active = lone >= BOTH_SIDES, np.zeros(n, bool)
     odd = (local >= AROUND) & ((overall >= OVERALL) | ((both >= BOTH_ALONE) & sharp)) | (both >= BOTH_SIDES) & (own >= OWN_SCALE) & sharp
-    follow = (overall >= FOLLOW) & (local >= AROUND) | (both >= 0.6 * BOTH_SIDES) & (own >= 0.6 * OWN_SCALE) & sharp
+    near = (overall >= FOLLOW) & (local >= AROUND), (both >= 0.6 * BOTH_SIDES) & (own >= 0.6 * OWN_SCALE) & sharp
     # in a phase of strong activity the readings around depart as far
     for i in np.flatnonzero(odd):
         a, z = max(0, i - CALM_WITHIN), min(n, i + CALM_WITHIN + 1)
         active[i] = min((x[a:z] >= CALM * x[i]).sum() - 1 for x in (around, widest)) > LONGEST_SPIKE - 2
     odd &= ~active
+    # a spike goes on in a neighbour that departs by a good part of what it does
     for _ in range(LONGEST_SPIKE):
-        odd |= follow & (np.r_[False, odd[:-1]] | np.r_[odd[1:], False])
+        grown = odd.copy()
+        for follow, departs in zip(near, (around, widest)):
+            left = np.r_[False, odd[:-1]] & (departs >= SHARE * np.r_[0, departs[:-1]])
+            right = np.r_[odd[1:], False] & (departs >= SHARE * np.r_[departs[1:], 0])
+            grown |= follow & (left | right)
+        odd = grown
     first = np.flatnonzero(odd & ~np.r_[False, odd[:-1]])
     last = np.flatnonzero(odd & ~np.r_[odd[1:], False])
     for a, z in zip(first, last):
