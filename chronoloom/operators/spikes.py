@@ -29,6 +29,17 @@ STUCK_TIMES, STUCK_LEAST = 4.0, 15  #: times the longest run that the signal oth
 RESTLESS = 0.2  #: share of readings that differ from the one before, below which a signal hardly ever changes
 
 
+def shrink(x: np.ndarray, by: float) -> np.ndarray:
+    """``x`` with singular values lessened by ``by``, from the eigenvectors of the smaller Gram matrix."""
+    if x.shape[0] > x.shape[1]:
+        return shrink(x.T, by).T
+    squares, u = np.linalg.eigh(x @ x.T)
+    d = np.sqrt(np.maximum(squares, 0))
+    keep = d > by
+    u = u[:, keep]
+    return (u * (1 - by / d[keep])) @ (u.T @ x)
+
+
 def robust_pca(m: np.ndarray, weight: float = 0.4, rounds: int = 25) -> np.ndarray:
     """The sparse part of ``m`` by principal component pursuit (augmented Lagrangian, inexact).
 
@@ -41,14 +52,13 @@ def robust_pca(m: np.ndarray, weight: float = 0.4, rounds: int = 25) -> np.ndarr
     y = m / max(norm, np.abs(m).max() / price)
     mu, s = 1.25 / norm, np.zeros_like(m)
     for _ in range(rounds):
-        u, d, v = np.linalg.svd(m - s + y / mu, full_matrices=False)
-        low = (u * np.maximum(d - 1 / mu, 0)) @ v
+        low = shrink(m - s + y / mu, 1 / mu)
         rest = m - low + y / mu
         s = np.sign(rest) * np.maximum(np.abs(rest) - price / mu, 0)
         gap = m - low - s
         y += mu * gap
-        mu *= 1.5
-        if np.linalg.norm(gap) < 1e-5 * np.linalg.norm(m):
+        mu *= 2
+        if np.abs(gap).max() < 1e-4 * norm:
             break
     return s
 
@@ -73,7 +83,8 @@ def _windows(f: np.ndarray, n: int) -> np.ndarray:
 
 
 def _spread(r: np.ndarray) -> float:
-    return max(np.quantile(r, 0.95), 0.8 * np.quantile(r, 0.97))
+    a, b = np.quantile(r, [0.95, 0.97])
+    return max(a, 0.8 * b)
 
 
 def two_sided(f: np.ndarray, step: float, most: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
