@@ -100,9 +100,10 @@ def slice_axis(located: DataFrame) -> DataFrame:
 
 def epochs(intervals: DataFrame, length: int) -> DataFrame:
     """Cuts intervals into tiles of ``length``: ``occurrence_id, tile, start_us, end_us``; ``whole`` tells whether they
-    divide exactly."""
+    divide exactly. Long intervals unfold in pieces of 1024 tiles, so no row holds all tiles of one."""
     n = F.ceil((F.col("end_us") - F.col("start_us")) / F.lit(length)).cast("int")
-    rows = intervals.where(F.col("end_us") > F.col("start_us")).select("occurrence_id", "start_us", "end_us", F.explode(F.sequence(F.lit(0), n - 1)).alias("tile"))
+    rows = intervals.where(F.col("end_us") > F.col("start_us")).select("occurrence_id", "start_us", "end_us", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(1024))).alias("first"))
+    rows = rows.select("occurrence_id", "start_us", "end_us", F.explode(F.sequence("first", F.least(F.col("first") + 1023, F.col("n") - 1))).alias("tile"))
     start = F.col("start_us") + F.col("tile").cast("long") * length
     return rows.select("occurrence_id", "tile", start.alias("start_us"), F.least(start + length, F.col("end_us")).alias("end_us"), ((F.col("end_us") - F.col("start_us")) % length == 0).alias("whole"))
 
