@@ -45,21 +45,46 @@ def on_cycles(closed: DataFrame) -> DataFrame:
     return closed.where("u = v").select(F.col("u").alias("node"))
 
 
-def levels(links: DataFrame, nodes: DataFrame, rounds: int = 1000) -> DataFrame:
+def levels(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, level``: level 0 needs nothing, others come after all they link to; nodes in or above cycles get none.
 
-    ``links`` say that u needs v. Rounds peel off what needs nothing that is left.
+    ``links`` say that u needs v. Chains of nodes that need one node each are crossed by pointer doubling, so a chain costs
+    log2 of its length; what is left, with chains as links of their length, is peeled until nothing is free. Any depth.
     """
-    left = stage(nodes.select("node").distinct())
-    rest = stage(links.where("u <> v").select("u", "v").distinct().join(left.select(F.col("node").alias("v")), "v", "left_semi"))
-    own_loop = links.where("u = v").select(F.col("u").alias("node")).distinct()
-    out = None
-    for level in range(rounds):
-        free = stage(left.join(rest.select(F.col("u").alias("node")).distinct(), "node", "left_anti").join(own_loop, "node", "left_anti"))
-        if not free.limit(1).count():
+    every = stage(nodes.select("node").distinct())
+    rest = links.where("u <> v").select("u", "v").distinct()
+    for c in "uv":
+        rest = rest.join(every.select(F.col("node").alias(c)), c, "left_semi")
+    rest = stage(rest.select("u", "v"))
+    own_loop = stage(links.where("u = v").select(F.col("u").alias("node")).distinct())
+    needs = stage(rest.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v")).withColumnRenamed("u", "node").join(own_loop, "node", "left_anti"))
+    single = stage(needs.where("n = 1").select("node", "v"))
+    # node, to, steps, open: whether ``to`` needs one node only itself, so that the way goes on
+    goes_on = single.select(F.col("node").alias("to"), F.lit(True).alias("open"))
+    jump = stage(single.select("node", F.col("v").alias("to"), F.lit(1).alias("steps")).join(goes_on, "to", "left").select("node", "to", "steps", F.coalesce("open", F.lit(False)).alias("open")))
+    size, reach = single.count(), 1
+    while reach <= size and jump.where("open").limit(1).count():
+        ahead = jump.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"), F.col("open").alias("_open"))
+        moved = jump.where("open").join(ahead, "to").select("node", F.col("_to").alias("to"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_open").alias("open"))
+        after = stage(jump.where("not open").unionByName(moved))
+        unstage(jump)
+        jump, reach = after, 2 * reach
+    jump = jump.where("not open").select("node", "to", "steps")  # a way that is still open runs into a cycle
+
+    # nodes that need several: their links lead to the ends of chains; one into a cycle keeps its own end, which never is free
+    several = rest.join(single.select(F.col("node").alias("u")), "u", "left_anti").join(own_loop.select(F.col("node").alias("u")), "u", "left_anti")
+    ends = jump.select(F.col("node").alias("v"), "to", "steps")
+    rest = stage(several.join(ends, "v", "left").select("u", F.coalesce("to", "v").alias("v"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")).groupBy("u", "v").agg(F.max("steps").alias("steps")))
+    front = stage(every.join(needs.select("node"), "node", "left_anti").join(own_loop, "node", "left_anti").withColumn("level", F.lit(0)))
+    out, best, turn = front, None, 0
+    while rest.limit(1).count():
+        hit = rest.join(front.select(F.col("node").alias("v"), "level"), "v").select(F.col("u").alias("node"), (F.col("level") + F.col("steps")).alias("level"))
+        best = stage((hit if best is None else best.unionByName(hit)).groupBy("node").agg(F.max("level").alias("level")))
+        rest = stage(rest.join(front.select(F.col("node").alias("v")), "v", "left_anti"))
+        waits = rest.select(F.col("u").alias("node")).distinct()
+        front, best = stage(best.join(waits, "node", "left_anti")), best.join(waits, "node", "left_semi")
+        if not front.limit(1).count():
             break
-        part = free.withColumn("level", F.lit(level))
-        out = part if out is None else out.unionByName(part)
-        left = stage(left.join(free, "node", "left_anti"))
-        rest = stage(rest.join(free.select(F.col("node").alias("v")), "v", "left_anti"))
-    return out if out is not None else nodes.select("node", F.lit(0).alias("level")).limit(0)
+        out, turn = out.unionByName(front), turn + 1
+        out = stage(out) if turn % 32 == 0 else out  # keeps the plan short
+    return out.unionByName(jump.join(out.withColumnRenamed("node", "to"), "to").select("node", (F.col("level") + F.col("steps")).alias("level")))
