@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.session import stage
+
 SHINGLE, SIMILARITY = 5, 0.8
+SMALL = 64  #: members of a bucket that are compared with each other at most
 
 
 def word_shingles(words: Column, n: int = SHINGLE) -> Column:
@@ -28,12 +31,35 @@ def band_keys(shingles: Column, bands: int = 8, rows: int = 3) -> Column:
 def similar_pairs(docs: DataFrame, ident: str, shingles: str, similarity: float = SIMILARITY, bands: int = 8, rows: int = 3) -> DataFrame:
     """Links ``u, v`` between distinct shingle sets with Jaccard similarity of at least ``similarity``.
 
-    Within a band's bucket every member is compared with the bucket's least member only; a member that isn't similar
-    to it moves on to a bucket of its own kind by a second key, the least shingle, so buckets never yield all pairs.
+    Small buckets of a band are compared in full. In a large one every member is compared with the least, the head. Members
+    that are similar to it need no links among themselves; by the triangle inequality of the Jaccard distance they can only
+    be similar to rejected members that are less than twice the distance away, and are compared with these. The rejected
+    ones are a bucket again, until none are left. So whatever is similar and shares a bucket is connected by the links.
     ``docs`` must hold each shingle set once. 
     """
-    keyed = docs.where(F.size(shingles) > 0).select(F.col(ident).alias("v"), F.col(shingles).alias("sv"), F.posexplode(band_keys(F.col(shingles), bands, rows)).alias("band", "key"))
-    heads = keyed.groupBy("band", "key").agg(F.min_by(F.struct("v", "sv"), "v").alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = keyed.join(heads, ["band", "key"]).where(F.col("v") != F.col("h.v"))
-    same = F.size(F.array_intersect("sv", "h.sv"))
-    return pairs.where(same / (F.size("sv") + F.size("h.sv") - same) >= similarity).select(F.col("h.v").alias("u"), "v").distinct()
+    def share(a: str, b: str) -> Column:
+        same = F.size(F.array_intersect(a, b))
+        return same / (F.size(a) + F.size(b) - same)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs.where(share("su", "sv") >= similarity).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+    def other(df: DataFrame) -> DataFrame:
+        return df.select("band", "key", F.col("v").alias("u"), F.col("sv").alias("su"))
+
+    left = docs.where(F.size(shingles) > 0).select(F.col(ident).alias("v"), F.col(shingles).alias("sv"), F.posexplode(band_keys(F.col(shingles), bands, rows)).alias("band", "key"))
+    out = None
+    while True:
+        heads = left.groupBy("band", "key").agg(F.min("v").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        left = stage(left.join(heads, ["band", "key"]))
+        small, large = left.where(F.col("n") <= SMALL), left.where(F.col("n") > SMALL)
+        links = linked(small.join(other(small), ["band", "key"]).where("u < v"))
+        out = stage(links if out is None else out.unionByName(links))
+        if not large.limit(1).count():
+            return out.distinct()
+        first = large.where("v = head").select("band", "key", F.col("v").alias("u"), F.col("sv").alias("su"))
+        seen = stage(large.where("v <> head").join(first, ["band", "key"]).withColumn("share", share("su", "sv")).select("band", "key", "u", "v", "sv", "share"))
+        near = seen.where((F.col("share") < similarity) & (F.col("share") >= 2 * similarity - 1 - 1e-9)).select("band", "key", "v", "sv")
+        good = seen.where(F.col("share") >= similarity)
+        out = out.unionByName(good.select("u", "v")).unionByName(linked(near.join(other(good), ["band", "key"])))
+        left = seen.where(F.col("share") < similarity).select("v", "sv", "band", "key")
