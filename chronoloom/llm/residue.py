@@ -134,13 +134,15 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(trusted, pa.bool_()), pa.array(plausible, pa.bool_()), pa.array(feats, pa.list_(pa.int32()))], names=["doc_id", "kind", "trusted", "plausible", "feats"])
 
 
-def fit(flat: np.ndarray, row: np.ndarray, slot: np.ndarray, trusted: np.ndarray, rounds: int = ROUNDS) -> dict[bool, tuple[np.ndarray, float]]:
+def fit(flat: np.ndarray, row: np.ndarray, slot: np.ndarray, trusted: np.ndarray, rounds: int = ROUNDS, weight: np.ndarray | None = None) -> dict[bool, tuple[np.ndarray, float]]:
     """Weights of features and a prior for slots (True) and for sentences (False), from positive and unlabelled passages by EM.
 
     Trusted passages stay residue; the others start as content and get the probability that the model of the round
-    before gives them.
+    before gives them. ``weight``: how many passages of the corpus each one stands for; only proportions count, so that
+    neither sampling rates nor the size of the corpus move a score.
     """
     p = trusted.astype(float)
+    weight = np.ones(len(p)) if weight is None or not len(p) else weight / weight.mean()
     models = {}
     for kind in (True, False):
         own = slot == kind  # a model for each kind of passage
@@ -149,10 +151,10 @@ def fit(flat: np.ndarray, row: np.ndarray, slot: np.ndarray, trusted: np.ndarray
         seen = np.bincount(f, minlength=BUCKETS) > 0
         weights, prior = np.zeros(BUCKETS), 0.0
         for _ in range(rounds if own.any() else 0):
-            pos = np.bincount(f, weights=p[r], minlength=BUCKETS) + seen
-            neg = np.bincount(f, weights=1 - p[r], minlength=BUCKETS) + seen
+            pos = np.bincount(f, weights=(p * weight)[r], minlength=BUCKETS) + seen
+            neg = np.bincount(f, weights=((1 - p) * weight)[r], minlength=BUCKETS) + seen
             weights = np.where(seen, np.log(np.where(seen, pos / pos.sum(), 1)) - np.log(np.where(seen, neg / neg.sum(), 1)), 0.0)
-            share = min(max(p[own].mean(), 1e-4), 1 - 1e-4)
+            share = min(max(np.average(p[own], weights=weight[own]), 1e-4), 1 - 1e-4)
             prior = float(np.log(share / (1 - share)))
             score = np.bincount(r, weights=weights[f], minlength=len(p)) + prior
             p = np.where(own & ~trusted, 1 / (1 + np.exp(-np.clip(score, -30, 30))), p)
@@ -183,7 +185,7 @@ def scored_passages(docs: DataFrame, fit_trusted: int = FIT_TRUSTED, fit_other:
     """``doc_id, kind, trusted, plausible, score`` of every passage of every document.
 
     The model is fitted on at most ``fit_trusted`` trusted and ``fit_other`` other passages (those with the smallest
-    hashes, whatever the size of the corpus); all passages are scored.
+    hashes, whatever the size of the corpus), each weighted by the inverse of its sampling rate; all passages are scored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length(F.trim("text")) > 0))
     marked = stage(rows.mapInArrow(_passages, "doc_id long, kind string, trusted boolean, plausible boolean, feats array<int>"))
@@ -201,7 +203,9 @@ def scored_passages(docs: DataFrame, fit_trusted: int = FIT_TRUSTED, fit_other:
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)) if len(lists) else np.zeros(0, int)
     slot = np.array([k == "slot" for k in t.column("kind").to_pylist()], bool)
-    models = fit(flat, row, slot, t.column("trusted").to_numpy(zero_copy_only=False).astype(bool) if len(lists) else np.zeros(0, bool))
+    trusted = t.column("trusted").to_numpy(zero_copy_only=False).astype(bool) if len(lists) else np.zeros(0, bool)
+    weight = np.where(trusted, n.get(True, 0) / max(1, trusted.sum()), n.get(False, 0) / max(1, (~trusted).sum()))
+    models = fit(flat, row, slot, trusted, weight=weight)
     return marked.mapInArrow(_score(models), "doc_id long, kind string, trusted boolean, plausible boolean, score double")
 
 
