@@ -1,156 +1,253 @@
 """Broken prompt and response pairs: empty, truncated, refusing, copying and other-language responses.
 
-Openings of responses are clustered by verified MinHash; a cluster that recurs across unrelated prompts and whose
-members decline is a refusal template. Copies, languages and terminations are checked per response: languages against
-words learned from the corpus, terminations against how sentences of the corpus end.
+Every response is looked at once, in one Arrow pass that gives its words, its flags and the five-word runs of its opening.
+Openings of answers are clustered by verified MinHash: a template that recurs as the answer to unrelated prompts answers
+none of them, so it is a refusal, and so is every response whose opening holds a run that the template always has. No phrase
+is listed. Copies, languages and terminations are checked per response: languages against words learned from the corpus,
+terminations against how sentences of the corpus end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm import text as T
-from chronoloom.llm.minhash import similar_pairs, word_shingles
+from chronoloom.llm.minhash import SHINGLE, similar_pairs
 from chronoloom.operators.components import connected_components
 from chronoloom.session import stage
 
-OPENING_WORDS = 9
+OPENING_WORDS = 14
+CORE = 0.5  #: share of the kinds of a cluster that have a run of its template
 COPY = 0.8  #: share of the question's words in the response, and of the response's words in the question
 USUAL_END = 0.005  #: an unpunctuated ending is usual if this share of all responses has it
+SHORT = 12  #: words below which a response is too short for function words to tell its language
+FLUSH = 200_000  #: keys of a partial count that a task holds at a time
 
 # fixed values: stand-ins for a missing value ("none" and "no" are answers)
 STAND_INS = ["", "null", "nan", "n/a", "na", "n.a.", "#n/a", "[]", "{}", "()", "-", "--", "---", "...", "…", "?", "??", "???", ".", "_", "<empty>", "<null>", "<none>", "<na>", "(empty)", "(null)", "nil", "undefined", "empty", "missing", '""', "''", "answer:", "final answer:", "answer", "antwort:", "réponse :", "réponse:", "respuesta:", "the answer is", "tbd", "<na>", "<answer>"]
 LABELS = r"^(?:q|question|you asked|the question (?:is|was)|asked|prompt|frage|sie fragten|pregunta|preguntó|usted preguntó|question posée|vous avez demandé)\s*[:\-–]\s*"
-# fixed values: phrases that decline, by language
-DECLINES = [
-    r"\b(?:can(?:'|’)?t|can ?not|could not|won(?:'|’)?t|will not|unable to|not able to|not (?:in a position|allowed|permitted|qualified) to|must decline to|have to decline to|decline to|refuse to) (?:\w+ ){0,2}?(?:help|assist|answer|interpret|provide|comply|give|diagnose|offer|respond|fulfil+|do that|do this|comment|discuss|advise|evaluate this request|process this|continue with)",
-    r"\b(?:must|have to|need to) decline\b", r"\boutside (?:of )?what i (?:may|can|am able to|am allowed to) do\b", r"\bas an? (?:automated|ai|language|virtual) (?:assistant|model|language model|system)\b",
-    r"\b(?:darf|kann|möchte|werde) (?:ich |leider |nicht )*(?:\w+ ){0,5}?nicht (?:\w+ ){0,2}?(?:beantworten|auswerten|beurteilen|helfen|geben|weiterhelfen|bearbeiten|interpretieren)\b", r"\bkann ich (?:\w+ ){0,4}nicht (?:\w+ ){0,2}(?:auswerten|helfen|dienen)\b", r"\bbin (?:ich )?(?:\w+ ){0,2}nicht (?:in der lage|befugt|berechtigt)\b", r"\bnicht (?:dazu )?(?:beantworten|auswerten)\b",
-    r"\b(?:ne|n['’]) ?(?:peux|puis|suis|saurais|veux) (?:pas|en mesure)[^.]{0,40}(?:aider|répondre|interpréter|donner|fournir|traiter|analyser)", r"\bje ne suis pas (?:en mesure|autorisé)", r"\bje dois (?:refuser|décliner)\b",
-    r"\bno (?:puedo|me es posible|estoy en condiciones|me está permitido|podemos|debo) (?:\w+ ){0,3}?(?:ayudar|responder|interpretar|dar|atender|ofrecer|contestar|analizar|proporcionar)", r"\bno me es posible\b", r"\bdebo (?:rechazar|declinar)\b",
-]
-OPEN_WORDS = "and or the a an of to in with at by for from as is are was were be that which but than und oder der die das ein eine mit von zu im in bei als ist sind et ou le la les un une de du des dans avec à en est sont y o el los las del con en es son que por para al".split()
+OPEN_WORDS = "and or the a an of to in with at by for from as is are was were be that which but than und oder der die das ein eine mit von zu im in bei als ist sind et ou le la les un une de du des dans avec à en est sont y o el los las del con en es son una que por para al".split()
 ENDINGS = r"""[.!?。]['"”’)\]»*_]*$"""
 CUT = r"(?:[,;:(\[{/–—&+]|\s-|…|\.\.\.|\[(?:output|token|length|max)[^\]]*\]|\((?:cut|truncated|continued|output)[^)]*\)|<(?:truncated|cut|eos|end)[^>]*>)$"
 SAYS = r"(?:final answer|answer|the answer is|therefore the answer is|antwort|die antwort lautet|réponse|la réponse est|respuesta|la respuesta es)\s*:?\s+(\S[^.!?]*)$"
 
+_ZERO, _BLANK, _LEADS = re.compile(T.ZERO_WIDTH), re.compile(T.BLANK), re.compile(T.LEADS)
+_WORDS, _NUMBER = re.compile(r"[^\W_]+(?:['’][^\W_]+)*"), re.compile(r"[0-9]+(?:[.,][0-9]+)*")
+_NO_WORD, _NO_TEXT, _KEPT = re.compile(r"[^\w ]|_"), re.compile(r"[\W_]+"), re.compile(r"[^\w#§'’.!? ]|_")
+_LABELS, _ENDINGS, _CUT, _SAYS = re.compile(LABELS), re.compile(ENDINGS), re.compile(CUT), re.compile(SAYS)
+_EMPTY, _OPEN = frozenset(STAND_INS), frozenset(OPEN_WORDS)
+LANGUAGES = list(T.FUNCTION_WORDS)
+_TALLY: dict[str, list[int]] = {}
+for _i, _own in enumerate(T.FUNCTION_WORDS.values()):
+    for _w in set(_own):
+        _TALLY.setdefault(_w, []).append(_i)
 
-def responses(rows: DataFrame) -> DataFrame:
-    """Long form: ``row_id, field, question, answer, text, plain, tokens, asked``; null row ids are left out."""
-    r = rows.where(F.col("row_id").isNotNull()).select("row_id", "question", "answer", "rationale").dropDuplicates(["row_id"])
-    r = r.withColumn("q", T.squeeze(F.col("question")))
-    r = r.select("row_id", F.col("q").alias("question"), T.words(F.col("q")).alias("asked"), T.squeeze(F.col("answer")).alias("answer"), F.explode(F.array(F.struct(F.lit("answer").alias("field"), F.col("answer").alias("text")), F.struct(F.lit("rationale").alias("field"), F.col("rationale").alias("text")))).alias("x"))
-    r = r.select("row_id", "question", "asked", "answer", "x.field", F.col("x.text").alias("text")).withColumn("plain", T.squeeze(F.col("text")))
-    return r.withColumn("tokens", T.words(F.col("plain")))
+
+def _squeeze(text: str | None) -> str:
+    return _BLANK.sub(" ", _ZERO.sub("", text or "")).strip(" ")
+
+
+def _skeleton(low: str) -> str:
+    return _LEADS.sub("§", _NUMBER.sub("#", low))
+
+
+def _votes(tokens: list[str]) -> list[int]:
+    out = [0] * len(LANGUAGES)
+    for t in tokens:
+        for i in _TALLY.get(t, ()):
+            out[i] += 1
+    return out
 
 
-def is_empty(plain: Column) -> Column:
-    """No content, or a stand-in for a missing value."""
-    return F.lower(plain).isin(*STAND_INS) | (F.length(F.regexp_replace(plain, r"[^\p{L}\p{N}]", "")) == 0)
+def _language(votes: list[int], least: int) -> str | None:
+    """The language with the most function words; none with fewer than ``least`` or a tie."""
+    top = max(votes)
+    return LANGUAGES[votes.index(top)] if top >= least and votes.count(top) == 1 else None
 
 
-def is_copy(plain: Column, asked: Column) -> Column:
+def runs(words: list[str], n: int = SHINGLE) -> list[int]:
+    """Distinct hashes of the runs of ``n`` words, in order; none where there are fewer words."""
+    return list(dict.fromkeys(xxhash.xxh64_intdigest(" ".join(words[i : i + n])) - (1 << 63) for i in range(len(words) - n + 1)))
+
+
+def is_copy(low: str, asked: set[str]) -> bool:
     """The words of the response are those of the question, whatever their case, spacing, marks, repetition or label."""
-    own = F.array_distinct(T.words(F.regexp_replace(F.lower(plain), LABELS, "")))
-    q = F.array_distinct(asked)
-    both = F.size(F.array_intersect(own, q))
-    return (F.size(q) >= 3) & (both >= COPY * F.size(q)) & (both >= COPY * F.size(own))
+    own = set(_WORDS.findall(_LABELS.sub("", low)))
+    both = len(own & asked)
+    return len(asked) >= 3 and both >= COPY * len(asked) and both >= COPY * len(own)
 
 
-#: every phrase above has one of these words, which is cheaper to look for
-DECLINE_WORDS = "can cant can't can\u2019t cannot could won't won\u2019t will not unable decline refuse outside automated ai language virtual nicht peux puis suis saurais veux dois puedo podemos posible permitido condiciones debo".split()
+def breaks_off(plain: str, low: str, rationale: bool, lowq: str, mine: list[str]) -> tuple[bool, bool]:
+    """Whether a response surely breaks off, and whether only the corpus can tell.
 
+    A response that ends a sentence is whole. Otherwise it is cut if it ends in an open mark or word or within a word of the
+    question; if it states the answer, by whether that is all of the answer; a rationale that does neither must end as
+    sentences of the corpus do. A missing full stop alone is no defect.
+    """
+    at_cut = bool(_CUT.search(plain))
+    if not at_cut and _ENDINGS.search(plain):
+        return False, False
+    last = plain.rsplit(" ", 1)[-1]
+    # case matters: "a" is an open word, the lead "I" isn't
+    if at_cut or last in _OPEN or sum(map(plain.count, "([")) > sum(map(plain.count, ")]")):
+        return True, False
+    if not rationale:
+        safe = _NO_WORD.sub("", low)
+        at = lowq.find(safe)
+        after = lowq[at + len(safe) : at + len(safe) + 1]
+        return at >= 0 and len(safe) > 3 and after.isalpha() and (at == 0 or lowq[at - 1] == " "), False
+    m = _SAYS.search(low)
+    said = _WORDS.findall(m.group(1)) if m else []
+    return bool(said) and len(said) <= len(mine) and said != mine and " ".join(mine).startswith(" ".join(said)), not said
 
-def declines(plain: Column, tokens: Column) -> Column:
-    return F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in DECLINE_WORDS])) & F.lower(plain).rlike("|".join(f"(?:{p})" for p in DECLINES))
 
+LOOKED = "row_id long, field string, topic string, empty boolean, copy boolean, cut boolean, unsure boolean, foreign boolean, q_lang string, r_lang string, tokens array<string>, asked array<string>, w array<string>, opening array<long>, q_runs array<long>"
+
+
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"row_id": pa.int64(), "field": pa.string(), "topic": pa.string(), "empty": pa.bool_(), "copy": pa.bool_(), "cut": pa.bool_(), "unsure": pa.bool_(), "foreign": pa.bool_(), "q_lang": pa.string(), "r_lang": pa.string(), "tokens": pa.list_(pa.string()), "asked": pa.list_(pa.string()), "w": pa.list_(pa.string()), "opening": pa.list_(pa.int64()), "q_runs": pa.list_(pa.int64())}
+    for b in batches:
+        out = {k: [] for k in kinds}
+        for row_id, topic, question, *texts in zip(*[b.column(c).to_pylist() for c in ("row_id", "topic", "question", "answer", "rationale")]):
+            lowq = _squeeze(question).lower()
+            asked = _WORDS.findall(lowq)
+            once, q_lang, lowq = set(asked), _language(_votes(asked), 1), _NO_WORD.sub("", lowq)
+            q_words = _skeleton(" ".join(asked)).split()
+            mine = _WORDS.findall(_squeeze(texts[0]).lower())
+            for field, text in zip(("answer", "rationale"), texts):
+                plain = _squeeze(text)
+                low = plain.lower()
+                tokens = _WORDS.findall(low)
+                skeleton = _skeleton(low)
+                votes = _votes(tokens)
+                empty = low in _EMPTY or not _NO_TEXT.sub("", plain)
+                copy = not empty and is_copy(low, once)
+                rationale = field == "rationale"
+                cut, unsure = (False, False) if empty or copy or not tokens else breaks_off(plain, low, rationale, lowq, mine)
+                top = max(votes)
+                row = (
+                    row_id, field, topic if topic is not None else " ".join(q_words[:3]), empty, copy, cut, unsure, len(tokens) >= SHORT and top >= 4 and q_lang is not None and votes[LANGUAGES.index(q_lang)] < 0.6 * top,
+                    q_lang, _language(votes, 4), tokens, [] if rationale else asked, [x for x in _KEPT.sub("", skeleton).split(" ") if x] if rationale else [], runs(_skeleton(" ".join(tokens)).split()[:OPENING_WORDS]), [] if rationale else runs(q_words),
+                )
+                for k, v in zip(kinds, row):
+                    out[k].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], names=list(kinds))
+
+
+def responses(rows: DataFrame) -> DataFrame:
+    """One row per row id and field, answer or rationale, with all that the steps below need; null row ids are left out."""
+    topic = F.col("question_type").cast("string") if "question_type" in rows.columns else F.lit(None).cast("string")
+    r = rows.where(F.col("row_id").isNotNull()).select("row_id", topic.alias("topic"), "question", "answer", "rationale").dropDuplicates(["row_id"])
+    return r.mapInArrow(_look, LOOKED)
 
-def refusals(resp: DataFrame) -> DataFrame:
-    """``row_id, field`` of responses whose opening belongs to a refusal template.
 
-    Openings (the first nine words, names and numbers aside) are clustered by MinHash with verified similarity. A
-    cluster refuses if most of the responses in it decline; a cluster met under one prompt only must decline in all.
+def templates(resp: DataFrame) -> DataFrame:
+    """``run``: the five-word runs of templates that answer unrelated prompts alike.
+
+    Openings of answers are clustered by MinHash with verified similarity. A cluster whose answers stand under several
+    topics (kinds of question) is a template; its runs are those that half of its kinds have. Runs that occur in a
+    question are left out.
     """
-    o = resp.select("row_id", "field", "open", F.xxhash64(F.array_join("open", " ")).alias("kind"), "cue", F.xxhash64(T.skeleton(F.col("question"))).alias("prompt"))
-    kinds = o.groupBy("kind").agg(F.first("open").alias("open"), F.count(F.lit(1)).alias("n"), F.count_if("cue").alias("n_cue"), F.approx_count_distinct("prompt").alias("prompts"))
-    kinds = stage(kinds.withColumn("shingles", word_shingles(F.col("open"))))
-    links = stage(similar_pairs(kinds, "kind", "shingles"))
+    a = resp.where((F.col("field") == "answer") & ~F.col("empty") & ~F.col("copy") & (F.size("opening") > 0))
+    kinds = a.groupBy(F.xxhash64("opening").alias("kind")).agg(F.first("opening").alias("opening"), F.count(F.lit(1)).alias("n"), F.min("topic").alias("first"), F.max("topic").alias("last"))
+    kinds = stage(kinds)
+    links = similar_pairs(kinds, "kind", "opening")
     member = connected_components(links.unionByName(kinds.select(F.col("kind").alias("u"), F.col("kind").alias("v"))))
-    member = stage(kinds.select("kind", "n", "n_cue", "prompts").join(member.withColumnRenamed("node", "kind"), "kind"))
-    bad = member.groupBy("component").agg(F.sum("n").alias("n"), F.sum("n_cue").alias("c"), F.max("prompts").alias("p"), F.count(F.lit(1)).alias("k"))
-    bad = bad.where((F.col("c") > 0) & F.when((F.col("p") > 1) | (F.col("k") > 1), 2 * F.col("c") >= F.col("n")).otherwise(F.col("c") == F.col("n")))
-    bad = stage(member.join(bad.select("component"), "component", "left_semi").select("kind"))
-    return o.join(bad, "kind", "left_semi").select("row_id", "field")
+    member = stage(kinds.join(member.withColumnRenamed("node", "kind"), "kind"))
+    spread = member.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("kinds")).where("first != last").select("component", "kinds")
+    held = member.join(spread, "component").select("component", "kinds", F.explode("opening").alias("run")).groupBy("component", "run").agg(F.count(F.lit(1)).alias("n"), F.first("kinds").alias("kinds"))
+    asked = resp.where(F.size("q_runs") > 0).select(F.explode("q_runs").alias("run"))
+    return held.where(F.col("n") >= CORE * F.col("kinds")).select("run").distinct().join(asked, "run", "left_anti")
+
+
+def refusals(resp: DataFrame) -> DataFrame:
+    """``row_id, field`` of responses whose opening holds a run of a template."""
+    o = resp.where(~F.col("empty") & ~F.col("copy")).select("row_id", "field", F.explode("opening").alias("run"))
+    return o.join(templates(resp), "run", "left_semi").select("row_id", "field").distinct()
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of the texts of a language that have a word; an empty word counts the texts."""
+    seen: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        keys = list(seen)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
+
+    for b in batches:
+        for texts, langs in (("tokens", "r_lang"), ("asked", "q_lang")):
+            for words, lang in zip(b.column(texts).to_pylist(), b.column(langs).to_pylist()):
+                if lang is not None and words:
+                    seen.update((lang, w) for w in set(words))
+                    seen[(lang, "")] += 1
+        if len(seen) > FLUSH:
+            yield out()
+            seen.clear()
+    yield out()
 
 
 def word_languages(resp: DataFrame, share: float = 0.9, least: int = 3) -> DataFrame:
     """``word, lang``: words that the corpus uses in one language only, learned from questions and whole rationales."""
-    langs = list(T.FUNCTION_WORDS)
-    whole = resp.where(F.col("field") == "rationale").select(F.explode(F.array(F.struct(F.col("tokens").alias("t"), F.col("r_lang").alias("lang")), F.struct(F.col("asked").alias("t"), F.col("q_lang").alias("lang")))).alias("x")).select("x.t", "x.lang").where(F.col("lang").isNotNull())
-    totals = {r["lang"]: r["count"] for r in whole.groupBy("lang").count().collect()}  # a row per language
-    counts = whole.select("lang", F.explode(F.array_distinct("t")).alias("word")).groupBy("word").agg(*[F.count_if(F.col("lang") == k).alias(k) for k in langs])
-    rate = {k: F.col(k) / F.lit(max(1, totals.get(k, 0))) for k in langs}
-    total = sum(rate.values(), F.lit(0.0))
-    seen = sum((F.col(k) for k in langs), F.lit(0))
-    best = F.coalesce(*[F.when(r >= share * total, F.lit(k)) for k, r in rate.items()])
-    return counts.where(seen >= least).select("word", best.alias("lang")).where(F.col("lang").isNotNull() & ~F.col("word").rlike(r"^[0-9]"))
+    tokens = F.when(F.col("field") == "rationale", F.col("tokens")).otherwise(F.array().cast("array<string>"))
+    counts = resp.select(tokens.alias("tokens"), "r_lang", "asked", "q_lang").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("word").pivot("lang", LANGUAGES).agg(F.sum("n"))
+    counts = stage(counts.na.fill(0, LANGUAGES))
+    totals = counts.where("word = ''").head()  # one row
+    rate = {k: F.col(k) / F.lit(max(1, totals[k] if totals else 0)) for k in LANGUAGES}
+    best = F.coalesce(*[F.when(r >= share * sum(rate.values(), F.lit(0.0)), F.lit(k)) for k, r in rate.items()])
+    seen = sum((F.col(k) for k in LANGUAGES), F.lit(0))
+    return counts.where((seen >= least) & (F.col("word") != "")).select("word", best.alias("lang")).where(F.col("lang").isNotNull() & ~F.col("word").rlike(r"^[0-9]"))
 
 
 def other_language(resp: DataFrame) -> DataFrame:
     """``row_id, field`` of responses mostly in another language than their question."""
-    langs = list(T.FUNCTION_WORDS)
     r = resp.where(F.col("q_lang").isNotNull() & (F.size("tokens") > 0))
-    own = F.coalesce(*[F.when(F.col("q_lang") == k, F.col(f"votes.{k}")) for k in langs])
-    most = F.greatest(*[F.col(f"votes.{k}") for k in langs])
-    long = r.where((F.size("tokens") >= 12) & (most >= 4) & (own < 0.6 * most)).select("row_id", "field")
-    short = r.where(F.size("tokens") < 12).select("row_id", "field", "q_lang", "tokens", F.xxhash64(F.array_join("tokens", " ")).alias("kind"))
+    short = r.where(F.size("tokens") < SHORT).select("row_id", "field", "q_lang", "tokens", F.xxhash64("tokens").alias("kind"))
     kinds = short.groupBy("kind").agg(F.first("tokens").alias("tokens")).select("kind", F.explode("tokens").alias("word"))
-    votes = kinds.join(stage(word_languages(resp)), "word").groupBy("kind").agg(*[F.count_if(F.col("lang") == k).alias(f"v_{k}") for k in langs])
-    s = short.join(votes, "kind")
-    own = F.coalesce(*[F.when(F.col("q_lang") == k, F.col(f"v_{k}")) for k in langs])
-    top = F.greatest(*[F.col(f"v_{k}") for k in langs])
-    return long.unionByName(s.where((top > 0) & (2 * own < top)).select("row_id", "field"))
+    votes = kinds.join(stage(word_languages(resp)), "word").groupBy("kind").agg(*[F.count_if(F.col("lang") == k).alias(k) for k in LANGUAGES])
+    own = F.coalesce(*[F.when(F.col("q_lang") == k, F.col(k)) for k in LANGUAGES])
+    top = F.greatest(*LANGUAGES)
+    return r.where("foreign").select("row_id", "field").unionByName(short.join(votes, "kind").where((top > 0) & (2 * own < top)).select("row_id", "field"))
 
 
-def _endings(p: Column) -> dict[str, Column]:
-    """What the end of a response looks like; ``w`` are its words with end marks kept, names and numbers aside."""
-    last = F.regexp_extract(p, r"(\S+)$", 1)
-    return {
-        # case matters: "a" is an open word, the lead "I" isn't
-        "open_end": p.rlike(CUT) | (F.lower(last).isin(*OPEN_WORDS) & (F.lower(last) == last)) | (F.length(F.regexp_replace(p, r"[^(\[]", "")) > F.length(F.regexp_replace(p, r"[^)\]]", ""))),
-        "ended": p.rlike(ENDINGS) & ~p.rlike(CUT),
-        "said": T.words(F.regexp_extract(F.lower(p), SAYS, 1)),
-        "w": F.split(F.regexp_replace(T.skeleton(p), r"[^\p{L}\p{N}#\u00a7'\u2019.!? ]", ""), " +"),
-    }
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of pairs of words: before an end mark, at the bare end of a text, and inside one."""
+    marked, bare, inside = Counter(), Counter(), Counter()
 
+    def out() -> pa.RecordBatch:
+        keys = list({**marked, **bare, **inside})
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in (marked, bare, inside)]], names=["pair", "marked", "bare", "inside"])
 
-def truncated(resp: DataFrame) -> DataFrame:
-    """``row_id, field`` of responses that break off.
+    for b in batches:
+        for w in b.column("w").to_pylist():
+            stem = [x.rstrip(".!?") for x in w]
+            for i in range(1, len(w)):
+                if w[i].endswith(".."):  # no end of a sentence, nor does the text go on
+                    continue
+                k = f"{w[i - 1]} {stem[i]}"
+                (marked if len(stem[i]) < len(w[i]) else bare if i == len(w) - 1 else inside)[k] += 1
+        if len(marked) + len(bare) + len(inside) > FLUSH:
+            yield out()
+            for c in (marked, bare, inside):
+                c.clear()
+    yield out()
 
-    A response that ends a sentence is whole. Otherwise it is cut if it ends in an open mark or word; if it states the
-    answer, by whether that is all of the answer; if it is long, by whether sentences of the corpus end in its last two
-    words. A missing full stop alone is no defect.
-    """
-    r = resp.where(~F.col("ended") & (F.size("tokens") > 0))
-    rationale = F.col("field") == "rationale"
-    # mid-word: the question goes on with a letter where the answer stops
-    r = r.withColumn("safe", F.regexp_replace(F.lower("plain"), r"[^\p{L}\p{N} ]", "")).withColumn("lowq", F.regexp_replace(F.lower("question"), r"[^\p{L}\p{N} ]", "")).withColumn("at", F.expr("locate(safe, lowq)"))
-    mid = ~rationale & (F.col("at") > 0) & (F.length("safe") > 3) & F.expr("substring(lowq, at + length(safe), 1)").rlike(r"\p{L}") & (F.expr("if(at > 1, substring(lowq, at - 1, 1), ' ')") == " ")
-    mine = T.words(F.col("answer"))
-    states = F.size("said") > 0
-    part = rationale & states & (F.size("said") <= F.size(mine)) & (F.col("said") != mine) & F.startswith(F.array_join(mine, " "), F.array_join("said", " "))
-    sure = r.where(F.col("open_end") | mid | part).select("row_id", "field")
-    # long responses without an end mark: how the corpus goes on after their last two words
-    whole = resp.where(rationale & (F.size("w") > 1))
-    n = F.size("w")
-    pair = whole.select(F.explode(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)).alias("pair"), (i == n - 1).alias("last")))).alias("x")).select("x.*")
-    marked = F.col("pair").rlike(r"[.!?]$")
-    stats = pair.groupBy(F.regexp_replace("pair", r"[.!?]+$", "").alias("pair")).agg(F.count_if(marked).alias("marked"), F.count_if(~marked & F.col("last")).alias("bare"), F.count_if(~marked & ~F.col("last")).alias("inside"))
+
+def truncated(resp: DataFrame) -> DataFrame:
+    """``row_id, field`` of responses that break off: surely, or ending in two words in which the corpus ends no sentence."""
+    whole = resp.where(F.size("w") > 1)
+    stats = whole.select("w").mapInArrow(_pair_counts, "pair string, marked long, bare long, inside long").groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("marked", "bare", "inside")])
     usual = USUAL_END * whole.count()
-    ends = r.where(rationale & ~F.col("open_end") & ~states).select("row_id", "field", F.concat_ws(" ", F.expr("try_element_at(w, -2)"), F.element_at("w", -1)).alias("pair")).join(stats, "pair", "left")
+    pair = F.concat_ws(" ", F.expr("try_element_at(w, -2)"), F.expr("try_element_at(w, -1)"))
+    ends = resp.where("unsure").select("row_id", "field", pair.alias("pair")).join(stats, "pair", "left")
     ok = ((F.col("marked") > 0) & (F.col("marked") >= F.col("inside"))) | ((F.col("bare") >= usual) & (F.col("bare") >= 0.2 * F.col("inside")))
-    return sure.unionByName(ends.where(~F.coalesce(ok, F.lit(False))).select("row_id", "field"))
+    return resp.where("cut").select("row_id", "field").unionByName(ends.where(~F.coalesce(ok, F.lit(False))).select("row_id", "field"))
 
 
 def defects(rows: DataFrame) -> DataFrame:
@@ -158,27 +255,16 @@ def defects(rows: DataFrame) -> DataFrame:
 
     Null texts are empty; a null question can only have empty, truncated or refusing responses. Empty responses have no
     further defect, and one that copies the question or refuses is not tested for its ending (nor a copy for its
-    language). Rows sent twice count once; an empty table gives no rows; extra columns are ignored.
+    language). A refusal shows by recurring: one that occurs once, or under one kind of question only, isn't told from an
+    answer. ``question_type`` is the kind of question where there is one, else its first words are. Rows sent twice count
+    once; an empty table gives no rows; extra columns are ignored.
     """
-    plain = F.col("plain")
-    resp = responses(rows).withColumn("empty", is_empty(plain)).withColumn("copy", ~F.col("empty") & is_copy(plain, F.col("asked")))
-    resp = resp.withColumns({
-        "q_lang": T.language(F.col("asked"), 1), "r_lang": T.language(F.col("tokens"), 4), "votes": T.language_votes(F.col("tokens")), "cue": declines(plain, F.col("tokens")),
-        "open": F.slice(F.split(T.skeleton(F.regexp_replace("plain", r"[^\p{L}\p{N}'\u2019 ]", "")), " +"), 1, OPENING_WORDS), **_endings(plain),
-    })
-    resp = stage(resp)  # texts are looked at once; the steps below read columns of this table
-    full = resp.where(~F.col("empty"))
-    content = full.where(~F.col("copy"))
-    key = ["row_id", "field"]
-    refuse = stage(refusals(content).distinct())
-    parts = [
-        resp.where("empty").select("row_id", F.lit("empty").alias("defect")),
-        full.where("copy").select("row_id", F.lit("copies_question").alias("defect")),
-        refuse.select("row_id", F.lit("refusal").alias("defect")),
-        stage(truncated(content)).join(refuse, key, "left_anti").select("row_id", F.lit("truncated").alias("defect")),
-        stage(other_language(content)).select("row_id", F.lit("other_language").alias("defect")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    resp = stage(responses(rows))  # texts are looked at once; the steps below read columns of this table
+    content = resp.where(~F.col("empty") & ~F.col("copy"))
+    refuse = stage(refusals(resp))
+    cut = truncated(content).join(refuse, ["row_id", "field"], "left_anti")
+    parts = {"refusal": refuse, "truncated": cut, "other_language": other_language(content)}
+    out = resp.where(F.col("empty") | F.col("copy")).select("row_id", F.when(F.col("empty"), "empty").otherwise("copies_question").alias("defect"))
+    for defect, part in parts.items():
+        out = out.unionByName(part.select("row_id", F.lit(defect).alias("defect")))
     return out.distinct()

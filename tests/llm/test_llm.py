@@ -118,6 +118,10 @@ def test_defects(spark):
         want.add((i, defect))
     data[19][5], data[19][6] = "", None  # two kinds of one defect are one row
     want.add((20, "empty"))
+    # a refusal shows by recurring under another kind of question
+    for i, (q, a) in enumerate([("What is the QT interval in lead V2?", put[10][1]), ("Wie lang ist das Intervall in Ableitung V2?", put[18][1])], 9001):
+        data.append([i, i, 1, "measure", q, a, (GERMAN if q.startswith("Wie") else RATIONALES[2]).format(l="V2", n=i, a="300 ms"), "train", "s"])
+        want.add((i, "refusal"))
     data[20][4] = None
     data[21][4] = "x " * 20_000
     df = cot(spark, [tuple(r) for r in data] + [tuple(data[0]), (None, 1, 1, "q", "q", "a", "r", "train", "s")])
@@ -125,6 +129,19 @@ def test_defects(spark):
     assert got == want, (got - want, want - got)
 
 
+def test_refusals_show_by_recurring_under_unrelated_questions(spark):
+    """The clusters decide: no phrase is known beforehand."""
+    made_up = "The brown lamp is kept behind that door today"
+    data = answers(60)
+    for i, kind in ((3, "verify"), (9, "choose"), (15, "measure")):
+        data[i][3], data[i][5] = kind, made_up
+    data[21][6] = f"{made_up}, said someone else."  # the same template as a rationale
+    for i in (27, 33):
+        data[i][5] = "A wet road leads to the north side"  # under one kind of question only
+    got = {tuple(r) for r in pairs.defects(cot(spark, [tuple(r) for r in data])).collect()}
+    assert got == {(i + 1, "refusal") for i in (3, 9, 15, 21)}
+
+
 def test_defects_of_empty_table(spark):
     assert pairs.defects(cot(spark, [])).count() == 0
 
