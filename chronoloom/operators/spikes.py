@@ -2,15 +2,13 @@
 
 Chunks are cut into blocks of ``BLOCK`` chunks per signal with ``HALO`` chunks of context on either side, so a signal
 with a third of all rows is many tasks and every task is bounded. Within a block, robust principal components of the
-profile matrix (rows are successive profiles of one period) separate low-rank normal behaviour from a sparse part;
-readings with a sparse part are candidates, and an exact check of each candidate against the spread of the whole block
-and of its surroundings follows. Ranges and constant runs are tested by themselves.
+profile matrix (rows are successive profiles of one period) separate low-rank normal behaviour from a sparse part and noise;
+the distance from the low-rank part is the score of a reading, and a check of the shape of each sparse one follows. Ranges
+and constant runs are tested by themselves.
 """
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,11 +16,10 @@ from pyspark.sql import functions as F
 
 BLOCK, HALO = 64, 16  #: chunks
 PROFILE = 32  #: readings of a profile where the signal shows no period of its own
-OVERALL, AROUND = 3.05, 2.8  #: times the high quantile of the departures, of the block and around a reading
-FOLLOW, SHARE = 2.0, 0.4  #: the same for a reading next to a spike, and how much of the spike's departure it must have
-#: departures from both the readings before and after, in the same direction: times the high quantile of the widest ones,
-#: and of those at the same distance (which is small where the signal is smooth)
-BOTH_SIDES, OWN_SCALE, BOTH_ALONE = 2.5, 8.0, 2.95
+SPARSE = 2.0  #: times the noise that a reading must lie off the low-rank part to belong to the sparse part
+SCORE, AROUND = 1.3, 2.5  #: times the high quantile of the distances from the low-rank part, of the block and around a reading
+BOTH_SIDES, SHARP = 2.3, 2.5  #: the same for departures from both the readings before and after, of the block and around it
+FOLLOW, SHARE = 0.4, 0.4  #: how much of these a reading next to a spike needs, and of the spike's departure
 CALM, CALM_LATE, CALM_WITHIN = 0.4, 0.5, 12  #: no more than a few readings within so many depart by this share of a spike's departure
 LONGEST_SPIKE = 6  #: readings
 STUCK_TIMES, STUCK_LEAST = 4.0, 15  #: times the longest run that the signal otherwise has, and readings
@@ -40,27 +37,25 @@ def shrink(x: np.ndarray, by: float) -> np.ndarray:
     return (u * (1 - by / d[keep])) @ (u.T @ x)
 
 
-def robust_pca(m: np.ndarray, weight: float = 0.4, rounds: int = 25) -> np.ndarray:
-    """The sparse part of ``m`` by principal component pursuit (augmented Lagrangian, inexact).
+def pursuit(m: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """The low-rank and the sparse part of ``m`` by stable principal component pursuit: what is left is noise.
 
-    ``weight`` scales the usual price 1/sqrt(max(shape)) of a sparse entry; below 1 more entries become candidates.
+    In turn, singular values are lessened by about what noise alone has, and the readings further than ``SPARSE`` times the
+    noise from the low-rank part are given to the sparse part. The noise is measured anew each time, by the median.
     """
-    price = weight / np.sqrt(max(m.shape))
-    norm = np.linalg.norm(m, 2)
-    if norm == 0:
-        return np.zeros_like(m)
-    y = m / max(norm, np.abs(m).max() / price)
-    mu, s = 1.25 / norm, np.zeros_like(m)
+    least = 1e-9 * (np.abs(m).max() + 1e-12)
+    noise = max(1.4826 * _ranked(np.abs(np.diff(m, axis=1)), 0.5) / np.sqrt(2) if m.shape[1] > 1 else 0.0, least)
+    low, sparse = m, np.zeros_like(m)
     for _ in range(rounds):
-        low = shrink(m - s + y / mu, 1 / mu)
-        rest = m - low + y / mu
-        s = np.sign(rest) * np.maximum(np.abs(rest) - price / mu, 0)
-        gap = m - low - s
-        y += mu * gap
-        mu *= 2
-        if np.abs(gap).max() < 1e-4 * norm:
+        low = shrink(m - sparse, 0.7 * noise * sum(np.sqrt(m.shape)))
+        rest = m - low
+        noise = max(1.4826 * _ranked(np.abs(rest), 0.5), least)
+        now = np.sign(rest) * np.maximum(np.abs(rest) - SPARSE * noise, 0)
+        settled = np.abs(now - sparse).max() < 0.02 * SPARSE * noise
+        sparse = now
+        if settled:
             break
-    return s
+    return low, sparse
 
 
 def period(f: np.ndarray) -> int:
@@ -82,87 +77,86 @@ def _windows(f: np.ndarray, n: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(f, n)
 
 
+def _ranked(x: np.ndarray, share: float) -> float:
+    """The value below which ``share`` of ``x`` lies."""
+    k = int(share * (x.size - 1))
+    return float(np.partition(x, k, axis=None)[k])
+
+
 def _spread(r: np.ndarray) -> float:
-    a, b = np.quantile(r, [0.95, 0.97])
-    return max(a, 0.8 * b)
+    return max(_ranked(r, 0.95), 0.8 * _ranked(r, 0.97))
 
 
-def two_sided(f: np.ndarray, step: float, most: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How far each reading lies outside of both neighbours at a distance of 1 to ``most``: the widest departure, and the
-    ratios to the high quantile of the widest ones and of those at the same distance. Slopes and steps have none."""
-    n = len(f)
-    widest, own = np.zeros(n), np.zeros(n)
+def two_sided(f: np.ndarray, most: int = 4) -> np.ndarray:
+    """How far each reading lies outside of both neighbours at a distance of 1 to ``most``, at the widest. Slopes and steps
+    have none."""
+    widest = np.zeros(len(f))
     for k in range(1, most + 1):
         before, after = f[k:-k] - f[: -2 * k], f[k:-k] - f[2 * k :]
-        e = np.zeros(n)
-        e[k:-k] = np.where(before * after > 0, np.minimum(np.abs(before), np.abs(after)), 0)
-        own = np.maximum(own, e / max(_spread(e), step))
-        widest = np.maximum(widest, e)
-    return widest, widest / max(_spread(widest), step), own
+        widest[k:-k] = np.maximum(widest[k:-k], np.where(before * after > 0, np.minimum(np.abs(before), np.abs(after)), 0))
+    return widest
 
 
 def _beside(values: np.ndarray, at: np.ndarray, look: int, skip: int) -> np.ndarray:
     """High quantile of ``values`` around each place, the nearest ones left out."""
-    near = _windows(np.r_[np.full(look, np.nan), values, np.full(look, np.nan)], 2 * look + 1)[at].copy()
-    near[:, look - skip : look + skip + 1] = np.nan
-    return np.nan_to_num(np.nanquantile(near, 0.9, axis=1))
+    edge = np.full(look, np.nan)
+    near = _windows(np.r_[edge, values, edge], 2 * look + 1)[at]
+    near = np.sort(np.c_[near[:, : look - skip], near[:, look + skip + 1 :]], axis=1)  # NaN comes last
+    known = np.isfinite(near).sum(axis=1)
+    return np.where(known > 0, near[np.arange(len(at)), (0.9 * np.maximum(known - 1, 0)).astype(int)], 0.0)
+
 
+def spike_mask(f: np.ndarray, ends: bool = True, pursue: bool = True) -> np.ndarray:
+    """Which readings of ``f`` (finite, in range) are spikes. ``ends``: the last reading is the signal's last.
 
-def spike_mask(f: np.ndarray, ends: bool = True) -> np.ndarray:
-    """Which readings of ``f`` (finite, in range) are spikes. ``ends``: the last reading is the signal's last."""
+    The distance from the low-rank part of the profile matrix is the score: a spike belongs to the sparse part, and its
+    score is high in the block and around it. The check that follows is of its shape: it departs from the readings before
+    and after alike, is short, and goes on as before. Without ``pursue`` only the check is left (for comparison).
+    """
     n = len(f)
-    none = np.zeros(n, bool)
+    odd = np.zeros(n, bool)
     if n < 24 or f.max() == f.min():
-        return none
-    # candidates: the sparse part of the profile matrix
-    middle = np.median(f)
-    length = period(np.clip(f, *np.quantile(f, [0.01, 0.99])))
-    rows = -(-n // length)
-    padded = np.full(rows * length, middle)
-    padded[:n] = f
-    sparse = robust_pca(padded.reshape(rows, length) - middle).reshape(-1)[:n]
-    candidate = np.abs(sparse) > 1e-3 * (np.abs(f - middle).max() + 1e-12)
-    if not candidate.any():
-        return none
-    # the check: departure from the middle of the surroundings, and from what comes before and after
-    w, b = 10, 9
-    around = np.abs(f - np.median(_windows(np.pad(f, w, mode="reflect"), 2 * w + 1), axis=1))
-    nans = np.full(b, np.nan)
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore", RuntimeWarning)
-        side = np.nanmedian(_windows(np.r_[nans, f, nans], b), axis=1)
-        beside = np.fmin(around, np.fmin(np.abs(f - side[:n]), np.abs(f - side[b + 1 : b + 1 + n])))
-        step = np.diff(np.unique(f)).min()
-        overall = np.fmin(around / max(_spread(around), step), beside / max(_spread(beside), step))
-        widest, both, own = two_sided(f, step)
-        at = np.flatnonzero(candidate & ((overall >= FOLLOW) | (both >= 0.6 * BOTH_SIDES)))
-        if not len(at):
-            return none
-        local, lone = np.zeros(n), np.zeros(n)
-        local[at] = around[at] / np.maximum(_beside(around, at, 24, 4), step)
-        lone[at] = widest[at] / np.maximum(_beside(widest, at, 24, 5), step)
-    sharp, active = lone >= BOTH_SIDES, np.zeros(n, bool)
-    odd = (local >= AROUND) & ((overall >= OVERALL) | ((both >= BOTH_ALONE) & sharp)) | (both >= BOTH_SIDES) & (own >= OWN_SCALE) & sharp
-    near = (overall >= FOLLOW) & (local >= AROUND), (both >= 0.6 * BOTH_SIDES) & (own >= 0.6 * OWN_SCALE) & sharp
+        return odd
+    step = np.diff(np.unique(f)).min()
+    widest = two_sided(f)
+    both = widest / max(_spread(widest), step)
+    off = widest
+    candidate = both >= FOLLOW * BOTH_SIDES
+    if pursue:
+        middle = _ranked(f, 0.5)
+        length = period(np.clip(f, _ranked(f, 0.01), _ranked(f, 0.99)))
+        rows = -(-n // length)
+        padded = np.full(rows * length, middle)
+        padded[:n] = f
+        low, sparse = pursuit(padded.reshape(rows, length) - middle)
+        off = np.abs(padded - middle - low.reshape(-1))[:n]
+        candidate &= sparse.reshape(-1)[:n] != 0
+    at = np.flatnonzero(candidate)
+    if not len(at):
+        return odd
+    score, local, sharp = np.full(n, np.inf), np.full(n, np.inf), np.zeros(n)
+    sharp[at] = widest[at] / np.maximum(_beside(widest, at, 24, 5), step)
+    if pursue:
+        score = off / max(_spread(off), step)
+        local[at] = off[at] / np.maximum(_beside(off, at, 24, 4), step)
+    odd = candidate & (score >= SCORE) & (local >= AROUND) & (both >= BOTH_SIDES) & (sharp >= SHARP)
+    if not odd.any():
+        return odd
     # in a phase of strong activity the readings around depart as far
     for i in np.flatnonzero(odd):
-        a, z = max(0, i - CALM_WITHIN), min(n, i + CALM_WITHIN + 1)
-        active[i] = min((x[a:z] >= CALM * x[i]).sum() - 1 for x in (around, widest)) > LONGEST_SPIKE - 2
-    odd &= ~active
+        odd[i] = (widest[max(0, i - CALM_WITHIN) : i + CALM_WITHIN + 1] >= CALM * widest[i]).sum() < LONGEST_SPIKE
     # a spike goes on in a neighbour that departs by a good part of what it does
+    near = candidate & (local >= FOLLOW * AROUND) & (sharp >= FOLLOW * SHARP)
     for _ in range(LONGEST_SPIKE):
-        grown = odd.copy()
-        for follow, departs in zip(near, (around, widest)):
-            left = np.r_[False, odd[:-1]] & (departs >= SHARE * np.r_[0, departs[:-1]])
-            right = np.r_[odd[1:], False] & (departs >= SHARE * np.r_[departs[1:], 0])
-            grown |= follow & (left | right)
-        odd = grown
+        left = np.r_[False, odd[:-1]] & (widest >= SHARE * np.r_[0, widest[:-1]])
+        right = np.r_[odd[1:], False] & (widest >= SHARE * np.r_[widest[1:], 0])
+        odd = odd | (near & (left | right))
     first = np.flatnonzero(odd & ~np.r_[False, odd[:-1]])
     last = np.flatnonzero(odd & ~np.r_[odd[1:], False])
     for a, z in zip(first, last):
-        beside_it = np.r_[around[max(0, a - LONGEST_SPIKE) : a], around[z + 1 : z + 1 + LONGEST_SPIKE]]
+        beside = np.r_[off[max(0, a - LONGEST_SPIKE) : a], off[z + 1 : z + 1 + LONGEST_SPIKE]]
         # it lasts, or doesn't go on as before, or starts a phase that the end cuts short
-        late = ends and z >= n - CALM_WITHIN - 1 and len(beside_it) and beside_it.max() >= CALM_LATE * around[a : z + 1].max()
+        late = ends and z >= n - CALM_WITHIN - 1 and len(beside) and beside.max() >= CALM_LATE * off[a : z + 1].max()
         if z - a + 1 > LONGEST_SPIKE or (ends and z == n - 1) or late:
             odd[a : z + 1] = False
     return odd

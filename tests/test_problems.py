@@ -162,10 +162,20 @@ def test_robust_pca_separates_sparse_from_low_rank():
     low = np.outer(rnd.normal(size=20), rnd.normal(size=30))
     sparse = np.zeros((20, 30))
     sparse[3, 7], sparse[11, 20] = 15, -12
-    got = spikes.robust_pca(low + sparse, weight=1.0)
+    _, got = spikes.pursuit(low + sparse + rnd.normal(0, 0.05, low.shape))
     assert set(zip(*np.nonzero(np.abs(got) > 5))) == {(3, 7), (11, 20)}
 
 
+def test_the_low_rank_part_decides_what_a_spike_is():
+    """Regular peaks have the shape of spikes and are normal behaviour; what is off the profile is a spike."""
+    rnd = np.random.default_rng(7)
+    f = rnd.normal(0, 0.1, 1200).round(3)
+    f[13::40] += 5.0
+    f[[330, 777]] += 5.0
+    assert set(np.flatnonzero(spikes.spike_mask(f))) == {330, 777}
+    assert set(np.flatnonzero(spikes.spike_mask(f, pursue=False))) > {13 + 40 * k for k in range(2, 28)}
+
+
 def test_spikes_of_empty_table(spark):
     s = spark.createDataFrame([], "spec_type string, signal string, chunk_idx int, values array<float>")
     assert spikes.implausible(s, spark.createDataFrame([], SPECS)).count() == 0
