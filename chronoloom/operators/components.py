@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Both steps only keep, per node, a minimum (combined before the exchange) and re-link neighbours to it, so a node with
-a third of all links is one aggregate buffer, never one task's list; the join that follows is split by adaptive
-execution where a node is hot. Each round is staged as a table, and rounds end when the links no longer change.
+a third of all links is one aggregate buffer, never one task's list. Where there are many links the minima are staged before
+they are joined back: adaptive execution splits the hot side of a join of two scans, not one above an aggregate. Each round is
+staged as a table, and rounds end when the links no longer change.
 """
 
 from __future__ import annotations
@@ -13,16 +14,21 @@ from pyspark.sql import functions as F
 from chronoloom.session import stage, unstage
 
 
-def _large(links: DataFrame) -> DataFrame:
+MANY = 2_000_000  #: links from which minima are staged; the rows are the same
+
+
+def _large(links: DataFrame, many: bool) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = stage(least) if many else least
     return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(links: DataFrame) -> DataFrame:
+def _small(links: DataFrame, many: bool) -> DataFrame:
     """Links point from the larger node to the smaller one."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = stage(least) if many else least
     to_least = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return to_least.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
 
@@ -36,9 +42,10 @@ def connected_components(links: DataFrame, rounds: int = 50) -> DataFrame:
     links = links.where(F.col("u").isNotNull() & F.col("v").isNotNull()).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     now = stage(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
+    mark, many = None, now.count() >= MANY
     for _ in range(rounds):
-        after = stage(_small(_large(now)))
+        larger = _large(now, many)
+        after = stage(_small(stage(larger) if many else larger, many))
         unstage(now)
         now = after
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators.graph import reachable
+from chronoloom.session import numbered
 
 Tables = Mapping[str, DataFrame]
 
@@ -68,7 +69,7 @@ def import_ids(wanted: DataFrame, held: DataFrame, last_id: int) -> DataFrame:
     """``parent_id, object_id, new``: ids of imported objects. One held already keeps its id; new ones are counted on from
     ``last_id`` in the order of their parent id, so importing twice changes nothing."""
     w = wanted.select("parent_id").distinct().join(held.select("parent_id", "object_id"), "parent_id", "left")
-    fresh = w.where(F.col("object_id").isNull()).select("parent_id", (F.lit(last_id) + F.row_number().over(Window.orderBy("parent_id"))).cast("long").alias("object_id"), F.lit(True).alias("new"))
+    fresh = numbered(w.where(F.col("object_id").isNull()).select("parent_id"), ["parent_id"], "object_id", last_id + 1).select("parent_id", F.col("object_id").cast("long").alias("object_id"), F.lit(True).alias("new"))
     return w.where(F.col("object_id").isNotNull()).select("parent_id", "object_id", F.lit(False).alias("new")).unionByName(fresh)
 
 

@@ -20,11 +20,16 @@ def frozen_splits(rows: DataFrame, frozen: DataFrame, key: str) -> DataFrame:
 
 def stratified(rows: DataFrame, key: str, label: str, test: int, validation: int, of: int) -> DataFrame:
     """Splits with the same shares in every label: ``test`` and ``validation`` parts of ``of``, by a hash order of the key."""
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(F.md5(F.col(key).cast("string")), key))
-    n = F.count(F.lit(1)).over(w)
+    digest = F.md5(F.col(key).cast("string"))
+    r = rows.withColumn("_digest", digest).withColumn("_bin", F.substring(digest, 1, 4))
+    # places in two levels: bins of digests, and rows within a bin, so that no label is sorted by one task
+    sizes = r.groupBy(label, "_bin").agg(F.count(F.lit(1)).alias("_s"))
+    bins = Window.partitionBy(label).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(label).alias("_l"), F.col("_bin").alias("_b"), F.coalesce(F.sum("_s").over(bins), F.lit(0)).alias("_base"), F.sum("_s").over(Window.partitionBy(label)).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy(label, "_bin").orderBy("_digest", key))
+    r = r.join(sizes, r[label].eqNullSafe(sizes["_l"]) & (r["_bin"] == sizes["_b"])).withColumn("_k", F.col("_base") + inside)
     cut = F.when(F.col("_k") * of <= F.col("_n") * test, "test").when(F.col("_k") * of <= F.col("_n") * (test + validation), "validation").otherwise("train")
-    return rows.withColumn("_k", place).withColumn("_n", n).withColumn("split", cut).drop("_k", "_n")
+    return r.withColumn("split", cut).select(*[c for c in rows.columns if c != "split"], "split")
 
 
 def group_folds(rows: DataFrame, group: str, folds: int, seed: int = 0) -> DataFrame:

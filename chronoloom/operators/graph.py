@@ -8,36 +8,59 @@ from pyspark.sql import functions as F
 from chronoloom.session import stage, unstage
 
 
-def closure(links: DataFrame, rounds: int = 1000) -> DataFrame:
-    """``u, v`` for every v that can be reached from u over one link or more. Path doubling: log2 of the longest path.
+def closure(links: DataFrame) -> DataFrame:
+    """``u, v`` for every v that can be reached from u over one link or more.
 
-    Ends on cycles too, because pairs are kept once.
+    By squaring, semi-naive: in round k the pairs that became known in round k - 1 are joined with all known ones, on either
+    side, so ways of up to 2**k links are known and no pair of old pairs is joined again. Rounds end when nothing is new, which
+    on cycles happens too, because pairs are kept once.
     """
-    known = stage(links.where("u is not null and v is not null").select("u", "v").distinct())
-    n = known.count()
-    for _ in range(rounds):
-        step = known.join(known.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").select("u", F.col("w").alias("v"))
-        after = stage(known.unionByName(step).distinct())
-        m = after.count()
-        unstage(known)
-        known = after
-        if m == n:
-            return known
-        n = m
-    raise RuntimeError("closure didn't settle")
+    known = fresh = stage(links.where("u is not null and v is not null").select("u", "v").distinct())
+    while fresh.limit(1).count():
+        right = known.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        step = fresh.join(right, "v").select("u", F.col("w").alias("v"))
+        if known is not fresh:
+            newer = fresh.select(F.col("u").alias("v"), F.col("v").alias("w"))
+            step = step.unionByName(known.join(newer, "v").select("u", F.col("w").alias("v")))
+        after = stage(step.distinct().join(known, ["u", "v"], "left_anti"))
+        merged = stage(known.unionByName(after))
+        for old in {id(known): known, id(fresh): fresh}.values():
+            unstage(old)
+        known, fresh = merged, after
+    return known
 
 
-def reachable(start: DataFrame, links: DataFrame, rounds: int = 1000) -> DataFrame:
-    """``node`` for everything reached from ``start`` (column ``node``), itself included. Frontiers only move forward."""
+def reachable(start: DataFrame, links: DataFrame) -> DataFrame:
+    """``node`` for everything reached from ``start`` (column ``node``), itself included, at any depth.
+
+    Where every node has one link on at most, or every node is linked from one at most, links are doubled: round k crosses
+    2**k of them, and there are never more of them than nodes. Other graphs are walked in fronts that only move forward.
+    """
+    links = stage(links.where("u is not null and v is not null").select("u", "v").distinct())
     seen = stage(start.select("node").distinct())
-    front = seen
-    for _ in range(rounds):
+    out, into = (links.groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head()["n"] or 0 for c in ("u", "v"))
+    if min(out, into) <= 1:
+        left = links.count()
+        reach = 1
+        while reach <= left and links.limit(1).count():
+            step = seen.join(links, seen["node"] == links["u"]).select(F.col("v").alias("node"))
+            after = stage(seen.unionByName(step).distinct())
+            twice = stage(links.join(links.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").select("u", F.col("w").alias("v")))
+            unstage(seen), unstage(links)
+            seen, links, reach = after, twice, 2 * reach
+        return seen
+    front, parts = seen, [seen]
+    while front.limit(1).count():
         step = front.join(links, front["node"] == links["u"]).select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti")
         front = stage(step)
-        if not front.limit(1).count():
-            return seen
-        seen = stage(seen.unionByName(front))
-    raise RuntimeError("graph is deeper than allowed")
+        parts.append(front)
+        seen = seen.unionByName(front)
+        if len(parts) > 24:  # the parts become one table now and then, so that the plan stays short
+            seen, old = stage(seen), parts
+            parts = [seen, front]
+            for p in old[:-1]:
+                unstage(p)
+    return seen
 
 
 def on_cycles(closed: DataFrame) -> DataFrame:

@@ -1,172 +1,186 @@
 """Parent-child rows to full hierarchies: path, depth, root, descendants, and the nodes that reach no root.
 
-Components are found first and each one is walked depth-first where it lies together. A component of more than
-``walk_rows`` nodes would be too much for one task, so it is resolved by pointer doubling over joins instead; both
-ways give the same rows.
+Components are found first; each one is put where it lies together and walked depth-first with colours. A walk keeps a few
+numbers per node; paths, which are as many cells as the depths sum up to, are only made on demand and leave in batches of
+bounded size, so a chain costs memory by its nodes and not by their square.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators.components import connected_components
 from chronoloom.session import stage, unstage
 
-WALK_ROWS = 200_000
-GROUP_ROWS = 20_000  #: nodes of small components that share a task group, about
+TASK_ROWS = 50_000  #: nodes of a task, about; a component is never torn
+WALK_ROWS = 20_000  #: nodes of small components that are walked together
+BATCH_CELLS = 1_000_000  #: cells of paths in a batch
 
-NODES = "node_id long, parent_id long, root_id long, depth int, path array<long>, n_descendants long, fault string, end_id long"
+COLUMNS = "node_id long, parent_id long, root_id long, depth int, n_descendants long, fault string, end_id long"
+NODES = f"{COLUMNS}, path array<long>"
 
 
 def parents_of(rows: DataFrame, node: str, parent: str) -> DataFrame:
-    """``node_id, parent_id`` once per node. Null node ids are left out; of differing rows of one node the smallest
-    parent that isn't null counts."""
-    return rows.where(F.col(node).isNotNull()).select(F.col(node).cast("long").alias("node_id"), F.col(parent).cast("long").alias("parent_id")).groupBy("node_id").agg(F.min("parent_id").alias("parent_id"))
-
-
-def _walk(group: pd.DataFrame) -> pd.DataFrame:
-    """Depth-first with colours over whole components. White nodes are unseen, grey ones on the stack, black ones done."""
-    ids = group["node_id"].tolist()
-    parent = {n: (None if p is pd.NA or p != p or p is None else int(p)) for n, p in zip(ids, group["parent_id"].astype("Int64"))}
-    children: dict[int, list[int]] = {}
-    starts, fault = [], {}
-    for n, p in parent.items():
-        if p is None:
-            starts.append(n)
-        elif p not in parent:
-            starts.append(n)
-            fault[n] = ("lost_parent", p)
-        else:
-            children.setdefault(p, []).append(n)
-    grey, black = 1, 2
-    colour: dict[int, int] = {}
-    path: dict[int, list[int]] = {}
-    below: dict[int, int] = {}
-
-    def descend(start: int, mark: tuple[str, int] | None) -> None:
-        stack = [(start, iter(children.get(start, ())))]
-        colour[start] = grey
-        below[start] = 0
-        if mark is None:
-            path[start] = [start]
-        while stack:
-            n, rest = stack[-1]
-            for c in rest:
-                if colour.get(c):  # grey: a link back up, which closes a cycle
-                    continue
-                colour[c], below[c] = grey, 0
-                if mark is None:
-                    path[c] = path[n] + [c]
+    """``node_id, parent_id, other_parent`` once per node. Null node ids are left out. Rows of one node that differ give the
+    smallest parent and the largest one."""
+    r = rows.where(F.col(node).isNotNull()).select(F.col(node).cast("long").alias("node_id"), F.col(parent).cast("long").alias("parent_id"))
+    r = r.groupBy("node_id").agg(F.min("parent_id").alias("parent_id"), F.max("parent_id").alias("other_parent"))
+    return r.withColumn("other_parent", F.when(F.col("other_parent") != F.col("parent_id"), F.col("other_parent")))
+
+
+WHITE, GREY, BLACK = 0, 1, 2
+
+
+class Walk:
+    """Whole components, walked depth-first. White nodes are unseen, grey ones on the stack, black ones done.
+
+    The way up from a white node is followed until it ends at a root or at a black node; a grey one closes a cycle: the link
+    into it is a back edge, and the stack from there on is the cycle. Nodes then leave the stack from the top of the tree
+    down, each taking its depth, root or fault from its parent.
+    """
+
+    def __init__(self, ids: np.ndarray, parents: np.ndarray, has_parent: np.ndarray, others: np.ndarray, has_other: np.ndarray) -> None:
+        order = np.argsort(ids)
+        self.ids, self.parents, self.has_parent = ids[order], parents[order], has_parent[order]
+        others, has_other = others[order], has_other[order]
+        n = len(ids)
+        at = np.minimum(np.searchsorted(self.ids, self.parents), n - 1)
+        known = self.has_parent & (self.ids[at] == self.parents)
+        up = np.where(known, at, -1).tolist()
+        colour, depth, root = [WHITE] * n, [0] * n, [-1] * n
+        fault: list[str | None] = [None] * n
+        end = [0] * n
+        finished: list[int] = []
+        self.back_edges: list[tuple[int, int]] = []
+        two = has_other.tolist()
+        lost = (self.has_parent & ~known).tolist()
+        for start in range(n):
+            if colour[start] != WHITE:
+                continue
+            stack = []
+            now = start
+            while now >= 0 and colour[now] == WHITE:
+                colour[now] = GREY
+                stack.append(now)
+                now = -1 if two[now] else up[now]
+            if now >= 0 and colour[now] == GREY:
+                self.back_edges.append((int(self.ids[stack[-1]]), int(self.ids[now])))
+                ring = stack[stack.index(now) :]
+                least = int(self.ids[min(ring)])
+                for x in ring:
+                    fault[x], end[x], colour[x] = "on_cycle", least, BLACK
+                finished.extend(reversed(ring))
+                del stack[len(stack) - len(ring) :]
+            while stack:
+                x = stack.pop()
+                p = up[x]
+                if two[x]:
+                    fault[x], end[x] = "two_parents", int(others[x])
+                elif lost[x]:
+                    fault[x], end[x] = "lost_parent", int(self.parents[x])
+                elif p < 0:
+                    root[x] = x
+                elif fault[p] is None:
+                    root[x], depth[x] = root[p], depth[p] + 1
+                elif fault[p] == "two_parents":
+                    fault[x], end[x] = "under_two_parents", int(self.ids[p])
                 else:
-                    fault[c] = mark
-                stack.append((c, iter(children.get(c, ()))))
-                break
-            else:
-                stack.pop()
-                colour[n] = black
-                if stack:
-                    below[stack[-1][0]] += below[n] + 1
-
-    for s in sorted(starts):
-        descend(s, fault.get(s))
-    for n in ids:
-        if colour.get(n):
-            continue
-        trail: dict[int, int] = {}
-        at = n
-        while at not in trail:  # no start above: going up must meet itself
-            trail[at] = len(trail)
-            at = parent[at]
-        ring = [x for x, i in trail.items() if i >= trail[at]]
-        least = min(ring)
-        for x in ring:
-            fault[x], colour[x] = ("on_cycle", least), grey
-        for x in ring:
-            below[x] = 0
-            for c in children.get(x, ()):
-                if not colour.get(c):
-                    fault[c] = ("under_cycle", least)
-                    descend(c, fault[c])
-        total = len(ring) + sum(below[c] + 1 for x in ring for c in children.get(x, ()) if fault[c][0] == "under_cycle")
-        for x in ring:
-            below[x] = total - 1
-            colour[x] = black
-    empty = pd.NA
-    return pd.DataFrame({
-        "node_id": ids, "parent_id": pd.array([parent[n] if parent[n] is not None else empty for n in ids], "Int64"),
-        "root_id": pd.array([path[n][0] if n in path else empty for n in ids], "Int64"), "depth": pd.array([len(path[n]) - 1 if n in path else empty for n in ids], "Int32"),
-        "path": [np.asarray(path[n], np.int64) if n in path else None for n in ids], "n_descendants": [below[n] for n in ids],
-        "fault": [fault[n][0] if n in fault else None for n in ids], "end_id": pd.array([fault[n][1] if n in fault else empty for n in ids], "Int64"),
-    })
-
-
-def _double(nodes: DataFrame) -> DataFrame:
-    """The same rows by pointer doubling: after k rounds ``up`` is the 2**k-th ancestor and ``path`` the way to it."""
-    known = nodes.select(F.col("node_id").alias("known"))
-    lost = nodes.join(known, nodes["parent_id"] == known["known"], "left")
-    is_lost = F.col("parent_id").isNotNull() & F.col("known").isNull()
-    now = stage(lost.select("node_id", "parent_id", F.when(is_lost, F.lit(None)).otherwise(F.col("parent_id")).alias("up"), F.array("node_id").alias("way"), F.col("node_id").alias("least"), F.when(is_lost, F.col("parent_id")).alias("lost_id")))
-    n = nodes.count()
-    rounds = max(1, int(np.ceil(np.log2(n + 1))))
-    for _ in range(rounds):
-        a = now.where(F.col("up").isNotNull())
-        if not a.limit(1).count():
-            break
-        # a cycle never ends; its ways are cut where they first repeat, so they don't outgrow the component
-        b = now.select(F.col("node_id").alias("b_id"), F.col("up").alias("b_up"), F.col("way").alias("b_way"), F.col("least").alias("b_least"), F.col("lost_id").alias("b_lost"))
-        after = stage(
-            now.join(b, now["up"] == b["b_id"], "left").select(
-                "node_id", "parent_id", F.when(F.col("b_id").isNotNull(), F.col("b_up")).alias("up"),
-                F.when(F.col("b_id").isNotNull(), F.array_distinct(F.concat("b_way", "way"))).otherwise(F.col("way")).alias("way"),
-                F.least("least", F.coalesce("b_least", "least")).alias("least"), F.coalesce("lost_id", "b_lost").alias("lost_id"),
-            )
-        )
-        unstage(now)
-        now = after
-    # what still has an ancestor after n steps runs in a circle. Going up n steps turns a circle onto itself, so the nodes
-    # reached are exactly those on a circle, and the smallest node met from there is the circle's smallest
-    loops = now.where(F.col("up").isNotNull()).select("node_id", "up")
-    on = loops.select(F.col("up").alias("x")).distinct().withColumn("on_ring", F.lit(True))
-    ends = now.select(F.col("node_id").alias("up"), F.col("least").alias("end_loop"))
-    loops = loops.join(ends, "up").join(on, loops["node_id"] == on["x"], "left").select("node_id", "end_loop", "on_ring")
-    out = now.join(loops, "node_id", "left")
-    rooted = F.col("up").isNull() & F.col("lost_id").isNull()
-    out = out.select(
-        "node_id", "parent_id", F.when(rooted, F.element_at("way", 1)).alias("root_id"), F.when(rooted, F.size("way") - 1).cast("int").alias("depth"), F.when(rooted, F.col("way")).alias("path"),
-        F.when(F.col("on_ring"), "on_cycle").when(F.col("up").isNotNull(), "under_cycle").when(F.col("lost_id").isNotNull(), "lost_parent").alias("fault"),
-        F.when(F.col("up").isNotNull(), F.col("end_loop")).otherwise(F.col("lost_id")).alias("end_id"), "way",
-    )
-    counts = out.select(F.explode("way").alias("node_id"), F.col("node_id").alias("below")).where("node_id != below").groupBy("node_id").agg(F.count(F.lit(1)).alias("n_descendants"))
-    return out.drop("way").join(counts, "node_id", "left").select("node_id", "parent_id", "root_id", "depth", "path", F.coalesce("n_descendants", F.lit(0).cast("long")).alias("n_descendants"), "fault", "end_id")
-
-
-def _walked(member: DataFrame) -> DataFrame:
-    """Walk components where they lie; several small ones share a group, none is torn."""
-    groups = max(1, member.count() // GROUP_ROWS)
-    return member.groupBy(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("bucket")).applyInPandas(_walk, NODES)
-
-
-def resolve(rows: DataFrame, node: str = "source_id", parent: str = "parent_source_id", walk_rows: int = WALK_ROWS) -> DataFrame:
-    """``node_id, parent_id, root_id, depth, path, n_descendants, fault, end_id``, one row per node.
+                    fault[x], end[x] = "under_cycle" if fault[p] == "on_cycle" else fault[p], end[p]
+                colour[x] = BLACK
+                finished.append(x)
+        below = [0] * n
+        for x in reversed(finished):  # children come before their parents
+            if up[x] >= 0 and fault[x] != "on_cycle" and not two[x]:
+                below[up[x]] += below[x] + 1
+        rings: dict[int, list[int]] = {}
+        for x in finished:
+            if fault[x] == "on_cycle":
+                rings.setdefault(end[x], []).append(x)
+        for ring in rings.values():  # all of a cycle lies below each of its nodes
+            total = len(ring) + sum(below[x] for x in ring)
+            for x in ring:
+                below[x] = total - 1
+        self.up, self.depth, self.root, self.fault, self.end, self.below = up, depth, root, fault, end, below
+
+    def batches(self, paths: bool) -> Iterator[pa.RecordBatch]:
+        n = len(self.ids)
+        rooted = np.array([f is None for f in self.fault], bool)
+        depth = np.array(self.depth, np.int64)
+        cells = np.where(rooted, depth + 1, 0) if paths else np.zeros(n, np.int64)
+        piece = np.cumsum(cells) // BATCH_CELLS
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), n]
+        root = self.ids[np.array(self.root, np.int64)]
+        for a, z in zip(cuts, cuts[1:]):
+            r = rooted[a:z]
+            out = [
+                pa.array(self.ids[a:z]), pa.array(self.parents[a:z], mask=~self.has_parent[a:z]), pa.array(root[a:z], mask=~r), pa.array(depth[a:z].astype(np.int32), mask=~r),
+                pa.array(self.below[a:z], pa.int64()), pa.array(self.fault[a:z], pa.string()), pa.array(np.array(self.end[a:z], np.int64), mask=r),
+            ]
+            names = ["node_id", "parent_id", "root_id", "depth", "n_descendants", "fault", "end_id"]
+            if paths:
+                ways = []
+                for x in range(a, z):
+                    way = None
+                    if rooted[x]:
+                        way, now = [], x
+                        while now >= 0:
+                            way.append(now)
+                            now = self.up[now]
+                        way = self.ids[way[::-1]]
+                    ways.append(way)
+                out.append(pa.array(ways, pa.list_(pa.int64())))
+                names.append("path")
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+
+def _walked(paths: bool):
+    """Walks the components of a task in turn; its rows are sorted by component."""
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        if t.num_rows:
+            parent, other = t.column("parent_id"), t.column("other_parent")
+            yield from Walk(t.column("node_id").to_numpy(), parent.fill_null(0).to_numpy(), parent.is_valid().to_numpy(), other.fill_null(0).to_numpy(), other.is_valid().to_numpy()).batches(paths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows < WALK_ROWS:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            component = t.column("component").to_numpy()
+            cut = int(np.searchsorted(component, component[-1]))  # the last component may go on in the next batch
+            if cut:
+                yield from flush(t.slice(0, cut).to_batches())
+                held, rows = t.slice(cut).to_batches(), t.num_rows - cut
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+def resolve(rows: DataFrame, node: str = "source_id", parent: str = "parent_source_id", paths: bool = True) -> DataFrame:
+    """``node_id, parent_id, root_id, depth, n_descendants, fault, end_id`` and, with ``paths``, ``path``; one row per node.
 
     A node with a null parent is a root (depth 0, path [node]). ``fault`` tells why a node reaches no root: ``on_cycle``
-    and ``under_cycle`` (end_id the smallest node on the cycle) or ``lost_parent`` (end_id the parent that isn't there);
-    path, depth and root are null then. Rows sent twice count once, null node ids are left out, and an empty table
-    gives no rows.
+    and ``under_cycle`` (end_id the smallest node on the cycle), ``lost_parent`` (end_id the parent that isn't there), or
+    ``two_parents`` (rows of the node name different ones; end_id the larger) and ``under_two_parents`` (end_id the node
+    above that has them); path, depth and root are null then. Rows sent twice count once, null node ids are left out, and
+    an empty table gives no rows. Components are found when this is called; the walk is lazy.
     """
     nodes = stage(parents_of(rows, node, parent))
     links = nodes.select(F.col("node_id").alias("u"), F.coalesce("parent_id", "node_id").alias("v"))
-    member = stage(nodes.join(connected_components(links), nodes["node_id"] == F.col("node")).select("node_id", "parent_id", "component"))
-    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > walk_rows)
-    large = stage(sizes)
+    both = nodes.where("other_parent is not null").select(F.col("node_id").alias("u"), F.col("other_parent").alias("v"))
+    member = stage(nodes.join(connected_components(links.unionByName(both)), nodes["node_id"] == F.col("node")).select("node_id", "parent_id", "other_parent", "component"))
     unstage(nodes)
-    if not large.limit(1).count():
-        return _walked(member)
-    small = _walked(member.join(large, "component", "left_anti"))
-    return small.unionByName(_double(member.join(large, "component", "left_semi").select("node_id", "parent_id")))
+    tasks = max(1, -(-member.count() // TASK_ROWS), min(member.sparkSession.sparkContext.defaultParallelism, member.count() // 1000))
+    return member.repartition(tasks, "component").sortWithinPartitions("component").mapInArrow(_walked(paths), NODES if paths else COLUMNS)
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -91,9 +91,31 @@ def ordered_list(rows: DataFrame, key: str, position: str, value: str, out: str)
     return rows.groupBy(key).agg(F.transform(pairs, lambda x: x["v"]).alias(out))
 
 
+def asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, out: str, block_us: int = 3_600_000_000) -> DataFrame:
+    """``left`` with ``out``: the last ``right_at`` of its key that is not after ``left_at``; null where there is none or no time.
+
+    A union and a running maximum in two levels (blocks of time, then rows within a block): no pairs are made, and no task
+    holds a hot key.
+    """
+    def block(t: Column) -> Column:
+        return F.floor(F.unix_micros(t.cast("timestamp")) / F.lit(block_us))
+
+    kind = right.schema[right_at].dataType
+    a = left.withColumn("_at", F.col(left_at)).withColumn("_seen", F.lit(None).cast(kind)).withColumn("_side", F.lit(1))
+    b = right.where(F.col(right_at).isNotNull()).select(key, F.col(right_at).alias("_at"), F.col(right_at).alias("_seen"), F.lit(0).alias("_side"))
+    rows = a.unionByName(b, allowMissingColumns=True).withColumn("_block", block(F.col("_at")))
+    last = rows.where("_side = 0").groupBy(key, "_block").agg(F.max("_seen").alias("_last"))
+    blocks = rows.select(key, "_block").distinct().join(last, [key, "_block"], "left")
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col(key).alias("_k"), F.col("_block").alias("_b"), F.max("_last").over(earlier).alias("_carried"))
+    rows = rows.join(blocks, rows[key].eqNullSafe(blocks["_k"]) & (rows["_block"] == blocks["_b"]), "left")
+    inside = Window.partitionBy(key, "_block").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn(out, F.greatest("_carried", F.max("_seen").over(inside))).where("_side = 1")
+    return found.withColumn(out, F.when(F.col(left_at).isNotNull() & F.col(key).isNotNull(), F.col(out))).select(*left.columns, out)
+
+
 def first_seen(rows: DataFrame, key: list[str], order: str, new_id: str) -> DataFrame:
-    """Distinct contents with ids by first use (dense from 1). One window over the distinct contents only."""
-    from pyspark.sql import Window
+    """Distinct contents with ids by first use (dense from 1)."""
+    from chronoloom.session import numbered
 
-    distinct = rows.groupBy(*key).agg(F.min(order).alias("first_use"))
-    return distinct.withColumn(new_id, F.row_number().over(Window.orderBy("first_use")))
+    return numbered(rows.groupBy(*key).agg(F.min(order).alias("first_use")), ["first_use"], new_id)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions import timeline as tl
-from chronoloom.session import prefix_sum
+from chronoloom.session import prefix_sum, previous
 
 
 def chunks(shard: DataFrame) -> DataFrame:
@@ -26,26 +26,37 @@ def long_form(c: DataFrame) -> DataFrame:
     return with_base(c).select("signal_id", "base", F.posexplode("values").alias("at", "value")).select("signal_id", (F.col("base") + F.col("at")).alias("step"), "value")
 
 
+PART = 1 << 20  #: values of a part of a scan, about
+
+
 def scan(c: DataFrame) -> DataFrame:
-    """``signal_id, values``: the whole series as one array, chunks in order. For signals whose series fit in a row."""
+    """``signal_id, part, values``: whole series as arrays, chunks in order. A part holds the chunks that begin within ``PART``
+    steps, so a series of any length is rows of bounded size and many tasks; short ones have part 0 only."""
+    c = c if "base" in c.columns else with_base(c)
     ordered = F.array_sort(F.collect_list(F.struct("chunk_idx", "values")))
-    return c.groupBy("signal_id").agg(F.flatten(F.transform(ordered, lambda x: x["values"])).alias("values"))
+    return c.groupBy("signal_id", F.floor(F.col("base") / F.lit(PART)).alias("part")).agg(F.flatten(F.transform(ordered, lambda x: x["values"])).alias("values"))
 
 
 def read_range(c: DataFrame, start: Column, stop: Column) -> DataFrame:
-    """``signal_id, values`` of steps [start, stop), from the chunks that meet the range only, clipped. A stop past the
+    """``signal_id, part, values`` of steps [start, stop), from the chunks that meet the range only, clipped. A stop past the
     end truncates; an empty range gives no row for the signal."""
     b = with_base(c).where((start < stop) & (F.col("base") < stop) & (F.col("base") + F.col("n_values") > start))
     head = F.greatest(start - F.col("base"), F.lit(0)).cast("int")
     tail = F.least(stop - F.col("base"), F.col("n_values").cast("long")).cast("int")
-    return scan(b.select("signal_id", "chunk_idx", F.slice("values", head + 1, tail - head).alias("values")))
+    return scan(b.select("signal_id", "chunk_idx", "base", F.slice("values", head + 1, tail - head).alias("values")))
 
 
 def rechunk(c: DataFrame, size: int) -> DataFrame:
-    """Chunks of ``size`` values each (the last may be shorter): ``signal_id, chunk_idx, n_values, values``."""
-    rows = long_form(c).withColumn("chunk_idx", F.floor(F.col("step") / size).cast("int"))
-    ordered = F.array_sort(F.collect_list(F.struct("step", "value")))
-    out = rows.groupBy("signal_id", "chunk_idx").agg(F.transform(ordered, lambda x: x["value"]).alias("values"))
+    """Chunks of ``size`` values each (the last may be shorter): ``signal_id, chunk_idx, n_values, values``.
+    Old chunks are sliced where the new ones begin; no value is a row of its own."""
+    b = with_base(c).where("n_values > 0")
+    end = F.col("base") + F.col("n_values")
+    b = b.select("signal_id", "base", "values", end.alias("end"), F.explode(F.sequence(F.floor(F.col("base") / size), F.floor((end - 1) / size))).alias("to"))
+    head = F.greatest(F.col("to") * size - F.col("base"), F.lit(0)).cast("int")
+    tail = F.least((F.col("to") + 1) * size, F.col("end")) - F.col("base")
+    pieces = b.select("signal_id", F.col("to").cast("int").alias("chunk_idx"), "base", F.slice("values", head + 1, tail.cast("int") - head).alias("values"))
+    ordered = F.array_sort(F.collect_list(F.struct("base", "values")))
+    out = pieces.groupBy("signal_id", "chunk_idx").agg(F.flatten(F.transform(ordered, lambda x: x["values"])).alias("values"))
     return out.select("signal_id", "chunk_idx", F.size("values").alias("n_values"), "values")
 
 
@@ -70,8 +81,11 @@ def axes_of(signals: DataFrame, axes: DataFrame) -> DataFrame:
 
 def on_time(long: DataFrame, placed: DataFrame) -> DataFrame:
     """Adds ``time_offset_us`` to long rows: computed on regular axes, looked up on irregular ones, null on ordinal ones."""
-    at = F.when(F.col("axis_type") == "regular", tl.offset_at(F.col("step"))).when(F.col("axis_type") == "irregular", F.get("time_offsets", F.col("step").cast("int")))
-    return long.join(placed, "signal_id").withColumn("time_offset_us", at)
+    offsets = placed.where("axis_type = 'irregular'").select("signal_id", F.posexplode("time_offsets").alias("step", "_offset")).withColumn("step", F.col("step").cast("long"))
+    at = F.when(F.col("axis_type") == "regular", tl.offset_at(F.col("step"))).when(F.col("axis_type") == "irregular", F.col("_offset"))
+    # a step looks up its own offset; the arrays stay where they are
+    rows = long.join(placed.drop("time_offsets"), "signal_id").join(offsets, ["signal_id", "step"], "left")
+    return rows.withColumn("time_offset_us", at).drop("_offset")
 
 
 def spans(placed: DataFrame) -> DataFrame:
@@ -130,8 +144,9 @@ def observed_window(long: DataFrame) -> DataFrame:
 
 
 def runs(long: DataFrame, key: str = "signal_id", order: str = "step", value: str = "value") -> DataFrame:
-    """``key, value, first, last, n``: stretches of one value in order, by islands of equal neighbours."""
-    w = Window.partitionBy(key).orderBy(order)
-    new = (~F.lag(value).over(w).eqNullSafe(F.col(value))) | (F.row_number().over(w) == 1)
-    rows = long.withColumn("_new", new.cast("int")).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """``key, value, first, last, n``: stretches of one value in order, by islands of equal neighbours. ``order`` is a unique
+    integer; a hot key is many blocks."""
+    rows = previous(long, [key], order, value, "_before")
+    new = F.col("_before").isNull() | ~F.col("_before.v").eqNullSafe(F.col(value))
+    rows = prefix_sum(rows.withColumn("_new", new.cast("long")), [key], order, "_new", "_island").withColumn("_island", F.col("_island") + F.col("_new"))
     return rows.groupBy(key, value, "_island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("_island")

@@ -252,13 +252,13 @@ def sm38(spark, d):
 
 @add("gr1_subtree_signals", "WITH RECURSIVE n AS (SELECT DISTINCT source_id, parent_source_id p FROM sources), up AS (SELECT source_id, source_id AS root FROM n WHERE p IS NULL UNION ALL SELECT n.source_id, up.root FROM up JOIN n ON n.p = up.source_id) SELECT up.root AS root_id, count(DISTINCT g.signal_id) AS n FROM up JOIN signals g ON g.source_id = up.source_id GROUP BY 1")
 def gr1(spark, d):
-    r = hierarchy.resolve(table(spark, d, "sources")).where("root_id is not null").select(F.col("node_id").alias("source_id"), "root_id")
+    r = hierarchy.resolve(table(spark, d, "sources"), paths=False).where("root_id is not null").select(F.col("node_id").alias("source_id"), "root_id")
     g = table(spark, d, "signals").select("signal_id", "source_id").distinct()
     return g.join(r, "source_id").groupBy("root_id").agg(F.count(F.lit(1)).alias("n"))
 
 @add("gr3_source_cycles", "WITH RECURSIVE e AS (SELECT DISTINCT source_id u, parent_source_id v FROM sources WHERE parent_source_id IS NOT NULL), c AS (SELECT u, v FROM e UNION SELECT c.u, e.v FROM c JOIN e ON e.u = c.v) SELECT u AS source_id FROM c WHERE u = v")
 def gr3(spark, d):
-    return hierarchy.resolve(table(spark, d, "sources")).where("fault = 'on_cycle'").select(F.col("node_id").alias("source_id"))
+    return hierarchy.resolve(table(spark, d, "sources"), paths=False).where("fault = 'on_cycle'").select(F.col("node_id").alias("source_id"))
 
 @add("wn3_merged_windows", "WITH v AS (SELECT DISTINCT object_id, start_us s, end_us e FROM annotation_occurrences WHERE object_type = 'Record' AND span_type = 'time_interval' AND object_id IS NOT NULL AND start_us < end_us), w AS (SELECT *, max(e) OVER (PARTITION BY object_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) r FROM v), i AS (SELECT *, sum(CASE WHEN r >= s THEN 0 ELSE 1 END) OVER (PARTITION BY object_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) g FROM w), m AS (SELECT object_id, g, min(s) s, max(e) e FROM i GROUP BY 1, 2) SELECT object_id, count(*) AS n_periods, sum(e - s)::BIGINT AS covered_us FROM m GROUP BY 1")
 def wn3(spark, d):

@@ -86,7 +86,7 @@ def p5_by_signal(spark, d):
            CASE WHEN here NOT IN (SELECT source_id FROM n) THEN here ELSE list_min(seen[list_position(seen, here):]) END end_id FROM f""",
 )
 def p6_found(spark, d):
-    return hierarchy.faults(hierarchy.resolve(table(spark, d, "sources")))
+    return hierarchy.faults(hierarchy.resolve(table(spark, d, "sources"), paths=False))
 
 
 @problems.add(

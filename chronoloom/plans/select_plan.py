@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators import select as sel
 from chronoloom.plans.registry import Registry
-from chronoloom.session import table
+from chronoloom.session import numbered, prefix_sum, table
 
 select_plan = Registry()
 add = select_plan.add
@@ -33,7 +33,7 @@ def sc1(spark, d):
 
 @add("sc2_record_ids", "SELECT row_number() OVER (ORDER BY read_order) AS position, record_id FROM records")
 def sc2(spark, d):
-    return table(spark, d, "records").select(F.row_number().over(Window.orderBy("read_order")).cast("long").alias("position"), "record_id")
+    return numbered(table(spark, d, "records").select("read_order", "record_id"), ["read_order"], "position").select("position", "record_id")
 
 
 @add("sc3_records_in_order", "WITH q AS (SELECT * FROM (VALUES (0, 7), (1, 3), (2, 7), (3, 250), (4, 1)) v(position, record_id)) SELECT q.position::INT AS position, q.record_id::BIGINT AS record_id, r.read_order FROM q JOIN records r ON r.record_id = q.record_id")
@@ -88,8 +88,9 @@ def sc9(spark, d):
 @add("sc10_annotation_table", "SELECT object_type, object_id, occurrence_id, row_number() OVER (PARTITION BY object_type, object_id ORDER BY occurrence_id) AS position FROM (SELECT DISTINCT object_type, object_id, occurrence_id FROM annotation_occurrences)")
 def sc10(spark, d):
     a = table(spark, d, "annotation_occurrences").select("object_type", "object_id", "occurrence_id").distinct()
-    w = Window.partitionBy("object_type", "object_id").orderBy(F.col("occurrence_id").asc_nulls_last())
-    return a.withColumn("position", F.row_number().over(w).cast("long"))
+    # the place is a count in two levels: the object with a tenth of the rows is many blocks
+    a = a.withColumn("_order", F.coalesce("occurrence_id", F.lit(1 << 62))).withColumn("_one", F.lit(1).cast("long"))
+    return prefix_sum(a, ["object_type", "object_id"], "_order", "_one", "position").withColumn("position", F.col("position") + 1).drop("_order", "_one")
 
 
 @add("fl1_split", f"WITH {_TASKS} SELECT task_id FROM t WHERE split = 'validation'")
@@ -255,12 +256,10 @@ def jn13(spark, d):
 
 @add("jn14_asof", "SELECT c.row_id, max(e.ts)::VARCHAR AS last_ts FROM (SELECT row_id, fetched_at, row_id % 15 AS user_id FROM cot_rows) c ASOF LEFT JOIN events e ON c.user_id = e.user_id AND c.fetched_at >= e.ts GROUP BY 1")
 def jn14(spark, d):
-    """As-of join (an extension) as a union and a running maximum: one exchange on the key, no pairs."""
-    c = table(spark, d, "cot_rows").select(F.col("row_id"), F.col("fetched_at").alias("at"), (F.col("row_id") % 15).alias("user_id"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(1).alias("side"))
-    e = table(spark, d, "events").select(F.lit(None).cast("long").alias("row_id"), F.col("ts").alias("at"), "user_id", "ts", F.lit(0).alias("side"))
-    w = Window.partitionBy("user_id").orderBy(F.col("at").asc_nulls_first(), "side").rowsBetween(Window.unboundedPreceding, 0)
-    x = c.unionByName(e).withColumn("last", F.max("ts").over(w)).where("side = 1")
-    return x.select("row_id", F.when(F.col("at").isNotNull(), F.col("last")).cast("string").alias("last_ts"))
+    """As-of join (an extension)."""
+    c = table(spark, d, "cot_rows").select("row_id", F.col("fetched_at").alias("at"), (F.col("row_id") % 15).alias("user_id"))
+    x = sel.asof(c, table(spark, d, "events").select("user_id", "ts"), "user_id", "at", "ts", "last_ts")
+    return x.select("row_id", F.col("last_ts").cast("string").alias("last_ts"))
 
 
 @add("ag1_counts", "SELECT spec_type, count(DISTINCT signal_id) AS n FROM signals GROUP BY 1")
@@ -373,13 +372,13 @@ def ag20(spark, d):
 
 @add("wn1_read_order", "SELECT record_id, row_number() OVER (ORDER BY time_span_start_us NULLS LAST, record_id) - 1 AS read_order FROM records")
 def wn1(spark, d):
-    w = Window.orderBy(F.col("time_span_start_us").asc_nulls_last(), "record_id")
-    return table(spark, d, "records").select("record_id", (F.row_number().over(w) - 1).cast("long").alias("read_order"))
+    r = table(spark, d, "records").select("record_id", "time_span_start_us")
+    return numbered(r, [F.col("time_span_start_us").asc_nulls_last(), F.col("record_id")], "read_order", 0).select("record_id", "read_order")
 
 
 @add("wn6_assign_ids", "SELECT p_partkey, 1000 + row_number() OVER (ORDER BY p_name, p_partkey) AS new_id FROM part")
 def wn6(spark, d):
-    return table(spark, d, "part").select("p_partkey", (F.lit(1000) + F.row_number().over(Window.orderBy("p_name", "p_partkey"))).cast("long").alias("new_id"))
+    return numbered(table(spark, d, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"], "new_id", 1001).select("p_partkey", "new_id")
 
 
 @add("wn7_frames", "SELECT event_id, ntile(4) OVER w AS quarter, rank() OVER w AS place, round(coalesce(lead(value) OVER w, -1), 6) AS next FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value, event_id)")

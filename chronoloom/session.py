@@ -97,3 +97,39 @@ def prefix_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str,
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(sums, cond, "left").drop("_b", *[f"_k_{k}" for k in keys])
     return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum(F.coalesce(F.col(value), F.lit(0))).over(inside), F.lit(0))).drop("_block", "_base")
+
+
+def previous(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = 1024) -> DataFrame:
+    """Adds ``out``: the ``value`` of the row before, per ``keys`` in the order of the unique integer column ``order``; a
+    struct of one field ``v``, null for the first row, so that a null value and no row stay apart.
+
+    Two levels, as in ``prefix_sum``: within a block of order values, and from the last row of the blocks before.
+    """
+    from pyspark.sql import Window
+
+    rows = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)).cast("long")).withColumn("_own", F.struct(F.col(value).alias("v")))
+    last = rows.groupBy(*keys, "_block").agg(F.max_by("_own", order).alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_block")
+    last = last.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_b"), F.lag("_last").over(earlier).alias("_carried"))
+    cond = rows["_block"] == last["_b"]
+    for k in keys:
+        cond = cond & rows[k].eqNullSafe(last[f"_k_{k}"])
+    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    joined = rows.join(last, cond, "left").drop("_b", *[f"_k_{k}" for k in keys])
+    return joined.withColumn(out, F.coalesce(F.lag("_own").over(inside), F.col("_carried"))).drop("_block", "_own", "_carried")
+
+
+def numbered(df: DataFrame, order: list, out: str, first: int = 1) -> DataFrame:
+    """Adds ``out``: the place of each row in the order of ``order``, from ``first``; no task sorts the whole table.
+
+    Rows are range-partitioned, sorted and staged with their place in the partition; only the sizes of the partitions are
+    summed up. Ties get their places in any order, but each place once.
+    """
+    from pyspark.sql import Window
+
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stage(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return rows.join(F.broadcast(sizes), "_part").withColumn(out, F.col("_base") + F.col("_at") + F.lit(first)).drop("_part", "_at", "_base")

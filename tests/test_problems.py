@@ -210,12 +210,14 @@ def random_forest(seed, n=300):
 
 
 @pytest.mark.parametrize("walk_rows", [10**6, 3])
-def test_hierarchy_against_brute_force(spark, walk_rows):
+def test_hierarchy_against_brute_force(spark, walk_rows, monkeypatch):
+    monkeypatch.setattr(hierarchy, "WALK_ROWS", walk_rows)
+    monkeypatch.setattr(hierarchy, "BATCH_CELLS", walk_rows)
     links = random_forest(walk_rows)
     data = [(k, v, "a") for k, v in links.items()]
     data += data[:40] + [(None, 3, "x")]
     df = spark.createDataFrame(data, "source_id long, parent_source_id long, path string")
-    got = hierarchy.resolve(df, walk_rows=walk_rows)
+    got = hierarchy.resolve(df)
     res = {r["node_id"]: r for r in got.collect()}
     want = brute_tree(links)
     assert set(res) == set(want) and got.count() == len(want)
@@ -231,9 +233,30 @@ def test_hierarchy_against_brute_force(spark, walk_rows):
 def test_deep_chain(spark):
     n = 600
     df = spark.createDataFrame([(i, i - 1 if i > 1 else None) for i in range(1, n + 1)], "source_id long, parent_source_id long")
-    for walk_rows in (10**6, 10):
-        r = hierarchy.resolve(df, walk_rows=walk_rows).where(f"node_id = {n}").head()
-        assert r["depth"] == n - 1 and r["root_id"] == 1
+    r = hierarchy.resolve(df).where(f"node_id = {n}").head()
+    assert r["depth"] == n - 1 and r["root_id"] == 1 and r["path"] == list(range(1, n + 1))
+
+
+def test_long_chain_and_long_cycle_without_paths(spark):
+    """Memory goes by nodes: the paths of this chain would be 11 billion cells."""
+    n = 150_000
+    df = spark.range(1, n + 1).selectExpr("id as source_id", "nullif(id - 1, 0) as parent_source_id").unionByName(spark.range(n).selectExpr("id + 1000000 as source_id", f"(id + 1) % {n} + 1000000 as parent_source_id"))
+    r = hierarchy.resolve(df, paths=False)
+    assert "path" not in r.columns
+    top = r.agg({"depth": "max", "n_descendants": "max"}).head()
+    assert top["max(depth)"] == n - 1 == top["max(n_descendants)"]
+    assert r.where("fault = 'on_cycle' and end_id = 1000000").count() == n
+
+
+def test_two_parents_are_a_fault(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, 1), (3, 2), (4, 3), (5, 4), (6, 1)], "source_id long, parent_source_id long")
+    got = {r["node_id"]: (r["fault"], r["end_id"], r["root_id"]) for r in hierarchy.resolve(df).collect()}
+    assert got == {1: (None, None, 1), 2: (None, None, 2), 3: ("two_parents", 2, None), 4: ("under_two_parents", 3, None), 5: ("under_two_parents", 3, None), 6: (None, None, 1)}
+
+
+def test_back_edges_close_cycles():
+    w = hierarchy.Walk(np.array([1, 2, 3, 4, 9]), np.array([3, 1, 2, 2, 9]), np.ones(5, bool), np.zeros(5, int), np.zeros(5, bool))
+    assert w.back_edges == [(2, 1), (9, 9)] and w.fault == ["on_cycle"] * 3 + ["under_cycle", "on_cycle"] and w.below == [3, 3, 3, 0, 0]
 
 
 def test_hierarchy_of_empty_table(spark):
