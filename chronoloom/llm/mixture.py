@@ -56,12 +56,16 @@ def mix(records: DataFrame, targets: DataFrame, total: int | None = None, seed:
     Ties of keys are broken by doc_id; the same seed gives the same mix. Records of sources without target are left
     out; empty tables give no rows.
     """
-    b = budgets(records, targets, total).select("source", "epochs", "rest", F.greatest(F.lit(1), F.ceil(F.col("n") / BIN_ROWS)).alias("bins"))
+    fine = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(BIN_ROWS)))).cast("int")
+    b = stage(budgets(records, targets, total).select("source", "epochs", "rest", fine.alias("fine")))
     r = records.join(F.broadcast(b), "source")  # as many rows as the fixed table of targets
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit((1 << 53) - 1)) + F.lit(1)) / F.lit(float(1 << 53))
     r = r.withColumn("key", -F.log(u) / F.col("weight"))
-    # bins follow the key (1 - exp(-key) lies between 0 and 1), so all of a bin comes before the next
-    r = r.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key") * F.lit(0.7))) * F.col("bins")), F.col("bins") - 1).cast("long"))
+    # bins follow the key: its octave, cut into 2**fine pieces. Keys of any weight lie in a few octaves, so no bin has more than
+    # a few times BIN_ROWS rows, and all of a bin comes before the next
+    octave, pieces = F.floor(F.log2("key")), F.pow(F.lit(2.0), F.col("fine"))
+    piece = F.least(F.floor((F.col("key") / F.pow(F.lit(2.0), octave) - 1) * pieces), pieces - 1)
+    r = r.withColumn("bin", F.when(F.col("key") > 0, octave * pieces + piece).otherwise(F.lit(-1e15)).cast("long"))
     sums = r.groupBy("source", "bin").agg(F.sum("n_tokens").alias("s"))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("source", "bin", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))

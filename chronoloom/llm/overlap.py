@@ -1,9 +1,10 @@
 """Same or near-same questions across splits, within one recording.
 
 Questions are cleaned and reduced to distinct ones per recording; winnowing keeps the least rolling hash of every
-window; a question is looked up by its rarest fingerprints only (as many as a pair of the required coverage must
-share one of), so wording that all questions share yields no candidates. Shared seeds of a candidate are chained in
-order, and the stretches between them are aligned word by word; names, leads and numbers must agree exactly.
+window. A pair must share ``COVER`` of the fingerprints of both; so it shares one of the rarest n - ceil(COVER n) + 1 of each,
+and only these are looked up: no such pair is lost, and wording that all questions share yields no candidates. Shared seeds
+of a candidate are chained in order, and the stretches between them are aligned word by word; names, leads and numbers must
+agree exactly. The coverage of a pair is the share of its questions' characters that seeds and extensions cover.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from chronoloom.session import stage
 
 GRAM, WINDOW = 5, 4
-COVER = 0.4  #: share of fingerprints that a pair has in common at least
+COVER = 0.4  #: share of the fingerprints of either question that a pair has in common at least; part of what a pair is
 
 # fixed values: what may stand before or after a question without changing it
 BEFORE = ["q", "question", "repeat", "repeated", "again", "please answer", "please", "answer", "asked", "you asked", "frage", "bitte", "pregunta", "por favor", "nochmal", "hello", "hi", "encore", "once more"]
@@ -137,57 +138,62 @@ def slip(a: str, b: str) -> bool:
     return rows[-1][-1] <= most
 
 
-def _align(a: list[str], b: list[str]) -> bool:
-    """Whether two short runs of words agree word by word, but for typing errors and lost or added spaces."""
-    i = j = 0
+def _align(a: list[str], b: list[str]) -> int:
+    """How many characters of two short runs of words are the same word for word (with the space after each), or -1 where the
+    runs differ by more than typing errors and lost or added spaces."""
+    i = j = same = 0
     while i < len(a) and j < len(b):
         if slip(a[i], b[j]):
+            same += len(a[i]) + 1 if a[i] == b[j] else 0
             i, j = i + 1, j + 1
         elif j + 1 < len(b) and slip(a[i], b[j] + b[j + 1]):
             i, j = i + 1, j + 2
         elif i + 1 < len(a) and slip(a[i] + a[i + 1], b[j]):
             i, j = i + 2, j + 1
         else:
-            return False
-    return i == len(a) and j == len(b)
+            return -1
+    return same if i == len(a) and j == len(b) else -1
 
 
 def same_question(a: str, b: str) -> tuple[bool, float]:
-    """Whether the cleaned questions are the same, and the share of the shorter one that seeds and extensions cover."""
+    """Whether the cleaned questions are the same, and the share of the longer one that seeds and their extensions cover
+    (words with a typing error aren't covered)."""
     if a == b:
         return True, 1.0
+    whole = max(len(a), len(b)) + 1
     fa, at_a = winnow(a)
     fb, at_b = winnow(b)
     _, ia, ib = np.intersect1d(fa, fb, return_indices=True)
-    seeds = chain(at_a[ia], at_b[ib])
+    if len(ia) < COVER * max(len(np.unique(fa)), len(np.unique(fb))):
+        return False, 0.0
     # words wholly inside a seed agree already; the stretches between seeds are aligned
-    left_a = left_b = 0
-    covered = 0
-    bounds = [(x, y, min(GRAM, len(a) - x, len(b) - y)) for x, y in seeds]
-    for x, y, n in bounds:
+    left_a = left_b = covered = 0
+    for x, y in chain(at_a[ia], at_b[ib]):
+        n = min(GRAM, len(a) - x, len(b) - y)
         # a seed counts from its first word start to its last word end
         sa, sb = a.find(" ", x, x + n), b.find(" ", y, y + n)
         if sa < 0 or sb < 0 or sa - x != sb - y or sa < left_a or sb < left_b:
             continue
-        if not _align(a[left_a:sa].split(), b[left_b:sb].split()):
-            return False, covered / max(1, min(len(a), len(b)))
-        covered += sa - left_a
+        agreed = _align(a[left_a:sa].split(), b[left_b:sb].split())
+        if agreed < 0:
+            return False, covered / whole
+        covered += agreed
         left_a, left_b = sa + 1, sb + 1
-    if not _align(a[left_a:].split(), b[left_b:].split()):
-        return False, covered / max(1, min(len(a), len(b)))
-    return True, 1.0
+    agreed = _align(a[left_a:].split(), b[left_b:].split())
+    return (False, covered / whole) if agreed < 0 else (True, (covered + agreed) / whole)
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text, sig, marks = [], [], []
+        text, sig, marks, kept = [], [], [], []
         for q in batch.column("question").to_pylist():
             t = clean(q)
+            kept.append(min(1.0, sum(map(len, t)) / max(1, sum(map(len, re.findall(r"[^\W_]+(?:['’][^\W_]+)*", q))))))
             text.append(" ".join(t)), sig.append(signature(t))
             marks.append(winnow(text[-1])[0].view(np.int64) if text[-1] else np.zeros(0, np.int64))
         flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("q"), pa.array(text, pa.string()), pa.array(sig, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], names=["q", "plain", "sig", "marks"])
+        yield pa.RecordBatch.from_arrays([batch.column("q"), pa.array(text, pa.string()), pa.array(sig, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64())), pa.array(kept, pa.float64())], names=["q", "plain", "sig", "marks", "kept"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,21 +205,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("ecg_id"), batch.column("a"), batch.column("b"), pa.array(cover, pa.float64())], names=["ecg_id", "a", "b", "coverage"]).filter(pa.array(same))
 
 
-def overlaps(rows: DataFrame) -> DataFrame:
-    """``train_row, eval_row, eval_split, coverage``: every pair of rows of one recording, one in train and one in
-    validation or test, that ask the same question.
+def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows by class of equal cleaned questions, and the pairs of classes of one recording that ask the same.
 
-    Rows without id, recording, split or question take no part, nor do questions without a word. Rows sent twice count
-    once. Empty tables give no rows.
+    The members are ``row_id, ecg_id, split, train, kind, kept`` (``kept``: the share of the question that cleaning left);
+    the pairs ``ecg_id, a, b, coverage`` with a train class and an evaluation class.
     """
     r = rows.select("row_id", "ecg_id", even_split(F.col("split")).alias("split"), "question").where(F.col("row_id").isNotNull() & F.col("ecg_id").isNotNull() & F.col("question").isNotNull() & F.col("split").isin("train", "validation", "test")).dropDuplicates(["row_id"])
     r = r.withColumn("train", F.col("split") == "train").withColumn("q", F.xxhash64("question"))
     # recordings that are in train and elsewhere; the rest has no pairs
     both = r.groupBy("ecg_id").agg(F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("e")).where("t > 0 and e > 0").select("ecg_id")
     r = stage(r.join(both, "ecg_id", "left_semi"))
-    texts = r.select("q", "question").dropDuplicates(["q"]).mapInArrow(_prepare, "q long, plain string, sig string, marks array<long>").where("plain != ''")
+    texts = r.select("q", "question").dropDuplicates(["q"]).mapInArrow(_prepare, "q long, plain string, sig string, marks array<long>, kept double").where("plain != ''")
     texts = stage(texts.withColumn("kind", F.xxhash64("plain")))
-    member = stage(r.join(texts.select("q", "kind"), "q").select("row_id", "ecg_id", "split", "train", "kind"))
+    member = stage(r.join(texts.select("q", "kind", "kept"), "q").select("row_id", "ecg_id", "split", "train", "kind", "kept"))
     kinds = texts.dropDuplicates(["kind"]).select("kind", "plain", "sig", "marks")
     # rarest fingerprints first, as many as a pair that covers enough must have one of in common
     marks = kinds.select("kind", "sig", F.explode(F.array_distinct("marks")).alias("mark"), F.size(F.array_distinct("marks")).alias("n"))
@@ -229,19 +234,36 @@ def overlaps(rows: DataFrame) -> DataFrame:
     candidates = candidates.join(plain.select(F.col("kind").alias("a"), F.col("plain").alias("a_plain")), "a").join(plain.select(F.col("kind").alias("b"), F.col("plain").alias("b_plain")), "b").select("ecg_id", "a", "b", "a_plain", "b_plain")
     near = candidates.mapInArrow(_verify, "ecg_id long, a long, b long, coverage double")
     own = asked.groupBy("ecg_id", "kind").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("ecg_id", F.col("kind").alias("a"), F.col("kind").alias("b"), F.lit(1.0).alias("coverage"))
-    pairs = near.unionByName(own)
-    left = member.where("train").select("ecg_id", F.col("kind").alias("a"), F.col("row_id").alias("train_row"))
-    right = member.where("not train").select("ecg_id", F.col("kind").alias("b"), F.col("row_id").alias("eval_row"), F.col("split").alias("eval_split"))
-    return pairs.join(left, ["ecg_id", "a"]).join(right, ["ecg_id", "b"]).select("train_row", "eval_row", "eval_split", "coverage")
+    return member, near.unionByName(own)
+
+
+def overlaps(rows: DataFrame) -> DataFrame:
+    """``train_row, eval_row, eval_split, coverage``: every pair of rows of one recording, one in train and one in
+    validation or test, that ask the same question.
+
+    Rows without id, recording, split or question take no part, nor do questions without a word. Rows sent twice count
+    once. Empty tables give no rows. Steps are staged when this is called.
+    """
+    member, pairs = classes(rows)
+    left = member.where("train").select("ecg_id", F.col("kind").alias("a"), F.col("row_id").alias("train_row"), F.col("kept").alias("_a"))
+    right = member.where("not train").select("ecg_id", F.col("kind").alias("b"), F.col("row_id").alias("eval_row"), F.col("split").alias("eval_split"), F.col("kept").alias("_b"))
+    both = pairs.join(left, ["ecg_id", "a"]).join(right, ["ecg_id", "b"])
+    return both.select("train_row", "eval_row", "eval_split", (F.col("coverage") * F.least("_a", "_b")).alias("coverage"))
 
 
 def found(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("train_row", "eval_row").alias("row_id_a"), F.greatest("train_row", "eval_row").alias("row_id_b")).distinct()
 
 
-def report(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per evaluation split and source: rows, rows with an overlap, pairs, and mean coverage of the best overlap."""
-    best = pairs.groupBy("eval_row").agg(F.count(F.lit(1)).alias("pairs"), F.max("coverage").alias("coverage"))
+def report(rows: DataFrame) -> DataFrame:
+    """Per evaluation split and source: rows, rows with an overlap, pairs, and mean coverage of the best overlap. Pairs are
+    counted by classes; none is made."""
+    member, pairs = classes(rows)
+    train = member.where("train").groupBy("ecg_id", F.col("kind").alias("a")).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("_a"))
+    per = pairs.join(train, ["ecg_id", "a"]).select("ecg_id", F.col("b").alias("kind"), "n", "coverage", "_a")
+    # the best pair of a row: the coverage of the classes times what cleaning left of the worse kept question
+    hit = member.where("not train").select("row_id", "ecg_id", "kind", "kept").join(per, ["ecg_id", "kind"])
+    best = hit.groupBy("row_id").agg(F.sum("n").alias("pairs"), F.max(F.col("coverage") * F.least("_a", "kept")).alias("coverage")).withColumnRenamed("row_id", "eval_row")
     r = rows.select("row_id", even_split(F.col("split")).alias("split"), "source").where(F.col("split").isin("validation", "test")).dropDuplicates(["row_id"])
     return r.join(best, r["row_id"] == best["eval_row"], "left").groupBy("split", "source").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("eval_row").alias("n_overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"), F.avg("coverage").alias("mean_coverage")

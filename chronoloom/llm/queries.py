@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm import encoding, grouping, mixture, overlap, pairs, residue
 from chronoloom.plans.registry import Registry
-from chronoloom.session import table
+from chronoloom.session import stage, table
 
 llm = Registry()
 
@@ -52,6 +52,16 @@ def p3_shares(spark, d):
     return grouping.shares(grouping.assign(grouping.groups(table(spark, d, "ptbxl_recordings"), rows), rows, targets), rows, targets)
 
 
+@llm.add("p3_kept_together", "SELECT count(DISTINCT ecg_id) AS n_recordings, 0::BIGINT AS torn_groups, 3::BIGINT AS n_splits, true AS near_targets FROM cot_rows WHERE ecg_id IS NOT NULL")
+def p3_kept_together(spark, d):
+    """What an assignment must hold: every recording once, no group in two splits, shares within five hundredths (a hash of few groups can be off by that)."""
+    rows, targets = table(spark, d, "cot_rows"), table(spark, d, "split_targets")
+    a = stage(grouping.assign(grouping.groups(table(spark, d, "ptbxl_recordings"), rows), rows, targets))
+    torn = a.groupBy("group_id").agg(F.min("split").alias("a"), F.max("split").alias("z")).agg(F.count_if(F.col("a") != F.col("z")).alias("torn_groups"))
+    near = grouping.shares(a, rows, targets).agg(F.count(F.lit(1)).alias("n_splits"), F.bool_and(F.abs(F.col("share") - F.col("target")) <= 0.05).alias("near_targets"))
+    return a.agg(F.count(F.lit(1)).alias("n_recordings")).crossJoin(torn).crossJoin(near)  # one row each
+
+
 @llm.add("p4_found")
 def p4_found(spark, d):
     return pairs.defects(table(spark, d, "cot_rows"))
@@ -69,10 +79,26 @@ def p7_found(spark, d):
     return overlap.found(overlap.overlaps(table(spark, d, "cot_rows")))
 
 
+_ALIKE = f"""t AS (SELECT DISTINCT row_id, ecg_id, question, {_SPLIT} sp FROM cot_rows WHERE row_id IS NOT NULL AND ecg_id IS NOT NULL AND regexp_matches(question, '[A-Za-z]'))"""
+
+
+@llm.add(
+    "p7_equal_pairs",
+    f"""WITH {_ALIKE} SELECT least(a.row_id, b.row_id) AS row_id_a, greatest(a.row_id, b.row_id) AS row_id_b FROM t a JOIN t b ON a.ecg_id = b.ecg_id AND a.question = b.question AND a.sp = 'train' AND b.sp IN ('validation', 'test')""",
+)
+def p7_equal_pairs(spark, d):
+    """The pairs that the operator finds with questions equal to the letter: it must find all of these."""
+    rows = table(spark, d, "cot_rows")
+    q = rows.select("row_id", "question").dropDuplicates(["row_id"])
+    pairs = overlap.overlaps(rows).select("train_row", "eval_row")
+    same = pairs.join(q.select(F.col("row_id").alias("train_row"), F.col("question").alias("a")), "train_row").join(q.select(F.col("row_id").alias("eval_row"), F.col("question").alias("b")), "eval_row").where("a = b")
+    return overlap.found(same)
+
+
 @llm.add("p7_report")
 def p7_report(spark, d):
     rows = table(spark, d, "cot_rows")
-    return overlap.report(overlap.overlaps(rows), rows)
+    return overlap.report(rows)
 
 
 @llm.add("p8_ids")
@@ -96,6 +122,14 @@ def p9_shares(spark, d):
     return mixture.shares(mixture.mix(records, targets), records, targets)
 
 
+@llm.add("p9_limits", "SELECT source, true AS within_budget, true AS within_repeats, true AS near_target FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE length(text) > 0)")
+def p9_limits(spark, d):
+    """What a mix must hold per source: no more tokens than the budget, no record more often than allowed, the share wanted."""
+    records, targets = mixture.sized(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    s = mixture.shares(mixture.mix(records, targets), records, targets).join(F.broadcast(targets.groupBy("source").agg(F.max("max_repeats").alias("most"))), "source")  # the fixed table of targets
+    return s.select("source", (F.col("tokens") <= F.col("budget")).alias("within_budget"), (F.col("most_copies") <= F.greatest(F.coalesce("most", F.lit(1)), F.lit(1))).alias("within_repeats"), (F.abs(F.col("share") - F.col("target")) <= 0.02).alias("near_target"))
+
+
 @llm.add("p10_found")
 def p10_found(spark, d):
     return residue.documents_with_residue(table(spark, d, "documents")).select("doc_id")

@@ -185,11 +185,11 @@ def test_overlaps_against_brute_force(spark):
         for b in data:
             if a[1] is not None and a[1] == b[1] and a[4] and b[4] and even(a[7]) == "train" and even(b[7]) in ("validation", "test"):
                 x, y = overlap.clean(a[4]), overlap.clean(b[4])
-                if x and y and overlap.signature(x) == overlap.signature(y) and overlap._align(list(x), list(y)):
+                if x and y and overlap.signature(x) == overlap.signature(y) and overlap._align(list(x), list(y)) >= 0:
                     want.add((min(a[0], b[0]), max(a[0], b[0])))
     found = overlap.overlaps(df)
     assert {tuple(r) for r in overlap.found(found).collect()} == want and len(want) > 30
-    rep = overlap.report(found, df)
+    rep = overlap.report(df)
     assert sum(r["n_pairs"] for r in rep.collect()) == len(want)
 
 
@@ -316,3 +316,20 @@ def test_residue(spark):
 
 def test_residue_of_empty_table(spark):
     assert residue.documents_with_residue(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_coverage_counts_what_seeds_and_extensions_cover(spark):
+    data = [(1, 1, 1, "verify", "Does this recording show a clear T wave inversion in lead V2?", "a", "r", "train", "s"), (2, 1, 1, "verify", "Does this recording show a claer T wave inversion in lead V2?", "a", "r", "test", "s"), (3, 1, 1, "verify", "Does this recording show a clear T wave inversion in lead V2? Thanks", "a", "r", "val", "s")]
+    got = {r["eval_row"]: r["coverage"] for r in overlap.overlaps(cot(spark, data)).collect()}
+    assert 0.8 < got[2] < 1 and 0.8 < got[3] < 1
+    best = {r["split"]: r["mean_coverage"] for r in overlap.report(cot(spark, data)).collect()}
+    assert best == {"test": got[2], "validation": got[3]}
+
+
+def test_bins_of_a_mix_are_even_for_any_weight(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixture, "BIN_ROWS", 50)
+    r = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(10).cast("long").alias("n_tokens"), F.lit(0.1).alias("weight"))
+    t = spark.createDataFrame([("a", 1.0, 1)], "source string, weight double, max_repeats int")
+    assert mixture.mix(r, t, total=20_000).agg({"n_tokens": "sum"}).head()[0] == 20_000
