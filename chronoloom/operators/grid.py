@@ -85,18 +85,54 @@ def als(matrix: np.ndarray, rank: int = 3, rounds: int = 8, ridge: float = 0.1)
     scale = np.sqrt((w * (x - mean) ** 2).sum(1, keepdims=True) / n)
     scale[scale == 0] = 1.0
     z = np.where(seen, (x - mean) / scale, 0.0)
-    rank = max(1, min(rank, *matrix.shape))
+    support = (seen.sum(1) >= SUPPORT)[:, None] & (seen.sum(0) >= SUPPORT)[None, :]
+    if rank == 0:
+        return np.broadcast_to(mean, matrix.shape), support
+    rank = min(rank, *matrix.shape)
     cols = np.cos(np.outer(np.arange(matrix.shape[1]) + 0.5, np.arange(rank)) * np.pi / matrix.shape[1])
     eye = ridge * np.eye(rank)
+
+    def squares(weight: np.ndarray, factor: np.ndarray) -> np.ndarray:
+        """Per row of ``weight`` the weighted sum of the factor's outer products."""
+        return (weight @ (factor[:, :, None] * factor[:, None, :]).reshape(len(factor), -1)).reshape(-1, rank, rank)
+
     for _ in range(rounds):
-        rows = np.linalg.solve(np.einsum("ij,jr,js->irs", w, cols, cols, optimize=True) + eye, (z @ cols)[..., None])[..., 0]
-        cols = np.linalg.solve(np.einsum("ij,ir,is->jrs", w, rows, rows, optimize=True) + eye, (z.T @ rows)[..., None])[..., 0]
-    support = (seen.sum(1) >= SUPPORT)[:, None] & (seen.sum(0) >= SUPPORT)[None, :]
+        rows = np.linalg.solve(squares(w, cols) + eye, (z @ cols)[..., None])[..., 0]
+        cols = np.linalg.solve(squares(w.T, rows) + eye, (z.T @ rows)[..., None])[..., 0]
     return (rows @ cols.T) * scale + mean, support
 
 
-def _fill(tile: pa.Table) -> pa.Table:
-    """One tile: cells that several rows tell of are put together, then the empty ones are filled where they have support."""
+RANKS = (3, 0)  #: ranks that are tried; 0 is the mean of the row
+GAIN = 0.9  #: share of the mean's error that a rank must stay below to be taken
+HELD_OUT = 8  #: one observed cell in so many is held out to choose the rank by
+
+
+def held_out(cells: np.ndarray, turn: int = 0) -> np.ndarray:
+    """A fixed, scattered eighth of the cells (by a hash of their numbers)."""
+    mixed = (cells.astype(np.uint64) + np.uint64(turn + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(40)) % np.uint64(HELD_OUT) == 0
+
+
+def estimate(matrix: np.ndarray, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """As ``als``, at the rank that tells held-out observed cells best, so that cells which have nothing in common across
+    sources get the mean of their row, and no worse."""
+    seen = np.isfinite(matrix)
+    out = seen & held_out(np.arange(matrix.size), turn).reshape(matrix.shape)
+    rank = RANKS[-1]
+    if out.any() and (seen & ~out).any():
+        left = np.where(out, np.nan, matrix)
+        error = {}
+        for r in RANKS:
+            fit, support = als(left, r, rounds=4)
+            use = out & support
+            error[r] = float(((fit - matrix)[use] ** 2).sum()) if use.any() else np.inf
+        best = min(RANKS, key=lambda r: (error[r], r))
+        rank = best if error[best] < GAIN * error[0] else 0
+    return als(matrix, rank)
+
+
+def _cells(tile: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of a tile, put together where several rows tell of one: ids, slots, cell numbers, readings, values, matrix."""
     ids, r = np.unique(tile.column("signal_id").to_numpy(), return_inverse=True)
     slots, c = np.unique(tile.column("slot").to_numpy(), return_inverse=True)
     cell, at = np.unique(r * len(slots) + c, return_inverse=True)
@@ -107,11 +143,30 @@ def _fill(tile: pa.Table) -> pa.Table:
     value = np.bincount(at, weights=np.where(known, value, 0.0)) / np.where(count > 0, count, np.nan)
     matrix = np.full(len(ids) * len(slots), np.nan)
     matrix[cell] = value
-    matrix = matrix.reshape(len(ids), len(slots))
+    return ids, slots, cell, n, value, matrix.reshape(len(ids), len(slots))
+
+
+def _errors(tile: pa.Table) -> pa.Table:
+    """Of one tile: squared errors of the estimate, and of the mean of the row, over observed cells held out from both."""
+    _, _, _, _, _, matrix = _cells(tile)
+    out = np.isfinite(matrix) & held_out(np.arange(matrix.size), 1).reshape(matrix.shape)
+    left = np.where(out, np.nan, matrix)
+    n, of_fit, of_mean = 0, 0.0, 0.0
+    if out.any() and np.isfinite(left).any():
+        fit, support = estimate(left)
+        mean, _ = als(left, 0)
+        use = out & support
+        n, of_fit, of_mean = int(use.sum()), float(((fit - matrix)[use] ** 2).sum()), float(((mean - matrix)[use] ** 2).sum())
+    return pa.table({"spec_type": [tile.column("spec_type")[0].as_py()], "n": pa.array([n], pa.int64()), "of_fit": [of_fit], "of_mean": [of_mean]})
+
+
+def _fill(tile: pa.Table) -> pa.Table:
+    """One tile: the empty cells are filled where they have support."""
+    ids, slots, cell, n, value, matrix = _cells(tile)
     empty = n == 0
     filled = np.zeros(len(cell), bool)
     if empty.any() and np.isfinite(matrix).any():
-        fit, support = als(matrix)
+        fit, support = estimate(matrix)
         filled = empty & support.reshape(-1)[cell]
         value = np.where(filled, fit.reshape(-1)[cell], value)
     state = pa.DictionaryArray.from_arrays(pa.array(np.where(~empty, 0, np.where(filled, 1, 2)), pa.int8()), ["observed", "filled", "missing"])
@@ -129,12 +184,30 @@ def regular_grid(signals: DataFrame, axes: DataFrame, specs: DataFrame, values:
     offsets, specs and extra columns are tolerated; a signal sent twice counts once; a signal with one slot read
     gives that slot. Two different rows of one signal_id are two sets of readings of the same signal.
     """
-    readings = reading_slots(signals, axes, specs)
+    out = "signal_id long, slot_start_us long, state string, value double, n_readings long"
+    return _tiles(reading_slots(signals, axes, specs), values, tile_slots, tile_rows).applyInArrow(_fill, out)
+
+
+def _tiles(readings: DataFrame, values: DataFrame | None, tile_slots: int, tile_rows: int):
+    """The cells of a grid in groups of one tile each."""
     parts = readings.groupBy("spec_type").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).cast("int").alias("parts"))
     cells = grid_cells(readings, values).join(F.broadcast(parts), "spec_type")  # one row per spec_type of the fixed spec table
     cells = cells.withColumn("tile", F.expr(f"(slot - pmod(slot, {tile_slots})) div {tile_slots}")).withColumn("part", F.expr("pmod(xxhash64(signal_id), parts)"))
-    out = "signal_id long, slot_start_us long, state string, value double, n_readings long"
-    return cells.select("signal_id", "spec_type", "step_us", "slot", "n_readings", "value", "tile", "part").groupBy("spec_type", "tile", "part").applyInArrow(_fill, out)
+    return cells.select("signal_id", "spec_type", "step_us", "slot", "n_readings", "value", "tile", "part").groupBy("spec_type", "tile", "part")
+
+
+def fill_errors(signals: DataFrame, axes: DataFrame, specs: DataFrame, values: DataFrame | None = None, tile_slots: int = TILE_SLOTS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``spec_type, n_cells, rmse, mean_rmse``: how far estimates of observed cells are off that were held out, and how far the
+    mean of their row is. One cell in ``HELD_OUT`` of every tile."""
+    e = _tiles(reading_slots(signals, axes, specs), values, tile_slots, tile_rows).applyInArrow(_errors, "spec_type string, n long, of_fit double, of_mean double")
+    return e.groupBy("spec_type").agg(F.sum("n").alias("n_cells"), F.sqrt(F.sum("of_fit") / F.sum("n")).alias("rmse"), F.sqrt(F.sum("of_mean") / F.sum("n")).alias("mean_rmse")).where("n_cells > 0")
+
+
+def values_or_places(signals: DataFrame, axes: DataFrame, specs: DataFrame, stored: DataFrame) -> DataFrame:
+    """``signal_id, position, value`` of every reading: the stored value of a signal that has any, else its place in its slot."""
+    long = reading_slots(signals, axes, specs).select("signal_id", "step_us", F.posexplode("offsets").alias("position", "offset_us")).where(F.col("offset_us").isNotNull())
+    places = long.select("signal_id", "position", (F.expr("pmod(offset_us, step_us)") / F.col("step_us")).alias("value")).join(stored.select("signal_id").distinct(), "signal_id", "left_anti")
+    return stored.select("signal_id", F.col("position").cast("int").alias("position"), F.col("value").cast("double").alias("value")).unionByName(places).dropDuplicates(["signal_id", "position"])
 
 
 def empty_slots(grid: DataFrame) -> DataFrame:

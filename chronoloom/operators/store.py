@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 PACK_BYTES = 4096  #: texts larger than this (as JSON) are packed into a payload table
 DISTINCT_LIMIT = 65_536  #: distinct values up to which a column is dictionary-encoded
+SAMPLE = 200_000  #: values that an encoding is chosen by
 
 
 def _fs(spark: SparkSession, path: str):
@@ -68,11 +69,19 @@ def applied_encodings(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_encodings, "file string, column string, encodings array<string>")
 
 
-def encoding_for(values: DataFrame, column: str = "value", stride: int = 7) -> str:
-    """``dictionary`` up to 65,536 distinct values in a strided sample, else ``plain``; the sample is the feature."""
-    s = values.where(F.pmod(F.xxhash64(*values.columns), F.lit(stride)) == 0)
-    n = s.agg(F.approx_count_distinct(column, 0.02).alias("n")).head()["n"]
-    return "dictionary" if n <= DISTINCT_LIMIT else "plain"
+def encoding_for(values: DataFrame, column: str = "value", step: str = "step") -> DataFrame:
+    """One row, ``n, n_sampled, n_distinct, encoding``: ``dictionary`` up to 65,536 distinct bit patterns in a strided sample of
+    ``SAMPLE`` values at most, else ``byte_stream_split`` for floating values and ``plain`` for others.
+
+    The sample is the feature: every k-th step of each series, with the smallest k that keeps the sample small enough.
+    """
+    per = values.agg(F.count(F.lit(1)).alias("n"))
+    stride = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(SAMPLE))).cast("long")
+    sample = values.crossJoin(F.broadcast(per)).where(F.pmod(F.col(step), stride) == 0)  # one row
+    pattern = F.col(column).cast("string")  # tells both zeros apart; all NaN are one
+    wide = "byte_stream_split" if values.schema[column].dataType.typeName() in ("float", "double") else "plain"
+    counts = sample.agg(F.count(F.lit(1)).alias("n_sampled"), F.countDistinct(pattern).alias("n_distinct"))
+    return per.crossJoin(counts).withColumn("encoding", F.when(F.col("n_distinct") <= DISTINCT_LIMIT, "dictionary").otherwise(wide))  # one row each
 
 
 def pack_texts(rows: DataFrame, key: str, text: str, limit: int = PACK_BYTES) -> tuple[DataFrame, DataFrame]:

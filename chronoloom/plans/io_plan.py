@@ -12,7 +12,7 @@ from chronoloom.operators import tasks as tk
 from chronoloom.plans.audit_plan import _LINKS, links
 from chronoloom.plans.registry import Registry
 from chronoloom.plans.select_plan import _TASKS, tasks
-from chronoloom.plans.series_plan import _CHUNK, chunked
+from chronoloom.plans.series_plan import _CHUNK, _LONG, chunked
 from chronoloom.session import scratch, stage, table
 from chronoloom.sources import readers
 from chronoloom.streaming import ingest
@@ -73,11 +73,10 @@ def sk3(spark, d):
     store.write_values(chunked(spark, d).join(spec, "signal_id"), path)
     return spark.read.parquet(path).where("spec_type = 'eeg'").select("signal_id", "chunk_idx", F.size("values").alias("n"))
 
-@add("sk7_encoding_choice")
+@add("sk7_encoding_choice", f"""WITH {_LONG}, k AS (SELECT count(*) n FROM lg), s AS (SELECT value FROM lg, k WHERE step % greatest(1, (n + 199999) // 200000) = 0),
+c AS (SELECT count(*) n_sampled, count(DISTINCT CASE WHEN isnan(value) THEN 'nan' WHEN value = 0 AND signbit(value) THEN '-0' ELSE CAST(value AS VARCHAR) END) n_distinct FROM s) SELECT n, n_sampled, n_distinct, CASE WHEN n_distinct <= 65536 THEN 'dictionary' ELSE 'byte_stream_split' END AS encoding FROM k, c""")
 def sk7(spark, d):
-    rows = series.long_form(chunked(spark, d))
-    kind = store.encoding_for(rows)
-    return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("encoding"), "n")
+    return store.encoding_for(series.long_form(chunked(spark, d)))
 
 @add("sk11_manifest")
 def sk11(spark, d):
@@ -94,7 +93,7 @@ def au13(spark, d):
     table(spark, d, "region").write.mode("append").parquet(f"{path}/extra")
     return store.verify(spark, path, kept)
 
-@add("sc25_catalog")
+@add("sc25_catalog", "SELECT 'org/one' AS id, 1 AS major, 10 AS minor, 0 AS patch UNION ALL SELECT 'org/two', 0, 1, 0")
 def sc25(spark, d):
     root = scratch(spark)
     t = {"records": table(spark, d, "records").select("record_id")}

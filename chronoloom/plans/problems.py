@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronoloom.operators import grid, hierarchy, intervals, spikes
+from chronoloom.operators import grid, hierarchy, intervals, series, spikes
 from chronoloom.plans.registry import Registry
 from chronoloom.session import table
 
@@ -49,6 +49,24 @@ def p1_grid_counts(spark, d):
     )
 
 
+@problems.add("p1_filled")
+def p1_filled(spark, d):
+    """Every slot with its state and value: stored values where a signal has chunks, the place within the slot elsewhere."""
+    stored = series.long_form(series.chunks(table(spark, d, "shard"))).select("signal_id", F.col("step").alias("position"), "value")
+    axes, signals = table(spark, d, "axes"), table(spark, d, "signals")
+    irregular = signals.join(axes.where("axis_type = 'irregular'").select("axis_id"), "axis_id", "left_semi").select("signal_id")
+    stored = stored.join(irregular, "signal_id", "left_semi")
+    cells = grid.regular_grid(signals, axes, table(spark, d, "spec_refs"), grid.values_or_places(signals, axes, table(spark, d, "spec_refs"), stored))
+    return cells.select("signal_id", "slot_start_us", "state", F.round("value", 6).alias("value"))
+
+
+@problems.add("p1_fill_error")
+def p1_fill_error(spark, d):
+    """Error of the estimates over held-out observed cells, beside that of the mean of the row."""
+    e = grid.fill_errors(table(spark, d, "signals"), table(spark, d, "axes"), table(spark, d, "spec_refs"))
+    return e.select("spec_type", "n_cells", F.round("rmse", 6).alias("rmse"), F.round("mean_rmse", 6).alias("mean_rmse"))
+
+
 @problems.add("p2_found", f"WITH {_GAPS} SELECT object_type, object_id, r gap_start_us, s gap_end_us FROM w WHERE s > r")
 def p2_found(spark, d):
     lists = intervals.interval_lists(intervals.time_intervals(table(spark, d, "annotation_occurrences")))

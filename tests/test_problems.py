@@ -122,6 +122,19 @@ def test_intervals_of_empty_table(spark):
     assert intervals.gaps(lists).count() == intervals.periods(lists).count() == 0
 
 
+def test_held_out_cells_are_told_no_worse_than_by_the_mean():
+    rnd = np.random.default_rng(4)
+    shared = np.outer(rnd.normal(3, 1, 40), np.sin(np.arange(80) / 5)) + rnd.normal(0, 0.05, (40, 80))
+    noise = rnd.normal(0, 1, (40, 80))
+    for m, gain in ((shared, 0.3), (noise, 1.05)):
+        out = grid.held_out(np.arange(m.size), 1).reshape(m.shape)
+        left = np.where(out, np.nan, m)
+        fit, support = grid.estimate(left)
+        mean, _ = grid.als(left, 0)
+        assert support.all()
+        assert ((fit - m)[out] ** 2).sum() <= gain * ((mean - m)[out] ** 2).sum()
+
+
 def shard_of(spark, series, chunk=50, spec="a"):
     data = [(spec, sig, k // chunk, list(v[k : k + chunk]), "x") for sig, v in series.items() for k in range(0, len(v), chunk)]
     return spark.createDataFrame(data + data[:3] + [(spec, None, 0, [1.0], ""), (spec, "9", None, [1.0], ""), (spec, "8", 0, None, ""), ("none", "7", 0, [1e9, None], "")], "spec_type string, signal string, chunk_idx int, values array<float>, low string")
