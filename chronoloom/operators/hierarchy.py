@@ -21,7 +21,7 @@ TASK_ROWS = 50_000  #: nodes of a task, about; a component is never torn
 WALK_ROWS = 20_000  #: nodes of small components that are walked together
 BATCH_CELLS = 1_000_000  #: cells of paths in a batch
 
-COLUMNS = "node_id long, parent_id long, root_id long, depth int, n_descendants long, fault string, end_id long"
+COLUMNS = "node_id long, parent_id long, root_id long, depth int, n_descendants long, fault string, end_id long, ring_at int"
 NODES = f"{COLUMNS}, path array<long>"
 
 
@@ -55,6 +55,7 @@ class Walk:
         colour, depth, root = [WHITE] * n, [0] * n, [-1] * n
         fault: list[str | None] = [None] * n
         end = [0] * n
+        ring_at: list[int | None] = [None] * n
         finished: list[int] = []
         self.back_edges: list[tuple[int, int]] = []
         two = has_other.tolist()
@@ -74,6 +75,9 @@ class Walk:
                 least = int(self.ids[min(ring)])
                 for x in ring:
                     fault[x], end[x], colour[x] = "on_cycle", least, BLACK
+                turn = ring.index(min(ring))
+                for at, x in enumerate(ring[turn:] + ring[:turn]):
+                    ring_at[x] = at
                 finished.extend(reversed(ring))
                 del stack[len(stack) - len(ring) :]
             while stack:
@@ -105,7 +109,7 @@ class Walk:
             total = len(ring) + sum(below[x] for x in ring)
             for x in ring:
                 below[x] = total - 1
-        self.up, self.depth, self.root, self.fault, self.end, self.below = up, depth, root, fault, end, below
+        self.up, self.depth, self.root, self.fault, self.end, self.below, self.ring_at = up, depth, root, fault, end, below, ring_at
 
     def batches(self, paths: bool) -> Iterator[pa.RecordBatch]:
         n = len(self.ids)
@@ -119,9 +123,9 @@ class Walk:
             r = rooted[a:z]
             out = [
                 pa.array(self.ids[a:z]), pa.array(self.parents[a:z], mask=~self.has_parent[a:z]), pa.array(root[a:z], mask=~r), pa.array(depth[a:z].astype(np.int32), mask=~r),
-                pa.array(self.below[a:z], pa.int64()), pa.array(self.fault[a:z], pa.string()), pa.array(np.array(self.end[a:z], np.int64), mask=r),
+                pa.array(self.below[a:z], pa.int64()), pa.array(self.fault[a:z], pa.string()), pa.array(np.array(self.end[a:z], np.int64), mask=r), pa.array(self.ring_at[a:z], pa.int32()),
             ]
-            names = ["node_id", "parent_id", "root_id", "depth", "n_descendants", "fault", "end_id"]
+            names = ["node_id", "parent_id", "root_id", "depth", "n_descendants", "fault", "end_id", "ring_at"]
             if paths:
                 ways = []
                 for x in range(a, z):
@@ -166,12 +170,13 @@ def _walked(paths: bool):
 
 
 def resolve(rows: DataFrame, node: str = "source_id", parent: str = "parent_source_id", paths: bool = True) -> DataFrame:
-    """``node_id, parent_id, root_id, depth, n_descendants, fault, end_id`` and, with ``paths``, ``path``; one row per node.
+    """``node_id, parent_id, root_id, depth, n_descendants, fault, end_id, ring_at`` and, with ``paths``, ``path``; one row per node.
 
     A node with a null parent is a root (depth 0, path [node]). ``fault`` tells why a node reaches no root: ``on_cycle``
     and ``under_cycle`` (end_id the smallest node on the cycle), ``lost_parent`` (end_id the parent that isn't there), or
     ``two_parents`` (rows of the node name different ones; end_id the larger) and ``under_two_parents`` (end_id the node
-    above that has them); path, depth and root are null then. Rows sent twice count once, null node ids are left out, and
+    above that has them); path, depth and root are null then. ``ring_at`` is the place of a node
+    on its cycle, from its smallest node up by parents. Rows sent twice count once, null node ids are left out, and
     an empty table gives no rows. Components are found when this is called; the walk is lazy.
     """
     nodes = stage(parents_of(rows, node, parent))

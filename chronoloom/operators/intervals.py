@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.session import stage
+
 
 class IntervalList:
     """Sorted, disjoint, non-touching half-open intervals. ``merge`` is associative and commutative."""
@@ -117,7 +119,7 @@ def interval_lists(rows: DataFrame) -> DataFrame:
     """
     cols = ["object_type", "object_id", "start_us", "end_us"]
     rows = rows.select(*cols).where(F.col("object_type").isNotNull() & F.col("object_id").isNotNull() & (F.col("start_us") < F.col("end_us")))
-    rows = rows.mapInArrow(_shrink, rows.schema)
+    rows = stage(rows.mapInArrow(_shrink, rows.schema))  # the bounds of ranges are found by running what lies before
     rows = rows.repartitionByRange("object_type", "object_id", "start_us").sortWithinPartitions("object_type", "object_id", "start_us")
     lists = rows.mapInArrow(_lists, "object_type string, object_id long, starts array<long>, ends array<long>")
     lists = lists.withColumn("first_us", F.element_at("starts", 1)).withColumn("last_us", F.element_at("ends", -1))

@@ -91,18 +91,21 @@ def ordered_list(rows: DataFrame, key: str, position: str, value: str, out: str)
     return rows.groupBy(key).agg(F.transform(pairs, lambda x: x["v"]).alias(out))
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, out: str, block_us: int = 3_600_000_000) -> DataFrame:
-    """``left`` with ``out``: the last ``right_at`` of its key that is not after ``left_at``; null where there is none or no time.
+def asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, out: str, value: str | None = None, block_us: int = 3_600_000_000) -> DataFrame:
+    """``left`` with ``out``: the ``value`` (by default ``right_at`` itself) of the last row of its key whose ``right_at`` is not after
+    ``left_at``; null where there is none or no time. A value must not fall as ``right_at`` grows. Times are timestamps or
+    whole microseconds.
 
     A union and a running maximum in two levels (blocks of time, then rows within a block): no pairs are made, and no task
     holds a hot key.
     """
     def block(t: Column) -> Column:
-        return F.floor(F.unix_micros(t.cast("timestamp")) / F.lit(block_us))
+        return F.floor((t if whole else F.unix_micros(t.cast("timestamp"))) / F.lit(block_us))
 
-    kind = right.schema[right_at].dataType
+    value = value or right_at
+    whole, kind = right.schema[right_at].dataType.typeName() == "long", right.schema[value].dataType
     a = left.withColumn("_at", F.col(left_at)).withColumn("_seen", F.lit(None).cast(kind)).withColumn("_side", F.lit(1))
-    b = right.where(F.col(right_at).isNotNull()).select(key, F.col(right_at).alias("_at"), F.col(right_at).alias("_seen"), F.lit(0).alias("_side"))
+    b = right.where(F.col(right_at).isNotNull()).select(key, F.col(right_at).alias("_at"), F.col(value).alias("_seen"), F.lit(0).alias("_side"))
     rows = a.unionByName(b, allowMissingColumns=True).withColumn("_block", block(F.col("_at")))
     last = rows.where("_side = 0").groupBy(key, "_block").agg(F.max("_seen").alias("_last"))
     blocks = rows.select(key, "_block").distinct().join(last, [key, "_block"], "left")

@@ -6,7 +6,7 @@ import json
 import posixpath
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACK_BYTES = 4096  #: texts larger than this (as JSON) are packed into a payload table
@@ -33,6 +33,55 @@ def write_values(chunks: DataFrame, path: str, spec: str = "spec_type", key: str
     w.parquet(path)
 
 
+def locate(spark: SparkSession, path: str, key: str = "signal_id") -> DataFrame:
+    """``key, chunk_idx, n_values, file``: where every chunk of a value store lies. Values aren't read."""
+    rows = spark.read.parquet(path)
+    return rows.select(key, "chunk_idx", F.size("values").alias("n_values"), F.col("_metadata.file_path").alias("file"))
+
+
+def read_located(spark: SparkSession, locators: DataFrame, path: str, key: str = "signal_id") -> DataFrame:
+    """The chunks that a version's locators name, from the store that holds them: a version that changes no values has
+    locators only and rewrites none."""
+    rows = spark.read.parquet(path).select(key, "chunk_idx", "values", F.col("_metadata.file_path").alias("file"))
+    return rows.join(locators.select(key, "chunk_idx", "file"), [key, "chunk_idx", "file"])
+
+
+def write_dataset(tables: dict[str, DataFrame], chunks: DataFrame, path: str, card: dict) -> None:
+    """A whole version: control tables in one rename, and its values beside them; a failure leaves neither."""
+    spark = chunks.sparkSession
+    values = f"{path.rstrip('/')}-values-{uuid.uuid4().hex}"
+    try:
+        write_values(chunks, values)
+        write_version(tables, path, {**card, "values": values})
+    except BaseException:
+        fs, p = _fs(spark, values)
+        fs.delete(p, True)
+        raise
+
+
+def flatten_nd(values: Column, shape: list[int]) -> tuple[Column, Column]:
+    """An array of ``shape`` in row order as it is stored: its cells, and whether it has as many as the shape says."""
+    flat = values
+    for _ in shape[1:]:
+        flat = F.flatten(flat)
+    n = 1
+    for x in shape:
+        n *= x
+    return flat, F.size(flat) == n
+
+
+def unflatten_nd(flat: Column, shape: list[int]) -> Column:
+    """The nested array of ``shape`` from its cells in row order."""
+    out = flat
+    for x in reversed(shape[1:]):
+        out = _rows_of(out, x)
+    return out
+
+
+def _rows_of(flat: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), (F.size(flat) / n).cast("int") - 1), lambda i: F.slice(flat, i * n + 1, F.lit(n)))
+
+
 def write_parts(rows: DataFrame, path: str, most: int) -> None:
     """Files of at most ``most`` rows each."""
     rows.write.option("maxRecordsPerFile", most).parquet(path)

@@ -79,13 +79,6 @@ def au9(spark, d):
     return a.join(g, "signal_id", "left").groupBy("occurrence_id").agg(F.countDistinct("record_id").alias("n_records")).where("n_records <> 1")
 
 
-@add("au10_parent_same_record", "SELECT DISTINCT c.source_id FROM sources c JOIN sources p ON p.source_id = c.parent_source_id WHERE p.record_id <> c.record_id OR c.source_id = c.parent_source_id")
-def au10(spark, d):
-    s = table(spark, d, "sources").select("source_id", "record_id", "parent_source_id").distinct()
-    p = s.select(F.col("source_id").alias("parent_source_id"), F.col("record_id").alias("pr"))
-    return s.join(p, "parent_source_id").where("pr <> record_id or source_id = parent_source_id").select("source_id").distinct()
-
-
 @add("au11_offset_lengths", "SELECT DISTINCT s.signal_id FROM signals s JOIN axes a USING (axis_id) WHERE (axis_type = 'irregular' AND (time_offsets IS NULL OR len(time_offsets) <> n_values)) OR (axis_type <> 'irregular' AND time_offsets IS NOT NULL)")
 def au11(spark, d):
     x = series.axes_of(table(spark, d, "signals"), table(spark, d, "axes"))
@@ -104,13 +97,6 @@ def au12_gaps(spark, d):
     return audit.chunk_gaps(chunked(spark, d).where("not (signal_id % 9 = 0 and chunk_idx = 1)"))  # a lost chunk, put in
 
 
-@add("au15_spec_contract", "SELECT DISTINCT spec_type, unit, dtype FROM signals WHERE spec_type IN (SELECT spec_type FROM signals GROUP BY 1 HAVING count(DISTINCT coalesce(unit, '-') || dtype) > 1)")
-def au15(spark, d):
-    s = table(spark, d, "signals").select("spec_type", "unit", "dtype").distinct()
-    torn = s.groupBy("spec_type").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return s.join(torn.select("spec_type"), "spec_type", "left_semi")
-
-
 _LINKS = "l AS (SELECT row_id AS u, max(row_id) OVER (PARTITION BY ecg_id ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS v FROM cot_rows WHERE ecg_id IS NOT NULL), ln AS (SELECT u, v FROM l WHERE v IS NOT NULL)"
 
 
@@ -145,13 +131,6 @@ def gr6(spark, d):
     return graph.reachable(start, links(spark, d).select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-@add("gr7_annotation_walk", "SELECT DISTINCT r.record_id, a.occurrence_id FROM records r JOIN sources s USING (record_id) JOIN signals g USING (source_id) JOIN annotation_occurrences a ON a.object_type = 'Signal' AND a.object_id = g.signal_id")
-def gr7(spark, d):
-    g = table(spark, d, "signals").select("signal_id", "source_id").distinct().join(table(spark, d, "sources").select("source_id", "record_id").distinct(), "source_id").join(table(spark, d, "records").select("record_id"), "record_id", "left_semi")
-    a = table(spark, d, "annotation_occurrences").where("object_type = 'Signal'").select("occurrence_id", F.col("object_id").alias("signal_id"))
-    return a.join(g, "signal_id").select("record_id", "occurrence_id").distinct()
-
-
 _GONE = "gone AS (SELECT ecg_id AS record_id FROM ptbxl_recordings WHERE age > 80), refs AS (SELECT row_id AS task_id, 'inputs' AS field, ecg_id AS record_id FROM cot_rows WHERE ecg_id IS NOT NULL UNION ALL SELECT row_id, 'inputs', ecg_id + 1 FROM cot_rows WHERE ecg_id IS NOT NULL AND row_id % 2 = 0)"
 
 
@@ -166,42 +145,11 @@ def old_patients(spark, d):
     return table(spark, d, "ptbxl_recordings").where("age > 80").select(F.col("ecg_id").alias("record_id"))
 
 
-@add("ed1_invalid_tasks", f"WITH RECURSIVE {_LINKS}, {_GONE}, b AS (SELECT task_id AS node FROM refs GROUP BY 1 HAVING bool_and(record_id IN (SELECT record_id FROM gone)) UNION SELECT ln.u FROM b JOIN ln ON ln.v = b.node) SELECT node AS task_id FROM b")
-def ed1(spark, d):
-    return edit.invalid_tasks(references(spark, d), old_patients(spark, d), links(spark, d))
-
-
 def tables_of(spark, d):
     t = {n: table(spark, d, n).drop("metadata") for n in ("records", "sources", "signals")}
     return t | {"occurrences": table(spark, d, "annotation_occurrences").drop("metadata", "provenance"), "tasks": tasks(spark, d), "refs": references(spark, d), "links": links(spark, d)}
 
 
-@add(
-    "ed3_removed_version",
-    "WITH gone AS (SELECT record_id FROM records WHERE record_id % 4 = 0), so AS (SELECT source_id FROM sources WHERE record_id IN (SELECT record_id FROM gone)), sg AS (SELECT signal_id FROM signals WHERE source_id IN (SELECT source_id FROM so)) SELECT 'records' AS tbl, count(*) AS n FROM records WHERE record_id NOT IN (SELECT record_id FROM gone) UNION ALL SELECT 'sources', count(*) FROM sources WHERE record_id NOT IN (SELECT record_id FROM gone) UNION ALL SELECT 'signals', count(*) FROM signals WHERE source_id NOT IN (SELECT source_id FROM so) UNION ALL SELECT 'occurrences', count(*) FROM annotation_occurrences a WHERE NOT ((object_type = 'Record' AND object_id IN (SELECT record_id FROM gone)) OR (object_type = 'Source' AND object_id IN (SELECT source_id FROM so)) OR (object_type = 'Signal' AND object_id IN (SELECT signal_id FROM sg))) OR object_id IS NULL",
-)
-def ed3(spark, d):
-    t = tables_of(spark, d)
-    gone = t["records"].where("record_id % 4 = 0").select("record_id")
-    out = edit.remove_records(t, gone, cascade=True)
-    parts = [out[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("tbl"), "n") for n in ("records", "sources", "signals", "occurrences")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-
-
-@add("ed2_removed_signals", "WITH gone AS (SELECT signal_id FROM signals WHERE spec_type IN ('ecg', 'eeg')), keep AS (SELECT DISTINCT signal_id, source_id FROM signals WHERE signal_id NOT IN (SELECT signal_id FROM gone)), o AS (SELECT DISTINCT source_id, record_id FROM sources), bare AS (SELECT DISTINCT record_id FROM signals g JOIN gone USING (signal_id) JOIN o ON o.source_id = g.source_id EXCEPT SELECT record_id FROM keep JOIN o USING (source_id)) SELECT DISTINCT occurrence_id FROM annotation_occurrences WHERE object_id IS NULL OR NOT ((object_type = 'Signal' AND object_id IN (SELECT signal_id FROM gone)) OR (object_type = 'Record' AND object_id IN (SELECT record_id FROM bare)))")
-def ed2(spark, d):
-    t = tables_of(spark, d)
-    out = edit.remove_signals(t, t["signals"].where(F.col("spec_type").isin("ecg", "eeg")).select("signal_id"))
-    return out["occurrences"].select("occurrence_id").distinct()
-
-
-@add("ed4_import_ids", "WITH h AS (SELECT record_id AS parent_id, record_id + 5000 AS object_id FROM records WHERE record_id % 5 = 0) SELECT w.record_id AS parent_id, coalesce(h.object_id, 9000 + count(CASE WHEN h.object_id IS NULL THEN 1 END) OVER (ORDER BY w.record_id)) AS object_id, h.object_id IS NULL AS new FROM records w LEFT JOIN h ON h.parent_id = w.record_id")
-def ed4(spark, d):
-    r = table(spark, d, "records")
-    held = r.where("record_id % 5 = 0").select(F.col("record_id").alias("parent_id"), (F.col("record_id") + 5000).alias("object_id"))
-    return edit.import_ids(r.select(F.col("record_id").alias("parent_id")), held, 9000)
-
-
 @add("ed5_merge_by_name", "WITH b AS (SELECT DISTINCT record_id, name FROM sources WHERE source_id % 2 = 0), o AS (SELECT DISTINCT record_id, name FROM sources WHERE source_id % 2 = 1) SELECT record_id, name FROM b UNION SELECT record_id, name FROM o")
 def ed5(spark, d):
     s = table(spark, d, "sources")
@@ -223,24 +171,6 @@ def sm17(spark, d):
     return edit.difference(docs.where("doc_id % 5 <> 0"), new, "doc_id", "h")
 
 
-@add("sm3_candidates_hold_targets", "SELECT row_id, label IN ('choose', 'measure') AS ok FROM (SELECT row_id, question_type AS label FROM cot_rows)")
-def sm3(spark, d):
-    pool = F.array(F.lit("choose"), F.lit("measure"))
-    return table(spark, d, "cot_rows").select("row_id", F.array_contains(pool, F.col("question_type")).alias("ok"))
-
-
-@add("sm5_label_set_equality", "SELECT l_orderkey, array_to_string(list_sort(list(l_partkey % 5)), ',') AS unordered_key, array_to_string(list(l_partkey % 5 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity), ',') AS ordered_key FROM lineitem GROUP BY 1")
-def sm5(spark, d):
-    x = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("p"), (F.col("l_partkey") % 5).alias("v"))
-    labels = sel.ordered_list(x, "l_orderkey", "p", "v", "labels")
-    return labels.select("l_orderkey", F.concat_ws(",", F.array_sort("labels").cast("array<string>")).alias("unordered_key"), F.concat_ws(",", F.col("labels").cast("array<string>")).alias("ordered_key"))
-
-
-@add("sm6_content_key", "SELECT provenance, count(DISTINCT content_id) AS n FROM annotation_occurrences GROUP BY 1")
-def sm6(spark, d):
-    return table(spark, d, "annotation_occurrences").groupBy("provenance").agg(F.countDistinct("content_id").alias("n"))
-
-
 @add("sm7_split_from_fold", "SELECT ecg_id, CASE ecg_id % 10 WHEN 9 THEN 'test' WHEN 8 THEN 'validation' ELSE 'train' END AS split FROM ptbxl_recordings")
 def sm7(spark, d):
     fold = F.col("ecg_id") % 10
@@ -266,16 +196,6 @@ def sm13(spark, d):
     return c.groupBy("digest").agg(F.first("n_values").alias("n_values"), F.count(F.lit(1)).alias("n")).where("n > 1").select("n_values", "n")
 
 
-@add("sm21_walk_order", "WITH RECURSIVE n AS (SELECT DISTINCT source_id, parent_source_id p, record_id, name FROM sources), up AS (SELECT source_id, record_id, [name] names FROM n WHERE p IS NULL UNION ALL SELECT n.source_id, n.record_id, list_append(up.names, n.name) FROM up JOIN n ON n.p = up.source_id) SELECT source_id, array_to_string(names, '/') AS name_path FROM up")
-def sm21(spark, d):
-    from chronoloom.operators import hierarchy
-
-    s = table(spark, d, "sources").select("source_id", "name").distinct()
-    r = hierarchy.resolve(table(spark, d, "sources")).where("path is not null").select(F.col("node_id"), F.posexplode("path").alias("pos", "source_id"))
-    named = r.join(s, "source_id").select("node_id", "pos", "name")
-    return sel.ordered_list(named, "node_id", "pos", "name", "names").select(F.col("node_id").alias("source_id"), F.concat_ws("/", "names").alias("name_path"))
-
-
 @add("sm22_sibling_names", "SELECT record_id, parent_source_id, name, count(DISTINCT source_id) AS n FROM sources GROUP BY 1, 2, 3 HAVING count(DISTINCT source_id) > 1")
 def sm22(spark, d):
     return table(spark, d, "sources").groupBy("record_id", "parent_source_id", "name").agg(F.countDistinct("source_id").alias("n")).where("n > 1")
@@ -309,30 +229,6 @@ def sm27(spark, d):
     return features.stratified(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", "label", 1, 1, 10).select("vec_id", "split")
 
 
-@add("sm28_sectioned_text", r"SELECT doc_id, len(list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda x: regexp_matches(x, '^(Q|A): '))) AS n_headed FROM documents WHERE text IS NOT NULL")
-def sm28(spark, d):
-    lines = F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n")
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(F.filter(lines, lambda x: x.rlike("^(Q|A): "))).cast("long").alias("n_headed"))
-
-
-@add("sm30_sibling_lengths", "SELECT DISTINCT axis_id FROM signals GROUP BY axis_id, n_values, signal_id HAVING axis_id IN (SELECT axis_id FROM signals GROUP BY 1 HAVING count(DISTINCT n_values) > 1)")
-def sm30(spark, d):
-    return table(spark, d, "signals").groupBy("axis_id").agg(F.countDistinct("n_values").alias("n")).where("n > 1").select("axis_id")
-
-
-@add("sm31_optional_columns", "SELECT record_id, CASE WHEN time_span_start_us IS NOT NULL AND time_span_end_us IS NOT NULL THEN 'both' WHEN time_span_start_us IS NULL AND time_span_end_us IS NULL THEN 'none' ELSE 'one' END AS pattern FROM records")
-def sm31(spark, d):
-    a, z = F.col("time_span_start_us"), F.col("time_span_end_us")
-    return table(spark, d, "records").select("record_id", F.when(a.isNotNull() & z.isNotNull(), "both").when(a.isNull() & z.isNull(), "none").otherwise("one").alias("pattern"))
-
-
-@add("sm32_choice_answers", r"SELECT row_id, list_contains(string_split(lower(regexp_replace(question, '.*(Between |show, )(.*?)(, what| ?\?).*', '\2')), ' and '), lower(answer)) AS fits FROM cot_rows WHERE question LIKE 'Between % and %, what fits this ECG better?'")
-def sm32(spark, d):
-    q = table(spark, d, "cot_rows").where(F.col("question").like("Between % and %, what fits this ECG better?"))
-    parts = F.split(F.lower(F.regexp_replace("question", r".*(Between |show, )(.*?)(, what| ?\?).*", "$2")), " and ")
-    return q.select("row_id", F.array_contains(parts, F.lower("answer")).alias("fits"))
-
-
 @add("sm33_ambiguous_candidates", "SELECT vec_id, len(list_distinct(c)) < len(c) AS ambiguous FROM (SELECT vec_id, [label, (vec_id % 3)::INT, (vec_id % 5)::INT] c FROM embeddings)")
 def sm33(spark, d):
     c = F.array(F.col("label"), (F.col("vec_id") % 3).cast("int"), (F.col("vec_id") % 5).cast("int"))
@@ -350,12 +246,6 @@ def sm36(spark, d):
     return table(spark, d, "ptbxl_recordings").select("ecg_id", F.concat_ws(". ", parts).alias("text"))
 
 
-@add("sm37_whole_number_text", "SELECT o_orderkey, TRY_CAST(CAST(o_totalprice AS VARCHAR) AS DOUBLE) = floor(o_totalprice) AS whole FROM orders")
-def sm37(spark, d):
-    text = F.col("o_totalprice").cast("string")
-    return table(spark, d, "orders").select("o_orderkey", (text.try_cast("double") == F.floor("o_totalprice")).alias("whole"))
-
-
 @add("sm39_search_order", "SELECT dataset_id, count(*) AS n FROM documents WHERE lower(text) LIKE '%splits follow the subject%' AND dataset_id IS NOT NULL GROUP BY 1")
 def sm39(spark, d):
     docs = table(spark, d, "documents").where("dataset_id is not null")

@@ -127,12 +127,6 @@ def fl13(spark, d):
     r.unionByName(head).unionByName(head).coalesce(1).write.csv(path, header=True)
     return readers.read_csv(spark, path, "r_regionkey long, r_name string", drop_repeated_header=True)
 
-@add("sc19_row_schema", "SELECT row_id, question_type IN ('choose', 'measure', 'query', 'verify') AND row_id > 0 AS valid FROM cot_rows")
-def sc19(spark, d):
-    c = table(spark, d, "cot_rows")
-    broken = audit.breaking(c, "row_id", {"type": F.col("question_type").isin("choose", "measure", "query", "verify"), "id": F.col("row_id") > 0}).select("row_id").distinct().withColumn("valid", F.lit(False))
-    return c.select("row_id").join(broken, "row_id", "left").na.fill(True, ["valid"])
-
 @add("sc27_in_memory", "SELECT * FROM (VALUES (1::BIGINT, 0::INT, 1.5::DOUBLE), (1, 1, 2.5), (2, 0, NULL)) v(signal_id, step, value)")
 def sc27(spark, d):
     import pyarrow as pa
@@ -140,44 +134,16 @@ def sc27(spark, d):
     t = pa.table({"signal_id": pa.array([1, 2], pa.int64()), "values": pa.array([[1.5, 2.5], [None]], pa.list_(pa.float64()))})
     return spark.createDataFrame(t).select("signal_id", F.posexplode("values").alias("step", "value"))
 
-@add("au6_external_owner", "SELECT p.doc_id FROM (SELECT doc_id + (CASE WHEN doc_id % 50 = 0 THEN 1000000000 ELSE 0 END) AS doc_id FROM documents WHERE octet_length(encode(text)) > 2000) p WHERE p.doc_id NOT IN (SELECT doc_id FROM documents)")
-def au6(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    payload = docs.where(F.octet_length("text") > 2000).select((F.col("doc_id") + F.when(F.col("doc_id") % 50 == 0, 1_000_000_000).otherwise(0)).alias("doc_id"))
-    return audit.dangling(payload, "doc_id", docs, "doc_id").select("doc_id")
-
 @add("au7_imported_exists", "SELECT record_id + 7 AS object_id, count(*) AS n FROM records WHERE record_id + 7 NOT IN (SELECT record_id FROM records) GROUP BY 1")
 def au7(spark, d):
     r = table(spark, d, "records")
     return audit.dangling(r.select((F.col("record_id") + 7).alias("object_id")), "object_id", r, "record_id")
 
-@add("au14_registration", f"WITH {_TASKS} SELECT task_id, CASE WHEN record_id IS NOT NULL AND record_id NOT IN (SELECT ecg_id FROM ptbxl_recordings WHERE ecg_id IS NOT NULL) THEN 'record' ELSE 'answer' END AS rule FROM t WHERE (record_id IS NOT NULL AND record_id NOT IN (SELECT ecg_id FROM ptbxl_recordings WHERE ecg_id IS NOT NULL)) OR answer IS NULL")
-def au14(spark, d):
-    known = table(spark, d, "ptbxl_recordings").where("ecg_id is not null").select(F.col("ecg_id").alias("record_id")).distinct().withColumn("known", F.lit(True))
-    t = tasks(spark, d).join(known, "record_id", "left")
-    record = F.col("record_id").isNotNull() & F.col("known").isNull()
-    return t.where(record | F.col("answer").isNull()).select("task_id", F.when(record, "record").otherwise("answer").alias("rule"))
-
-@add("ed6_reattached", "SELECT DISTINCT occurrence_id FROM annotation_occurrences a JOIN records r ON a.object_type = 'Record' AND a.object_id = r.record_id WHERE span_type = 'time_interval' AND start_us < end_us AND start_us >= time_span_start_us AND end_us <= time_span_end_us AND NOT end_us <= time_span_start_us + (time_span_end_us - time_span_start_us) // 2")
-def ed6(spark, d):
-    """Annotations that fit once a record has grown to its whole window and didn't fit its first half."""
-    a = table(spark, d, "annotation_occurrences").where("object_type = 'Record' and span_type = 'time_interval' and start_us < end_us")
-    x = a.join(table(spark, d, "records").select("record_id", "time_span_start_us", "time_span_end_us"), F.col("object_id") == F.col("record_id"))
-    fits = (F.col("start_us") >= F.col("time_span_start_us")) & (F.col("end_us") <= F.col("time_span_end_us"))
-    before = F.col("end_us") <= F.expr("time_span_start_us + (time_span_end_us - time_span_start_us) div 2")
-    return x.where(fits & ~before).select("occurrence_id").distinct()
-
 @add("ed8_imported_lookup", "SELECT record_id AS parent_id, record_id + 5000 AS object_id FROM records WHERE record_id IN (3, 9, 27, 81)")
 def ed8(spark, d):
     held = table(spark, d, "records").select(F.col("record_id").alias("parent_id"), (F.col("record_id") + 5000).alias("object_id"))
     return spark.createDataFrame([(3,), (9,), (27,), (81,)], "parent_id long").join(held, "parent_id")
 
-@add("ed9_reused_chunks", f"WITH {_CHUNK} SELECT signal_id, count(*) AS reused FROM ch WHERE signal_id % 4 <> 0 GROUP BY 1")
-def ed9(spark, d):
-    """Chunks that a version without every fourth signal takes over by their locators, without their values."""
-    base = table(spark, d, "shard").select(F.col("signal").cast("long").alias("signal_id"), "chunk_idx").distinct()
-    return base.join(base.select("signal_id").distinct().where("signal_id % 4 <> 0"), "signal_id", "left_semi").groupBy("signal_id").agg(F.count(F.lit(1)).alias("reused"))
-
 @add("sm1_references_once", "SELECT l_orderkey, l_suppkey, min(l_linenumber)::INT AS position FROM lineitem GROUP BY 1, 2")
 def sm1(spark, d):
     return tk.references(table(spark, d, "lineitem").withColumnRenamed("l_linenumber", "position"), "l_orderkey", "l_suppkey")
@@ -206,11 +172,6 @@ def sm11(spark, d):
     return x.select("ecg_id", F.get("list", F.lit(0)).alias("first"), F.forall("list", lambda v: v.isNotNull()).alias("valid"))
 
 
-@add("sm12_grouped_rollups", "SELECT spec_type, array_to_string(list(DISTINCT period_numerator_us ORDER BY period_numerator_us), ',') AS periods FROM (SELECT DISTINCT s.spec_type, a.period_numerator_us FROM signals s JOIN axes a USING (axis_id) WHERE axis_type = 'regular') GROUP BY 1")
-def sm12(spark, d):
-    x = series.axes_of(table(spark, d, "signals"), table(spark, d, "axes")).where("axis_type = 'regular'").select("spec_type", "period_numerator_us").distinct()
-    return sel.ordered_list(x, "spec_type", "period_numerator_us", "period_numerator_us", "p").select("spec_type", F.concat_ws(",", F.col("p").cast("array<string>")).alias("periods"))
-
 @add("sm14_annotate", "SELECT signal_id AS object_id, content_id FROM (SELECT DISTINCT signal_id FROM signals WHERE spec_type = 'ecg') s, (VALUES (1::BIGINT), (2)) v(content_id)")
 def sm14(spark, d):
     targets = table(spark, d, "signals").where("spec_type = 'ecg'").select(F.col("signal_id").alias("object_id"))
@@ -233,32 +194,11 @@ def sm20(spark, d):
     turn = F.col("id") * (2 * F.pi() / 16)
     return spark.range(512).select(F.col("id").alias("step"), (F.round(F.sin(turn), 6) + F.lit(0.0)).alias("sine"), (F.round(F.cos(turn), 6) + F.lit(0.0)).alias("cosine"))
 
-@add("sm29_role_order", "SELECT row_id, trim(coalesce(question, '')) <> '' AND trim(coalesce(answer, '')) <> '' AS valid FROM cot_rows")
-def sm29(spark, d):
-    roles = F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))
-    texts = F.array(F.lit("Answer the question."), F.col("question"), F.col("answer"))
-    return table(spark, d, "cot_rows").select("row_id", tk.role_order(roles, texts, ["system", "user", "assistant"]).alias("valid"))
-
 @add("sm35_numbered_placeholders", "SELECT vec_id, 'label ' || label || ' of {9}, vector ' || vec_id || '.' AS text FROM embeddings")
 def sm35(spark, d):
     values = F.array(F.col("vec_id").cast("string"), F.col("label").cast("string"))
     return table(spark, d, "embeddings").select("vec_id", tk.fill_numbered(F.lit("label {2} of {9}, vector {1}."), values).alias("text"))
 
-@add("sm38_listing", "SELECT p_brand AS id, max((p_partkey // 100) % 4) AS major FROM part WHERE p_brand NOT LIKE '%1' GROUP BY 1")
-def sm38(spark, d):
-    v = table(spark, d, "part").where(~F.col("p_brand").rlike("1$")).select(F.col("p_brand").alias("id"), (F.floor(F.col("p_partkey") / 100) % 4).alias("major"))
-    return sel.newest(v, "id", ["major"])
-
-@add("gr1_subtree_signals", "WITH RECURSIVE n AS (SELECT DISTINCT source_id, parent_source_id p FROM sources), up AS (SELECT source_id, source_id AS root FROM n WHERE p IS NULL UNION ALL SELECT n.source_id, up.root FROM up JOIN n ON n.p = up.source_id) SELECT up.root AS root_id, count(DISTINCT g.signal_id) AS n FROM up JOIN signals g ON g.source_id = up.source_id GROUP BY 1")
-def gr1(spark, d):
-    r = hierarchy.resolve(table(spark, d, "sources"), paths=False).where("root_id is not null").select(F.col("node_id").alias("source_id"), "root_id")
-    g = table(spark, d, "signals").select("signal_id", "source_id").distinct()
-    return g.join(r, "source_id").groupBy("root_id").agg(F.count(F.lit(1)).alias("n"))
-
-@add("gr3_source_cycles", "WITH RECURSIVE e AS (SELECT DISTINCT source_id u, parent_source_id v FROM sources WHERE parent_source_id IS NOT NULL), c AS (SELECT u, v FROM e UNION SELECT c.u, e.v FROM c JOIN e ON e.u = c.v) SELECT u AS source_id FROM c WHERE u = v")
-def gr3(spark, d):
-    return hierarchy.resolve(table(spark, d, "sources"), paths=False).where("fault = 'on_cycle'").select(F.col("node_id").alias("source_id"))
-
 @add("wn3_merged_windows", "WITH v AS (SELECT DISTINCT object_id, start_us s, end_us e FROM annotation_occurrences WHERE object_type = 'Record' AND span_type = 'time_interval' AND object_id IS NOT NULL AND start_us < end_us), w AS (SELECT *, max(e) OVER (PARTITION BY object_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) r FROM v), i AS (SELECT *, sum(CASE WHEN r >= s THEN 0 ELSE 1 END) OVER (PARTITION BY object_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) g FROM w), m AS (SELECT object_id, g, min(s) s, max(e) e FROM i GROUP BY 1, 2) SELECT object_id, count(*) AS n_periods, sum(e - s)::BIGINT AS covered_us FROM m GROUP BY 1")
 def wn3(spark, d):
     from chronoloom.operators import intervals

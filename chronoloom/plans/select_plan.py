@@ -67,32 +67,6 @@ def sc7(spark, d):
     return sel.missing(asked, table(spark, d, "signals"), "signal_id")
 
 
-@add("sc8_task_table", f"WITH {_TASKS} SELECT record_id, list(task_id ORDER BY task_id) AS task_ids, list(task_type ORDER BY task_id) AS types FROM t WHERE record_id IS NOT NULL GROUP BY 1")
-def sc8(spark, d):
-    t = tasks(spark, d).where("record_id is not null")
-    a = sel.ordered_list(t, "record_id", "task_id", "task_id", "task_ids")
-    return a.join(sel.ordered_list(t, "record_id", "task_id", "task_type", "types"), "record_id")
-
-
-@add(
-    "sc9_target_table",
-    r"SELECT row_id AS task_id, CASE WHEN answer IS NULL THEN 'none' WHEN regexp_full_match(answer, '[0-9]+ ms') THEN 'integer' WHEN lower(answer) IN ('yes', 'no', 'yes.', 'no.') THEN 'boolean' ELSE 'text' END AS kind, CASE WHEN regexp_full_match(answer, '[0-9]+ ms') THEN CAST(regexp_extract(answer, '([0-9]+) ms', 1) AS BIGINT) END AS integer_value FROM cot_rows",
-)
-def sc9(spark, d):
-    a = F.col("answer")
-    whole = a.rlike(r"^[0-9]+ ms$")
-    kind = F.when(a.isNull(), "none").when(whole, "integer").when(F.lower(a).isin("yes", "no", "yes.", "no."), "boolean").otherwise("text")
-    return table(spark, d, "cot_rows").select(F.col("row_id").alias("task_id"), kind.alias("kind"), F.when(whole, F.regexp_extract(a, r"^([0-9]+) ms$", 1).try_cast("long")).alias("integer_value"))
-
-
-@add("sc10_annotation_table", "SELECT object_type, object_id, occurrence_id, row_number() OVER (PARTITION BY object_type, object_id ORDER BY occurrence_id) AS position FROM (SELECT DISTINCT object_type, object_id, occurrence_id FROM annotation_occurrences)")
-def sc10(spark, d):
-    a = table(spark, d, "annotation_occurrences").select("object_type", "object_id", "occurrence_id").distinct()
-    # the place is a count in two levels: the object with a tenth of the rows is many blocks
-    a = a.withColumn("_order", F.coalesce("occurrence_id", F.lit(1 << 62))).withColumn("_one", F.lit(1).cast("long"))
-    return prefix_sum(a, ["object_type", "object_id"], "_order", "_one", "position").withColumn("position", F.col("position") + 1).drop("_order", "_one")
-
-
 @add("fl1_split", f"WITH {_TASKS} SELECT task_id FROM t WHERE split = 'validation'")
 def fl1(spark, d):
     return sel.in_splits(tasks(spark, d), "validation", "validation").select("task_id")
@@ -145,31 +119,6 @@ def fl10(spark, d):
     return sel.search(cards, ["Ring", "SMALL"], ["p_name", "p_type"], {"p_brand": ["Brand#11", "Brand#23", "Brand#1", "Brand#2"]}).select("id", "p_name")
 
 
-@add("fl11_ambiguous_names", "WITH g AS (SELECT DISTINCT signal_id, source_id, name FROM signals), s AS (SELECT DISTINCT source_id, record_id FROM sources) SELECT record_id, name, count(*) AS n FROM g JOIN s USING (source_id) GROUP BY 1, 2 HAVING count(*) > 1")
-def fl11(spark, d):
-    g = table(spark, d, "signals").select("signal_id", "source_id", "name").distinct().join(table(spark, d, "sources").select("source_id", "record_id").distinct(), "source_id")
-    return g.groupBy("record_id", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
-@add("fl12_without_issues", f"WITH {_TASKS} SELECT task_id FROM t WHERE NOT list_has_any(modalities, ['no_input'])")
-def fl12(spark, d):
-    return tasks(spark, d).where(~F.arrays_overlap("modalities", F.array(F.lit("no_input")))).select("task_id")
-
-
-@add(
-    "fl14_span_placement",
-    """WITH o AS (SELECT DISTINCT occurrence_id, object_id, start_us, end_us FROM annotation_occurrences WHERE object_type = 'Record' AND span_type = 'time_interval' AND start_us < end_us)
-    SELECT occurrence_id, CASE WHEN r.record_id IS NULL THEN 'no_record' WHEN time_span_start_us IS NULL OR time_span_end_us IS NULL THEN 'no_window' WHEN start_us >= time_span_start_us AND end_us <= time_span_end_us THEN 'inside' ELSE 'outside' END AS place
-    FROM o LEFT JOIN records r ON r.record_id = o.object_id""",
-)
-def fl14(spark, d):
-    o = table(spark, d, "annotation_occurrences").where("object_type = 'Record' and span_type = 'time_interval' and start_us < end_us").select("occurrence_id", "object_id", "start_us", "end_us").distinct()
-    x = o.join(table(spark, d, "records"), o["object_id"] == F.col("record_id"), "left")
-    inside = (F.col("start_us") >= F.col("time_span_start_us")) & (F.col("end_us") <= F.col("time_span_end_us"))
-    place = F.when(F.col("record_id").isNull(), "no_record").when(F.col("time_span_start_us").isNull() | F.col("time_span_end_us").isNull(), "no_window").when(inside, "inside").otherwise("outside")
-    return x.select("occurrence_id", place.alias("place"))
-
-
 @add("jn1_inner", "SELECT o_orderkey, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def jn1(spark, d):
     x = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
@@ -227,24 +176,6 @@ def jn8(spark, d):
     return o.groupBy("axis_id").agg(F.count(F.lit(1)).alias("n"), F.count("t").alias("present"), F.countDistinct("t").alias("n_distinct"))
 
 
-@add("jn9_list_membership", "WITH k AS (SELECT label, list(DISTINCT vec_id % 10 ORDER BY vec_id % 10) members FROM embeddings GROUP BY 1) SELECT e.vec_id, count(*) AS n FROM embeddings e JOIN k ON list_contains(k.members, (e.label + 3) % 10) GROUP BY 1")
-def jn9(spark, d):
-    e = table(spark, d, "embeddings")
-    members = e.select("label", (F.col("vec_id") % 10).alias("m")).distinct()  # exploded, so the join is an equality
-    counts = members.groupBy("m").agg(F.countDistinct("label").alias("n"))
-    return e.select("vec_id", ((F.col("label") + 3) % 10).cast("long").alias("m")).join(counts, "m").select("vec_id", "n")
-
-
-@add("jn11_lookup_once", "SELECT ecg_id, count(DISTINCT patient_id) AS n_patients FROM ptbxl_recordings WHERE patient_id > 0 GROUP BY 1 HAVING count(DISTINCT patient_id) <> 1")
-def jn11(spark, d):
-    return table(spark, d, "ptbxl_recordings").where("patient_id > 0").groupBy("ecg_id").agg(F.countDistinct("patient_id").alias("n_patients")).where("n_patients <> 1")
-
-
-@add("jn12_json_key", "SELECT DISTINCT record_id, json_extract_string(metadata, '$.site') AS site FROM records")
-def jn12(spark, d):
-    return table(spark, d, "records").select("record_id", F.get_json_object("metadata", "$.site").alias("site")).distinct()
-
-
 @add("jn13_text_materialise", "WITH p AS (SELECT doc_id, text FROM documents WHERE octet_length(encode(text)) > 4096) SELECT d.doc_id, p.doc_id IS NOT NULL AS packed, md5(coalesce(p.text, d.text)) AS digest FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id")
 def jn13(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -320,20 +251,6 @@ def ag9(spark, d):
     return out
 
 
-@add("ag10_spec_conflicts", "SELECT spec_type, count(DISTINCT coalesce(unit, '-') || '/' || dtype) AS n_contracts FROM signals GROUP BY 1 HAVING count(DISTINCT coalesce(unit, '-') || '/' || dtype) > 1")
-def ag10(spark, d):
-    return table(spark, d, "signals").groupBy("spec_type").agg(F.countDistinct(F.struct(F.coalesce("unit", F.lit("-")), "dtype")).alias("n_contracts")).where("n_contracts > 1")
-
-
-@add(
-    "ag13_features",
-    "SELECT label, count(*) AS n, list_transform(range(1, 65), lambda i: round(avg_list[i], 5)) AS features FROM (SELECT label, list(m ORDER BY i) avg_list, any_value(n) FROM (SELECT label, i, avg(v::DOUBLE) m, count(*) n FROM (SELECT label, unnest(embedding) v, unnest(range(1, 65)) i FROM embeddings) GROUP BY 1, 2) GROUP BY 1) JOIN (SELECT label, count(*) c FROM embeddings GROUP BY 1) USING (label) GROUP BY ALL",
-)
-def ag13(spark, d):
-    x = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    return sel.ordered_list(x, "label", "i", "m", "f").select("label", F.lit(1).cast("long").alias("n"), F.transform("f", lambda v: F.round(v, 5)).alias("features"))
-
-
 @add("ag14_content_ids", "SELECT content_id, row_number() OVER (ORDER BY first_use) AS new_id FROM (SELECT content_id, min(occurrence_id) first_use FROM annotation_occurrences GROUP BY 1)")
 def ag14(spark, d):
     return sel.first_seen(table(spark, d, "annotation_occurrences"), ["content_id"], "occurrence_id", "new_id").select("content_id", F.col("new_id").cast("long").alias("new_id"))

@@ -160,15 +160,6 @@ def pj15(spark, d):
     return x.select("occurrence_id", F.when(whole, F.col("span.a")).alias("interval_start"), F.when(whole, F.col("span.z")).alias("interval_end"), F.when(F.col("span.kind") == "time_point", F.col("span.a")).alias("point"))
 
 
-@add(
-    "pj16_input_modalities",
-    """SELECT row_id, CASE WHEN ecg_id IS NOT NULL AND question IS NOT NULL THEN 'text,time_series' WHEN ecg_id IS NOT NULL THEN 'time_series' WHEN question IS NOT NULL THEN 'no_input,text' ELSE 'no_input' END AS modalities FROM cot_rows""",
-)
-def pj16(spark, d):
-    parts = F.array_compact(F.array(F.when(F.col("ecg_id").isNotNull(), "time_series").otherwise("no_input"), F.when(F.col("question").isNotNull(), "text")))
-    return table(spark, d, "cot_rows").select("row_id", F.concat_ws(",", F.array_sort(F.array_distinct(parts))).alias("modalities"))
-
-
 @add("pj17_units", "SELECT DISTINCT signal_id, CASE unit WHEN 'uV' THEN 'microvolt' WHEN 'mV' THEN 'millivolt' WHEN 'bpm' THEN 'beat/minute' WHEN 'degC' THEN 'degree_Celsius' WHEN 'kW' THEN 'kilowatt' WHEN '1' THEN 'dimensionless' ELSE unit END AS unit FROM signals")
 def pj17(spark, d):
     names = {"uV": "microvolt", "mV": "millivolt", "bpm": "beat/minute", "degC": "degree_Celsius", "kW": "kilowatt", "1": "dimensionless"}

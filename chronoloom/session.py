@@ -128,8 +128,8 @@ def numbered(df: DataFrame, order: list, out: str, first: int = 1) -> DataFrame:
     from pyspark.sql import Window
 
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = stage(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return rows.join(F.broadcast(sizes), "_part").withColumn(out, F.col("_base") + F.col("_at") + F.lit(first)).drop("_part", "_at", "_base")
+    rows = stage(rows.withColumn("_num_part", F.spark_partition_id()).withColumn("_num_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = rows.groupBy("_num_part").agg(F.count(F.lit(1)).alias("_num_n"))  # a row per partition
+    before = Window.orderBy("_num_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_num_part", F.coalesce(F.sum("_num_n").over(before), F.lit(0)).alias("_num_base"))
+    return rows.join(F.broadcast(sizes), "_num_part").withColumn(out, F.col("_num_base") + F.col("_num_at") + F.lit(first)).drop("_num_part", "_num_at", "_num_base")
