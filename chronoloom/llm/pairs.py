@@ -40,7 +40,7 @@ SAYS = r"(?:final answer|answer|the answer is|therefore the answer is|antwort|di
 
 _ZERO, _BLANK, _LEADS = re.compile(T.ZERO_WIDTH), re.compile(T.BLANK), re.compile(T.LEADS)
 _WORDS, _NUMBER = re.compile(r"[^\W_]+(?:['’][^\W_]+)*"), re.compile(r"[0-9]+(?:[.,][0-9]+)*")
-_NO_WORD, _NO_TEXT, _KEPT = re.compile(r"[^\w ]|_"), re.compile(r"[\W_]+"), re.compile(r"[^\w#§'’.!? ]|_")
+_NO_WORD, _KEPT = re.compile(r"[^\w ]|_"), re.compile(r"[^\w#§'’.!? ]|_")
 _LABELS, _ENDINGS, _CUT, _SAYS = re.compile(LABELS), re.compile(ENDINGS), re.compile(CUT), re.compile(SAYS)
 _EMPTY, _OPEN = frozenset(STAND_INS), frozenset(OPEN_WORDS)
 LANGUAGES = list(T.FUNCTION_WORDS)
@@ -51,6 +51,8 @@ for _i, _own in enumerate(T.FUNCTION_WORDS.values()):
 
 
 def _squeeze(text: str | None) -> str:
+    if text is None or text.isascii():
+        return " ".join(text.split()) if text else ""
     return _BLANK.sub(" ", _ZERO.sub("", text or "")).strip(" ")
 
 
@@ -108,41 +110,95 @@ def breaks_off(plain: str, low: str, rationale: bool, lowq: str, mine: list[str]
     return bool(said) and len(said) <= len(mine) and said != mine and " ".join(mine).startswith(" ".join(said)), not said
 
 
-LOOKED = "row_id long, field string, topic string, empty boolean, copy boolean, cut boolean, unsure boolean, foreign boolean, q_lang string, r_lang string, tokens array<string>, asked array<string>, w array<string>, opening array<long>, q_runs array<long>"
+LOOKED = "row_id long, field string, topic string, empty boolean, copy boolean, cut boolean, unsure boolean, foreign boolean, q_lang string, tokens array<string>, opening array<long>, q_runs array<long>, ending string, stat string, key string, a long, b long, c long"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+_COLUMNS = {k: _KINDS[t] for k, t in (x.split(" ") for x in LOOKED.split(", "))}
+
+
+class _Counts:
+    """Partial counts that leave with the responses: texts of a language that have a word (the empty word counts the texts),
+    and pairs of words before an end mark (a), at the bare end of a text (b) and inside one (c)."""
+
+    def __init__(self) -> None:
+        self.words: Counter = Counter()
+        self.marked, self.bare, self.inside = Counter(), Counter(), Counter()
+
+    def text(self, lang: str | None, tokens: list[str]) -> None:
+        if lang is not None and tokens:
+            self.words.update([(lang, w) for w in set(tokens)])
+            self.words[(lang, "")] += 1
+
+    def ends(self, w: list[str]) -> None:
+        if len(w) < 2:
+            return
+        self.words[("", "")] += 1
+        stem = [x.rstrip(".!?") for x in w]
+        last = len(w) - 1
+        for i in range(1, len(w)):
+            if w[i].endswith(".."):  # no end of a sentence, nor does the text go on
+                continue
+            k = f"{w[i - 1]} {stem[i]}"
+            (self.marked if len(stem[i]) < len(w[i]) else self.bare if i == last else self.inside)[k] += 1
+
+    def full(self) -> bool:
+        return len(self.words) + len(self.marked) + len(self.bare) + len(self.inside) > FLUSH
+
+    def out(self) -> pa.RecordBatch:
+        words, pairs = list(self.words), list({**self.marked, **self.bare, **self.inside})
+        n = len(words) + len(pairs)
+        of = lambda c: [c[k] for k in pairs]
+        made = {
+            "stat": [f"word {k[0]}" for k in words] + ["pair"] * len(pairs), "key": [k[1] for k in words] + pairs, "a": list(self.words.values()) + of(self.marked),
+            "b": [0] * len(words) + of(self.bare), "c": [0] * len(words) + of(self.inside),
+        }
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(made[k], t) if k in made else pa.nulls(n, t) for k, t in _COLUMNS.items()], names=list(_COLUMNS))
 
 
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"row_id": pa.int64(), "field": pa.string(), "topic": pa.string(), "empty": pa.bool_(), "copy": pa.bool_(), "cut": pa.bool_(), "unsure": pa.bool_(), "foreign": pa.bool_(), "q_lang": pa.string(), "r_lang": pa.string(), "tokens": pa.list_(pa.string()), "asked": pa.list_(pa.string()), "w": pa.list_(pa.string()), "opening": pa.list_(pa.int64()), "q_runs": pa.list_(pa.int64())}
+    counts = _Counts()
     for b in batches:
-        out = {k: [] for k in kinds}
+        out = {k: [] for k in _COLUMNS}
         for row_id, topic, question, *texts in zip(*[b.column(c).to_pylist() for c in ("row_id", "topic", "question", "answer", "rationale")]):
             lowq = _squeeze(question).lower()
             asked = _WORDS.findall(lowq)
             once, q_lang, lowq = set(asked), _language(_votes(asked), 1), _NO_WORD.sub("", lowq)
             q_words = _skeleton(" ".join(asked)).split()
             mine = _WORDS.findall(_squeeze(texts[0]).lower())
+            counts.text(q_lang, asked)
             for field, text in zip(("answer", "rationale"), texts):
                 plain = _squeeze(text)
                 low = plain.lower()
                 tokens = _WORDS.findall(low)
-                skeleton = _skeleton(low)
                 votes = _votes(tokens)
-                empty = low in _EMPTY or not _NO_TEXT.sub("", plain)
+                empty = low in _EMPTY or not tokens
                 copy = not empty and is_copy(low, once)
                 rationale = field == "rationale"
-                cut, unsure = (False, False) if empty or copy or not tokens else breaks_off(plain, low, rationale, lowq, mine)
+                cut, unsure = (False, False) if empty or copy else breaks_off(plain, low, rationale, lowq, mine)
+                ending = None
+                if rationale and not empty:
+                    counts.text(_language(votes, 4), tokens)
+                    if not copy:
+                        w = [x for x in _KEPT.sub("", _skeleton(low)).split(" ") if x]
+                        counts.ends(w)
+                        ending = " ".join(w[-2:]) if unsure else None
                 top = max(votes)
+                foreign = len(tokens) >= SHORT and top >= 4 and q_lang is not None and votes[LANGUAGES.index(q_lang)] < 0.6 * top
                 row = (
-                    row_id, field, topic if topic is not None else " ".join(q_words[:3]), empty, copy, cut, unsure, len(tokens) >= SHORT and top >= 4 and q_lang is not None and votes[LANGUAGES.index(q_lang)] < 0.6 * top,
-                    q_lang, _language(votes, 4), tokens, [] if rationale else asked, [x for x in _KEPT.sub("", skeleton).split(" ") if x] if rationale else [], runs(_skeleton(" ".join(tokens)).split()[:OPENING_WORDS]), [] if rationale else runs(q_words),
+                    row_id, field, topic if topic is not None else " ".join(q_words[:3]), empty, copy, cut, unsure, foreign, q_lang, tokens if len(tokens) < SHORT else [],
+                    runs(_skeleton(" ".join(tokens[:OPENING_WORDS])).split()[:OPENING_WORDS]), [] if rationale else runs(q_words), ending, None, None, None, None, None,
                 )
-                for k, v in zip(kinds, row):
+                for k, v in zip(_COLUMNS, row):
                     out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], names=list(kinds))
+        yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in _COLUMNS.items()], names=list(_COLUMNS))
+        if counts.full():
+            yield counts.out()
+    yield counts.out()
 
 
 def responses(rows: DataFrame) -> DataFrame:
-    """One row per row id and field, answer or rationale, with all that the steps below need; null row ids are left out."""
+    """One row per row id and field, answer or rationale, with all that the steps below need, and beside them (``stat`` not null)
+    partial counts of the corpus; null row ids are left out."""
     topic = F.col("question_type").cast("string") if "question_type" in rows.columns else F.lit(None).cast("string")
     r = rows.where(F.col("row_id").isNotNull()).select("row_id", topic.alias("topic"), "question", "answer", "rationale").dropDuplicates(["row_id"])
     return r.mapInArrow(_look, LOOKED)
@@ -173,31 +229,10 @@ def refusals(resp: DataFrame) -> DataFrame:
     return o.join(templates(resp), "run", "left_semi").select("row_id", "field").distinct()
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of the texts of a language that have a word; an empty word counts the texts."""
-    seen: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        keys = list(seen)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
-
-    for b in batches:
-        for texts, langs in (("tokens", "r_lang"), ("asked", "q_lang")):
-            for words, lang in zip(b.column(texts).to_pylist(), b.column(langs).to_pylist()):
-                if lang is not None and words:
-                    seen.update((lang, w) for w in set(words))
-                    seen[(lang, "")] += 1
-        if len(seen) > FLUSH:
-            yield out()
-            seen.clear()
-    yield out()
-
-
-def word_languages(resp: DataFrame, share: float = 0.9, least: int = 3) -> DataFrame:
+def word_languages(looked: DataFrame, share: float = 0.9, least: int = 3) -> DataFrame:
     """``word, lang``: words that the corpus uses in one language only, learned from questions and whole rationales."""
-    tokens = F.when(F.col("field") == "rationale", F.col("tokens")).otherwise(F.array().cast("array<string>"))
-    counts = resp.select(tokens.alias("tokens"), "r_lang", "asked", "q_lang").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("word").pivot("lang", LANGUAGES).agg(F.sum("n"))
-    counts = stage(counts.na.fill(0, LANGUAGES))
+    per = [F.sum(F.when(F.col("stat") == f"word {k}", F.col("a")).otherwise(0)).alias(k) for k in LANGUAGES]
+    counts = stage(looked.where(F.col("stat").startswith("word ")).groupBy(F.col("key").alias("word")).agg(*per))
     totals = counts.where("word = ''").head()  # one row
     rate = {k: F.col(k) / F.lit(max(1, totals[k] if totals else 0)) for k in LANGUAGES}
     best = F.coalesce(*[F.when(r >= share * sum(rate.values(), F.lit(0.0)), F.lit(k)) for k, r in rate.items()])
@@ -205,47 +240,22 @@ def word_languages(resp: DataFrame, share: float = 0.9, least: int = 3) -> DataF
     return counts.where((seen >= least) & (F.col("word") != "")).select("word", best.alias("lang")).where(F.col("lang").isNotNull() & ~F.col("word").rlike(r"^[0-9]"))
 
 
-def other_language(resp: DataFrame) -> DataFrame:
-    """``row_id, field`` of responses mostly in another language than their question."""
-    r = resp.where(F.col("q_lang").isNotNull() & (F.size("tokens") > 0))
-    short = r.where(F.size("tokens") < SHORT).select("row_id", "field", "q_lang", "tokens", F.xxhash64("tokens").alias("kind"))
+def other_language(resp: DataFrame, looked: DataFrame) -> DataFrame:
+    """``row_id, field`` of responses mostly in another language than their question. Only short ones have tokens."""
+    r = resp.where(F.col("q_lang").isNotNull())
+    short = r.where(F.size("tokens") > 0).select("row_id", "field", "q_lang", "tokens", F.xxhash64("tokens").alias("kind"))
     kinds = short.groupBy("kind").agg(F.first("tokens").alias("tokens")).select("kind", F.explode("tokens").alias("word"))
-    votes = kinds.join(stage(word_languages(resp)), "word").groupBy("kind").agg(*[F.count_if(F.col("lang") == k).alias(k) for k in LANGUAGES])
+    votes = kinds.join(stage(word_languages(looked)), "word").groupBy("kind").agg(*[F.count_if(F.col("lang") == k).alias(k) for k in LANGUAGES])
     own = F.coalesce(*[F.when(F.col("q_lang") == k, F.col(k)) for k in LANGUAGES])
     top = F.greatest(*LANGUAGES)
     return r.where("foreign").select("row_id", "field").unionByName(short.join(votes, "kind").where((top > 0) & (2 * own < top)).select("row_id", "field"))
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of pairs of words: before an end mark, at the bare end of a text, and inside one."""
-    marked, bare, inside = Counter(), Counter(), Counter()
-
-    def out() -> pa.RecordBatch:
-        keys = list({**marked, **bare, **inside})
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in (marked, bare, inside)]], names=["pair", "marked", "bare", "inside"])
-
-    for b in batches:
-        for w in b.column("w").to_pylist():
-            stem = [x.rstrip(".!?") for x in w]
-            for i in range(1, len(w)):
-                if w[i].endswith(".."):  # no end of a sentence, nor does the text go on
-                    continue
-                k = f"{w[i - 1]} {stem[i]}"
-                (marked if len(stem[i]) < len(w[i]) else bare if i == len(w) - 1 else inside)[k] += 1
-        if len(marked) + len(bare) + len(inside) > FLUSH:
-            yield out()
-            for c in (marked, bare, inside):
-                c.clear()
-    yield out()
-
-
-def truncated(resp: DataFrame) -> DataFrame:
+def truncated(resp: DataFrame, looked: DataFrame) -> DataFrame:
     """``row_id, field`` of responses that break off: surely, or ending in two words in which the corpus ends no sentence."""
-    whole = resp.where(F.size("w") > 1)
-    stats = whole.select("w").mapInArrow(_pair_counts, "pair string, marked long, bare long, inside long").groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("marked", "bare", "inside")])
-    usual = USUAL_END * whole.count()
-    pair = F.concat_ws(" ", F.expr("try_element_at(w, -2)"), F.expr("try_element_at(w, -1)"))
-    ends = resp.where("unsure").select("row_id", "field", pair.alias("pair")).join(stats, "pair", "left")
+    stats = looked.where("stat = 'pair'").groupBy(F.col("key").alias("ending")).agg(F.sum("a").alias("marked"), F.sum("b").alias("bare"), F.sum("c").alias("inside"))
+    usual = USUAL_END * (looked.where("stat = 'word ' and key = ''").agg(F.sum("a").alias("n")).head()["n"] or 0)
+    ends = resp.where("unsure").select("row_id", "field", "ending").join(stats, "ending", "left")
     ok = ((F.col("marked") > 0) & (F.col("marked") >= F.col("inside"))) | ((F.col("bare") >= usual) & (F.col("bare") >= 0.2 * F.col("inside")))
     return resp.where("cut").select("row_id", "field").unionByName(ends.where(~F.coalesce(ok, F.lit(False))).select("row_id", "field"))
 
@@ -259,11 +269,12 @@ def defects(rows: DataFrame) -> DataFrame:
     answer. ``question_type`` is the kind of question where there is one, else its first words are. Rows sent twice count
     once; an empty table gives no rows; extra columns are ignored.
     """
-    resp = stage(responses(rows))  # texts are looked at once; the steps below read columns of this table
+    looked = stage(responses(rows))  # texts are looked at once; the steps below read columns of this table
+    resp = looked.where("stat is null")
     content = resp.where(~F.col("empty") & ~F.col("copy"))
     refuse = stage(refusals(resp))
-    cut = truncated(content).join(refuse, ["row_id", "field"], "left_anti")
-    parts = {"refusal": refuse, "truncated": cut, "other_language": other_language(content)}
+    cut = truncated(content, looked).join(refuse, ["row_id", "field"], "left_anti")
+    parts = {"refusal": refuse, "truncated": cut, "other_language": other_language(content, looked)}
     out = resp.where(F.col("empty") | F.col("copy")).select("row_id", F.when(F.col("empty"), "empty").otherwise("copies_question").alias("defect"))
     for defect, part in parts.items():
         out = out.unionByName(part.select("row_id", F.lit(defect).alias("defect")))

@@ -170,6 +170,14 @@ def _logistic(score: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
+def _sums(into: np.ndarray, of: np.ndarray, value: np.ndarray, size: int, block: int = 1 << 20) -> np.ndarray:
+    """Sums of ``value[of]`` by ``into``, in blocks, so that no array as long as all features is made."""
+    out = np.zeros(size)
+    for a in range(0, len(into), block):
+        out += np.bincount(into[a : a + block], weights=value[of[a : a + block]], minlength=size)
+    return out
+
+
 def fit(flat: np.ndarray, row: np.ndarray, slot: np.ndarray, trusted: np.ndarray, doc: np.ndarray, set_off: np.ndarray, rounds: int = ROUNDS, weight: np.ndarray | None = None) -> dict[bool, tuple[np.ndarray, float]]:
     """Weights of features and the share of residue, for slots (True) and for sentences (False), by EM from positive and
     unlabelled passages.
@@ -186,25 +194,26 @@ def fit(flat: np.ndarray, row: np.ndarray, slot: np.ndarray, trusted: np.ndarray
         own = np.flatnonzero(slot == kind)
         weights, base = np.zeros(BUCKETS), FLOOR
         if len(own):
-            place = np.full(len(slot), -1)
+            place = np.full(len(slot), -1, np.int32)
             place[own] = np.arange(len(own))
-            mine = place[row] >= 0
-            f, r = flat[mine], place[row[mine]]
+            mine = (slot == kind)[row]
+            f, r = flat[mine].astype(np.int32), place[row[mine]]
+            del mine
             t, w = trusted[own], weight[own]
             _, d = np.unique(doc[own], return_inverse=True)
             p = np.where(t, 1.0, np.where(set_off[own], 0.0, START) if kind else (np.bincount(d, weights=t) / np.bincount(d))[d])
-            both = np.bincount(f, weights=w[r], minlength=BUCKETS)
+            both = _sums(f, r, w, BUCKETS)
             seen, n = both > 0, w.sum()
             common = np.where(seen, both / n, 1.0)
             for turn in range(rounds):
-                pos = np.bincount(f, weights=(p * w)[r], minlength=BUCKETS)
+                pos = _sums(f, r, p * w, BUCKETS)
                 inside, outside = (p * w).sum(), ((1 - p) * w).sum()
                 odds = np.log((pos + SMOOTH * common) / (inside + SMOOTH)) - np.log((np.maximum(both - pos, 0) + SMOOTH * common) / (outside + SMOOTH))
                 if turn == 0:  # what stands beside a trusted passage once or twice tells nothing yet
                     odds = np.minimum(odds, np.log1p(pos))
                 weights = np.where(seen, np.clip(odds, -CAP, CAP), 0.0)
                 base = float(np.clip(inside / n, FLOOR, 1 - FLOOR))
-                score = np.bincount(r, weights=weights[f], minlength=len(own)) + rest_of_document(p, d, base)
+                score = _sums(r, f, weights, len(own)) + rest_of_document(p, d, base)
                 p = np.where(t, 1.0, _logistic(score))
         models[kind] = (weights, base)
     return models
@@ -268,11 +277,11 @@ def learn(docs: DataFrame, fit_trusted: int = FIT_TRUSTED, fit_other: int = FIT_
     n = {r["sure"]: r["n"] for r in rows.select("text").mapInArrow(_strata, "sure boolean, n long").groupBy("sure").agg(F.sum("n").alias("n")).collect()}
     rate = {k: min(1.0, 0.9 * most / max(1, n.get(k) or 0)) for k, most in ((True, fit_trusted), (False, fit_other))}
     drawn = rows.mapInArrow(_sampled(rate), "doc_id long, slot boolean, trusted boolean, set_off boolean, sure boolean, feats array<int>")
-    t = drawn.where("sure").limit(fit_trusted).unionByName(drawn.where("not sure").limit(fit_other)).toArrow() if min(rate.values()) < 1 else drawn.toArrow()
+    t = (drawn.limit(fit_trusted + fit_other) if min(rate.values()) < 1 else drawn).toArrow()  # the limit makes the bound exact
     if not t.num_rows:
         return fit(np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, int), np.zeros(0, bool), 0)
     lists = t.column("feats").combine_chunks()
-    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
     slot, trusted, set_off, sure = (t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("slot", "trusted", "set_off", "sure"))
     weight = np.where(sure, 1 / rate[True], 1 / rate[False])
     return fit(lists.flatten().to_numpy(zero_copy_only=False), row, slot, trusted, t.column("doc_id").to_numpy(), set_off, rounds, weight)
