@@ -188,19 +188,14 @@ def stuck_mask(f: np.ndarray) -> np.ndarray:
     return out
 
 
-def _judge(group: pa.Table) -> pa.Table:
-    """One block of one signal: its own chunks and the halo around them."""
-    at = group.column("chunk_idx").to_numpy()
-    at, row = np.unique(at, return_index=True)  # chunks sent twice count once; in order
-    lists = group.column("values").combine_chunks().take(pa.array(row))
-    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    v = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null becomes NaN
+def _judge(at: np.ndarray, size: np.ndarray, v: np.ndarray, block: int, low: float, high: float) -> list[np.ndarray]:
+    """One block of one signal, its own chunks and the halo around them: chunk and place of the readings that are out of
+    range, spikes or stuck, and the three flags."""
     chunk = np.repeat(at, size)
     place = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
-    block, low, high = (group.column(c)[0].as_py() for c in ("block", "low", "high"))
     core = chunk // BLOCK == block
     read = ~np.isnan(v)
-    outside = read & ((v < (-np.inf if low is None else low)) | (v > (np.inf if high is None else high)) | np.isinf(v))
+    outside = read & ((v < low) | (v > high) | np.isinf(v))
     good = np.flatnonzero(read & ~outside)
     spike, stuck = np.zeros(len(v), bool), np.zeros(len(v), bool)
     if len(good) and core.any():
@@ -208,10 +203,36 @@ def _judge(group: pa.Table) -> pa.Table:
         moving = good[~stuck[good]]  # a stuck stretch says nothing of what the signal does around it
         spike[moving] = spike_mask(v[moving], ends=bool(at[-1] // BLOCK == block) and moving[-1:].tolist() == good[-1:].tolist())
     hit = core & (outside | spike | stuck)
-    return pa.table({
-        "signal": pa.array([group.column("signal")[0].as_py()] * int(hit.sum()), pa.string()), "chunk_idx": pa.array(chunk[hit], pa.int32()), "value_idx": pa.array(place[hit], pa.int32()),
-        "out_of_range": pa.array(outside[hit]), "spike": pa.array(spike[hit]), "stuck": pa.array(stuck[hit]),
-    })
+    return [chunk[hit], place[hit], outside[hit], spike[hit], stuck[hit]]
+
+
+def _judge_task(group: pa.Table) -> pa.Table:
+    """All blocks of a group in turn. Chunks sent twice count once."""
+    signal = group.column("signal").combine_chunks().dictionary_encode()
+    code, block, at = signal.indices.to_numpy(), group.column("block").to_numpy(), group.column("chunk_idx").to_numpy()
+    order = np.lexsort((at, block, code))
+    code, block, at = code[order], block[order], at[order]
+    keep = np.r_[True, (code[1:] != code[:-1]) | (block[1:] != block[:-1]) | (at[1:] != at[:-1])] if len(order) else np.zeros(0, bool)
+    order, code, block, at = order[keep], code[keep], block[keep], at[keep]
+    lists = group.column("values").combine_chunks().take(pa.array(order))
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    v = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null becomes NaN
+    bounds = [group.column(c).to_numpy()[order] for c in ("low", "high")]
+    low, high = (np.where(np.isnan(b), fill, b) for b, fill in zip(bounds, (-np.inf, np.inf)))
+    upto = np.r_[0, np.cumsum(size)]
+    first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])]) if len(code) else []
+    found, whose = [[] for _ in range(5)], []
+    for a, z in zip(first, [*first[1:], len(code)]):
+        part = _judge(at[a:z], size[a:z], v[upto[a] : upto[z]], int(block[a]), low[a], high[a])
+        whose.append(np.full(len(part[0]), code[a]))
+        for x, y in zip(found, part):
+            x.append(y)
+    chunk, place, outside, spike, stuck = (np.concatenate(x) if x else np.zeros(0) for x in found)
+    who = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(whose) if whose else np.zeros(0), pa.int32()), signal.dictionary).cast(pa.string())
+    return pa.table({"signal": who, "chunk_idx": pa.array(chunk, pa.int32()), "value_idx": pa.array(place, pa.int32()), "out_of_range": pa.array(outside, pa.bool_()), "spike": pa.array(spike, pa.bool_()), "stuck": pa.array(stuck, pa.bool_())})
+
+
+TASK_CHUNKS = 2048  #: chunks of a group, about; a block is never torn
 
 
 def implausible(shard: DataFrame, specs: DataFrame) -> DataFrame:
@@ -221,6 +242,7 @@ def implausible(shard: DataFrame, specs: DataFrame) -> DataFrame:
     signal, index or values has no readings; a spec that isn't in ``specs`` has no range. Empty tables give no rows.
     """
     s = shard.select("spec_type", "signal", "chunk_idx", "values").where(F.col("signal").isNotNull() & F.col("chunk_idx").isNotNull() & (F.size("values") > 0))
+    groups = max(1, -(-shard.count() // TASK_CHUNKS))  # from the files' footers
     k = specs.select("spec_type", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high")).dropDuplicates(["spec_type"])
     own = F.floor(F.col("chunk_idx") / BLOCK)
     within = F.col("chunk_idx") - own * BLOCK
@@ -228,4 +250,6 @@ def implausible(shard: DataFrame, specs: DataFrame) -> DataFrame:
     s = s.withColumn("block", F.explode(F.filter(blocks, lambda b: b >= 0)))
     s = s.join(F.broadcast(k), "spec_type", "left")  # the fixed table of specs, a row per spec_type
     out = "signal string, chunk_idx int, value_idx int, out_of_range boolean, spike boolean, stuck boolean"
-    return s.select("signal", "block", "chunk_idx", "values", "low", "high").groupBy("signal", "block").applyInArrow(_judge, out)
+    nan = F.lit(float("nan"))
+    s = s.select("signal", "block", "chunk_idx", "values", F.coalesce("low", nan).alias("low"), F.coalesce("high", nan).alias("high"))
+    return s.groupBy(F.pmod(F.xxhash64("signal", "block"), F.lit(groups)).alias("_group")).applyInArrow(_judge_task, out)
