@@ -40,10 +40,15 @@ def scan(c: DataFrame) -> DataFrame:
 def read_range(c: DataFrame, start: Column, stop: Column) -> DataFrame:
     """``signal_id, part, values`` of steps [start, stop), from the chunks that meet the range only, clipped. A stop past the
     end truncates; an empty range gives no row for the signal."""
-    b = with_base(c).where((start < stop) & (F.col("base") < stop) & (F.col("base") + F.col("n_values") > start))
+    return scan(cut_chunks(with_base(c).where(start < stop), start, stop))
+
+
+def cut_chunks(based: DataFrame, start: Column, stop: Column) -> DataFrame:
+    """``signal_id, chunk_idx, base, values``: the chunks that meet steps [start, stop), clipped to them."""
+    b = based.where((F.col("base") < stop) & (F.col("base") + F.col("n_values") > start))
     head = F.greatest(start - F.col("base"), F.lit(0)).cast("int")
     tail = F.least(stop - F.col("base"), F.col("n_values").cast("long")).cast("int")
-    return scan(b.select("signal_id", "chunk_idx", "base", F.slice("values", head + 1, tail - head).alias("values")))
+    return b.select("signal_id", "chunk_idx", "base", F.slice("values", head + 1, tail - head).alias("values"))
 
 
 def rechunk(c: DataFrame, size: int) -> DataFrame:

@@ -234,10 +234,12 @@ def ts3(spark, d):
     f"""WITH {_STEPS}, {_LONG} SELECT l.signal_id, count(*) AS n, round(sum(CASE WHEN isnan(value) OR abs(value) > 1e6 THEN 0 ELSE value::DOUBLE END), 2) AS total FROM lg l JOIN q USING (signal_id) WHERE step >= f AND step < t GROUP BY 1""",
 )
 def ts3_stats(spark, d):
-    where = located(spark, d).select("signal_id", "step_from", "step_to")
-    x = series.long_form(chunked(spark, d)).join(where, "signal_id").where("step >= step_from and step < step_to")
-    v = F.col("value").cast("double")
-    return x.groupBy("signal_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.when(F.isnan(v) | (F.abs(v) > 1e6), 0.0).otherwise(v)), 2).alias("total"))
+    where = located(spark, d).select("signal_id", "step_from", "step_to").where("step_from < step_to")
+    x = series.cut_chunks(series.with_base(chunked(spark, d)).join(where, "signal_id"), F.col("step_from"), F.col("step_to"))
+    usable = F.filter("values", lambda v: ~F.isnan(v) & (F.abs(v) <= 1e6))
+    total = F.aggregate(usable, F.lit(0.0), lambda a, v: a + v.cast("double"))
+    # no value becomes a row: chunks outside are left out, those at the ends are sliced, and sums are taken inside a row
+    return x.groupBy("signal_id").agg(F.sum(F.size("values").cast("long")).alias("n"), F.round(F.sum(F.when(F.exists("values", lambda v: v.isNotNull()), total)), 2).alias("total"))
 
 
 @add("ts4_slice_of_slice", f"WITH {_LONG} SELECT signal_id, count(*) AS n FROM lg WHERE step >= 60 AND step < 90 GROUP BY 1")

@@ -276,6 +276,24 @@ def test_hierarchy_of_empty_table(spark):
     assert hierarchy.resolve(spark.createDataFrame([], "source_id long, parent_source_id long")).count() == 0
 
 
+def test_hot_node_is_split_where_links_are_many(spark, monkeypatch):
+    """With staged minima the join back is one of two scans, so adaptive execution splits the hot side."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        links = spark.range(300_000).selectExpr("id * 7919 % 3000017 + 10 as u", "if(id % 3 = 0, 1, id * 104729 % 2999999 + 10) as v").where("u != v").repartition(8)
+        df = components._large(links, many=True)
+        df.write.format("noop").mode("overwrite").save()
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_components_against_union_find(spark):
     rnd = random.Random(5)
     links = [(rnd.randint(1, 400), rnd.randint(1, 400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, i) for i in range(5001, 5300)] + [(None, 3), (7, None), (9000, 9000)]
