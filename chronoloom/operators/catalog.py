@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoloom.operators import select as sel
 from chronoloom.operators.store import _fs
@@ -24,20 +24,25 @@ def parse_reference(text: str) -> tuple[str, str | None]:
 
 def versions(spark: SparkSession, roots: list[str]) -> DataFrame:
     """A row per version found in ``roots`` (source is the place in the list). Hidden and staging folders, and folders whose
-    name isn't a version, are skipped. Listing is a driver's walk over folder names and small cards."""
-    rows = []
+    name isn't a version, are skipped. All cards of a root are read by one job."""
+    found = spark.createDataFrame([], SCHEMA)
+    card = "name string, description string, tags array<string>, domain string, license string"
+    number = r"(0|[1-9]\d*)"
     for i, root in enumerate(roots):
-        fs, p = _fs(spark, root)
-        for org in fs.listStatus(p) if fs.exists(p) else []:
-            for name in fs.listStatus(org.getPath()) if org.isDirectory() and not org.getPath().getName().startswith(".") else []:
-                for v in fs.listStatus(name.getPath()) if name.isDirectory() and not name.getPath().getName().startswith(".") else []:
-                    m = re.fullmatch(r"(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)", v.getPath().getName())
-                    if not m:
-                        continue
-                    path = v.getPath().toString()
-                    card = json.loads(spark.read.text(f"{path}/card.json", wholetext=True).head()[0])
-                    rows.append((f"{org.getPath().getName()}/{name.getPath().getName()}", i, *map(int, m.groups()), path, card.get("name"), card.get("description"), card.get("tags", []), card.get("domain"), card.get("license")))
-    return spark.createDataFrame(rows, SCHEMA)
+        pattern = f"{root.rstrip('/')}/*/*/*/card.json"
+        fs, p = _fs(spark, pattern)
+        if not fs.globStatus(p):
+            continue
+        rows = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", card).alias("c"))
+        at = rf"/([^./][^/]*)/([^./][^/]*)/{number}\.{number}\.{number}/card\.json$"
+        part = [F.regexp_extract("file", at, k) for k in range(1, 6)]
+        found = found.unionByName(
+            rows.where(F.col("file").rlike(at)).select(
+                F.concat_ws("/", *part[:2]).alias("id"), F.lit(i).alias("source"), *[x.cast("int").alias(n) for n, x in zip(("major", "minor", "patch"), part[2:])], F.regexp_replace("file", r"/card\.json$", "").alias("path"),
+                "c.name", "c.description", F.coalesce("c.tags", F.array().cast("array<string>")).alias("tags"), "c.domain", "c.license",
+            )
+        )
+    return found
 
 
 def newest(found: DataFrame) -> DataFrame:
@@ -48,8 +53,6 @@ def search(found: DataFrame, query: list[str] | None = None, domains: list[str]
     """Newest versions that match: any term in name, description or tags; any domain; any license; all tags."""
     any_of = {k: v for k, v in (("domain", domains), ("license", licenses)) if v}
     cards = newest(found)
-    from pyspark.sql import functions as F
-
     cards = cards.withColumn("_text", F.concat_ws(" ", "name", "description", F.concat_ws(" ", "tags")))
     return sel.search(cards, query, ["_text"], any_of, {"tags": tags} if tags else None, "id", limit).drop("_text")
 

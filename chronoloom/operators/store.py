@@ -96,15 +96,16 @@ def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
 
 
 def _encodings(batches):
-    import io
-
     import pyarrow as pa
     import pyarrow.parquet as pq
+    from pyarrow.fs import FileSystem
 
     for b in batches:
         file, column, encoding = [], [], []
-        for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-            meta = pq.ParquetFile(io.BytesIO(content)).metadata
+        for path in b.column("path").to_pylist():
+            where, at = FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+            with where.open_input_file(at) as f:
+                meta = pq.read_metadata(f)  # the footer only
             for g in range(meta.num_row_groups):
                 for c in range(meta.num_columns):
                     x = meta.row_group(g).column(c)
@@ -114,7 +115,7 @@ def _encodings(batches):
 
 def applied_encodings(spark: SparkSession, path: str) -> DataFrame:
     """``file, column, encodings`` of every column chunk, read from the files' footers where the files are."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
     return files.mapInArrow(_encodings, "file string, column string, encodings array<string>")
 
 
@@ -207,3 +208,14 @@ def copy_version(spark: SparkSession, source: str, target: str) -> bool:
     card.pop("counts")
     write_version(tables, target, card)
     return True
+
+
+def copy_release(spark: SparkSession, source: str, root: str) -> list[str]:
+    """Copy a version and every version that its card names as ``base``, the oldest first, to ``root/org/name/version``; what is
+    complete there is left alone. Gives the paths that were written."""
+    chain, at = [], source.rstrip("/")
+    while at and at not in chain:
+        chain.append(at)
+        at = json.loads(spark.read.text(f"{at}/card.json", wholetext=True).head()[0]).get("base")
+    targets = [f"{root}/{'/'.join(p.split('/')[-3:])}" for p in chain]
+    return [t for p, t in reversed(list(zip(chain, targets))) if copy_version(spark, p, t)]

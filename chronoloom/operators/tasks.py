@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.session import numbered
+
 
 def references(refs: DataFrame, key: str = "task_id", value: str = "record_id", position: str = "position") -> DataFrame:
     """Each reference of a task once, at its first position."""
@@ -49,7 +51,7 @@ def add_batch(held: DataFrame, batch: DataFrame, rules: DataFrame, key: str) ->
     if first:
         raise ValueError(f"the batch is refused: {first[0].asDict()}")
     last = held.agg(F.coalesce(F.max(key), F.lit(0)).alias("m")).head()["m"]
-    fresh = batch.withColumn(key, (F.row_number().over(Window.orderBy("position")) + F.lit(last)).cast("long")).drop("position")
+    fresh = numbered(batch, ["position"], key, last + 1).withColumn(key, F.col(key).cast("long")).drop("position")
     return held.unionByName(fresh, allowMissingColumns=True)
 
 

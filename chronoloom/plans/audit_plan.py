@@ -253,7 +253,3 @@ def sm39(spark, d):
     return cards.orderBy("dataset_id")
 
 
-@add("ext_stratified_groups", "SELECT DISTINCT patient_id, count(*) OVER (PARTITION BY patient_id) AS n FROM ptbxl_recordings WHERE patient_id > 0")
-def ext_groups(spark, d):
-    """Sizes of the groups that a group-isolated split must keep whole."""
-    return table(spark, d, "ptbxl_recordings").where("patient_id > 0").groupBy("patient_id").agg(F.count(F.lit(1)).alias("n"))

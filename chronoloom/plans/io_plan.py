@@ -127,13 +127,6 @@ def fl13(spark, d):
     r.unionByName(head).unionByName(head).coalesce(1).write.csv(path, header=True)
     return readers.read_csv(spark, path, "r_regionkey long, r_name string", drop_repeated_header=True)
 
-@add("sc27_in_memory", "SELECT * FROM (VALUES (1::BIGINT, 0::INT, 1.5::DOUBLE), (1, 1, 2.5), (2, 0, NULL)) v(signal_id, step, value)")
-def sc27(spark, d):
-    import pyarrow as pa
-
-    t = pa.table({"signal_id": pa.array([1, 2], pa.int64()), "values": pa.array([[1.5, 2.5], [None]], pa.list_(pa.float64()))})
-    return spark.createDataFrame(t).select("signal_id", F.posexplode("values").alias("step", "value"))
-
 @add("au7_imported_exists", "SELECT record_id + 7 AS object_id, count(*) AS n FROM records WHERE record_id + 7 NOT IN (SELECT record_id FROM records) GROUP BY 1")
 def au7(spark, d):
     r = table(spark, d, "records")
@@ -179,12 +172,6 @@ def sm14(spark, d):
     windows = targets.distinct().withColumn("start_us", F.lit(0)).withColumn("end_us", F.lit(100))
     return tk.annotate(targets, contents, windows).select("object_id", "content_id")
 
-@add("sm15_add_batch", "SELECT record_id FROM records UNION ALL SELECT (SELECT max(record_id) FROM records) + v.k FROM (VALUES (1), (2), (3)) v(k)")
-def sm15(spark, d):
-    held = table(spark, d, "records").select("record_id")
-    batch = spark.createDataFrame([(10,), (5,), (7,)], "position int")
-    return tk.add_batch(held, batch, audit.repeated_keys(batch, "position"), "record_id")
-
 @add("sm16_stream_ids", "SELECT row_id, 700 + row_number() OVER (ORDER BY row_id) AS task_id FROM cot_rows")
 def sm16(spark, d):
     return tk.stream_ids(table(spark, d, "cot_rows").select("row_id"), "row_id", 700, block=500).select("row_id", F.col("task_id").cast("long").alias("task_id"))
@@ -216,13 +203,6 @@ def ext_reach(spark, d):
     start = table(spark, d, "cot_rows").where("ecg_id % 60 = 0").select(F.col("row_id").alias("node"))
     return graph.reachable(start, links(spark, d))
 
-@add("ext_salted_counts", "SELECT object_type, object_id, count(*) AS n, round(avg(confidence), 5) AS mean FROM annotation_occurrences GROUP BY 1, 2")
-def ext_salted(spark, d):
-    """Counts and means by a skewed key. Partial sums are combined before the exchange, so the hot key needs no salt."""
-    return table(spark, d, "annotation_occurrences").groupBy("object_type", "object_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 5).alias("mean"))
-
-
-
 _WAVE = "SELECT 'I' AS label, i::INT AS step, round(round(1000 * sin(i * 2 * pi() / 16)) / 1000, 4) + 0.0 AS value FROM range(512) t(i)"
 
 
@@ -273,9 +253,3 @@ def sk12(spark, d):
     return per.agg((F.max("n") <= 500).alias("bounded"), F.sum("n").alias("n"))
 
 
-@add("sk13_copied_version", "SELECT count(*) AS n FROM records")
-def sk13(spark, d):
-    root = scratch(spark)
-    store.write_version({"records": table(spark, d, "records")}, f"{root}/a/set/1.0.0", {"name": "Set"})
-    store.copy_version(spark, f"{root}/a/set/1.0.0", f"{root}/b/set/1.0.0")
-    return store.open_version(spark, f"{root}/b/set/1.0.0")[0]["records"].agg(F.count(F.lit(1)).alias("n"))

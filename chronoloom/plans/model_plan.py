@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronoloom.operators import audit, edit, features, hierarchy, model, series, store
+from chronoloom.functions import units
+from chronoloom.operators import audit, edit, features, graph, hierarchy, model, series, store
 from chronoloom.operators import select as sel
 from chronoloom.operators import tasks as tk
 from chronoloom.plans.audit_plan import _GONE, _LINKS, links, old_patients, references
@@ -12,6 +13,7 @@ from chronoloom.plans.registry import Registry
 from chronoloom.plans.select_plan import _TASKS, tasks
 from chronoloom.plans.series_plan import _CHUNK, _PLACED, _off, chunked, placed
 from chronoloom.session import scratch, stage, table
+from chronoloom.sources import memory, readers
 
 model_plan = Registry()
 add = model_plan.add
@@ -513,3 +515,130 @@ def sm38(spark, d):
     p = table(spark, d, "customer").select(F.concat(F.lit("org/"), F.lower("c_mktsegment")).alias("id"), folder.alias("folder"))
     v = p.where(F.col("folder").rlike(r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)$")).withColumn("n", F.split("folder", r"\.").cast("array<int>"))
     return sel.newest(v.select("id", F.col("n")[0].alias("major"), F.col("n")[1].alias("minor"), F.col("n")[2].alias("patch")).distinct(), "id", ["major", "minor", "patch"])
+
+
+# sources, sinks and projections
+
+@add("pj17_units", "SELECT DISTINCT signal_id, CASE unit WHEN 'uV' THEN 'microvolt' WHEN 'mV' THEN 'millivolt' WHEN 'bpm' THEN 'beat/minute' WHEN 'degC' THEN 'degree_Celsius' WHEN 'kW' THEN 'kilowatt' WHEN '1' THEN 'dimensionless' WHEN 'm/s^2' THEN 'metre/second^2' ELSE unit END AS unit FROM signals")
+def pj17(spark, d):
+    return table(spark, d, "signals").select("signal_id", units.normal_unit(F.col("unit")).alias("unit")).distinct()
+
+
+_LEVEL = "CASE source WHEN 'incident_log' THEN 3 WHEN 'qa_thread' THEN 2 WHEN 'recording_note' THEN 1 ELSE 0 END"
+
+
+@add("pj19_effective_access", f"WITH a AS (SELECT dataset_id, split_part(dataset_id, '/', 1) AS org, max({_LEVEL}) AS own FROM documents WHERE dataset_id IS NOT NULL GROUP BY 1) SELECT dataset_id, own, max(own) OVER (PARTITION BY org ORDER BY dataset_id) AS effective FROM a")
+def pj19(spark, d):
+    """Strictness of a dataset's own card, and of all it derives from (here each dataset of an organisation from the one before)."""
+    from pyspark.sql import Window
+
+    strict = F.when(F.col("source") == "incident_log", 3).when(F.col("source") == "qa_thread", 2).when(F.col("source") == "recording_note", 1).otherwise(0)
+    a = table(spark, d, "documents").where("dataset_id is not null").groupBy("dataset_id").agg(F.max(strict).alias("own"))
+    w = Window.partitionBy(F.split_part("dataset_id", F.lit("/"), F.lit(1))).orderBy("dataset_id")
+    lineage = a.select(F.col("dataset_id").alias("u"), F.lag("dataset_id").over(w).alias("v")).where("v is not null")
+    above = graph.closure(lineage).join(a.select(F.col("dataset_id").alias("v"), F.col("own").alias("_o")), "v").groupBy(F.col("u").alias("dataset_id")).agg(F.max("_o").alias("_m"))
+    return a.join(above, "dataset_id", "left").select("dataset_id", "own", F.greatest("own", F.coalesce("_m", "own")).alias("effective"))
+
+
+@add("sc27_in_memory", "SELECT vec_id AS signal_id, 'regular' AS kind, len(embedding)::BIGINT AS n_values, 0::BIGINT AS start_us, len(embedding)::BIGINT * 4000 AS end_us, (len(embedding) + 23) // 24 AS n_chunks FROM embeddings UNION ALL SELECT vec_id, 'irregular', len(embedding)::BIGINT, vec_id, vec_id + (len(embedding) - 1) * 10 + 1, (len(embedding) + 23) // 24 FROM embeddings")
+def sc27(spark, d):
+    """Signals made from values at hand: on a regular axis, on an irregular one, with what they cover and their chunks."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("signal_id"), F.col("embedding").alias("values"))
+    offsets = F.transform(F.sequence(F.lit(0), F.size("values") - 1), lambda i: F.col("signal_id") + i * 10)
+    out = None
+    for kind, (signals, axes, chunks) in (("regular", memory.from_loader(e, lambda keys: e.join(keys, "signal_id", "left_semi"), 4000)), ("irregular", memory.from_irregular(e.withColumn("offsets", offsets), 24))):
+        if kind == "regular":
+            signals, axes, chunks = memory.from_values(e, 4000, chunk=24)
+            axes = axes.withColumn("first_us", F.lit(None).cast("long")).withColumn("last_us", F.lit(None).cast("long"))
+        else:
+            axes = axes.withColumns({c: F.lit(None).cast("long") for c in ("start_index", "period_numerator_us", "period_denominator", "offset_us")})
+        n = chunks.groupBy("signal_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+        part = series.spans(signals.join(axes, "axis_id")).join(signals, "signal_id").join(n, "signal_id").select("signal_id", F.lit(kind).alias("kind"), "n_values", "start_us", "end_us", "n_chunks")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _png(width, height, channels):
+    """A test image: every cell is (7x + 13y + 31c) mod 256; lines use the five filters in turn."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    x = np.add.outer(13 * np.arange(height), 7 * np.arange(width))[..., None] + 31 * np.arange(channels)
+    px = (x % 256).astype(int).reshape(height, -1)
+    lines = b""
+    for y in range(height):
+        a = np.r_[np.zeros(channels, int), px[y][:-channels]]
+        b = px[y - 1] if y else np.zeros_like(px[y])
+        c = np.r_[np.zeros(channels, int), b[:-channels]]
+        p = a + b - c
+        near = np.where((abs(p - a) <= abs(p - b)) & (abs(p - a) <= abs(p - c)), a, np.where(abs(p - b) <= abs(p - c), b, c))
+        kind = y % 5
+        lines += bytes([kind]) + ((px[y] - [0, a, b, (a + b) // 2, near][kind]) % 256).astype(np.uint8).tobytes()
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+@add("sc23_images", "SELECT k.channels, (i // k.channels // 11)::INT AS y, (i // k.channels % 11)::INT AS x, (i % k.channels)::INT AS c, ((7 * (i // k.channels % 11) + 13 * (i // k.channels // 11) + 31 * (i % k.channels)) % 256)::SMALLINT AS value FROM (VALUES (3), (4)) k(channels), LATERAL (SELECT unnest(range(0, 11 * 9 * k.channels)) AS i)")
+def sc23(spark, d):
+    """Two images, RGB and RGBA, written and read back as tensors."""
+    folder = scratch(spark)
+    for channels in (3, 4):
+        store.write_bytes(spark, f"{folder}/{channels}.png", _png(11, 9, channels))
+    rows = readers.read_images(spark, folder).select(F.col("shape")[2].alias("channels"), F.col("shape")[1].alias("w"), F.posexplode("values").alias("i", "value"))
+    cell = F.floor(F.col("i") / F.col("channels"))
+    return rows.select("channels", F.floor(cell / F.col("w")).cast("int").alias("y"), (cell % F.col("w")).cast("int").alias("x"), (F.col("i") % F.col("channels")).alias("c"), "value")
+
+
+@add("sk9_control_sink", "SELECT false AS left_behind, count(*) AS n FROM records")
+def sk9(spark, d):
+    """A write that fails half way leaves nothing; the next one is whole."""
+    path = f"{scratch(spark)}/org/set/1.0.0"
+    good = table(spark, d, "records").select("record_id")
+    bad = good.withColumn("x", F.when(F.col("record_id") >= 0, F.raise_error(F.lit("broken row"))).otherwise(F.lit(1)))
+    try:
+        store.write_version({"records": good, "broken": bad}, path, {"name": "Set"})
+    except Exception:  # noqa: BLE001 - the failure is what is tested
+        pass
+    left = store.exists(spark, path) or store.exists(spark, f"{path}/records")
+    store.write_version({"records": good}, path, {"name": "Set"})
+    return store.open_version(spark, path)[0]["records"].agg(F.count(F.lit(1)).alias("n")).select(F.lit(left).alias("left_behind"), "n")
+
+
+@add("sk13_copied_release", "SELECT 2 AS copied, 0 AS again, count(*) AS n FROM records WHERE record_id % 4 <> 0")
+def sk13(spark, d):
+    """An edited version is copied with the one that it was made from; copying again does nothing."""
+    root = scratch(spark)
+    r = table(spark, d, "records").select("record_id")
+    store.write_version({"records": r}, f"{root}/a/org/set/1.0.0", {"name": "Set"})
+    store.write_version({"records": r.where("record_id % 4 <> 0")}, f"{root}/a/org/set/1.1.0", {"name": "Set", "base": f"{root}/a/org/set/1.0.0"})
+    copied, again = (len(store.copy_release(spark, f"{root}/a/org/set/1.1.0", f"{root}/b")) for _ in range(2))
+    n = store.open_version(spark, f"{root}/b/org/set/1.1.0")[0]["records"].agg(F.count(F.lit(1)).alias("n"))
+    return n.select(F.lit(copied).alias("copied"), F.lit(again).alias("again"), "n")
+
+
+@add("sm15_add_batch", "SELECT row_id, (SELECT max(record_id) FROM records) + row_number() OVER (ORDER BY row_id) AS task_id FROM cot_rows WHERE question IS NOT NULL")
+def sm15(spark, d):
+    """Rows are registered as tasks, all or none: ids follow the highest held one once the rules hold."""
+    held = table(spark, d, "records").select(F.lit(None).cast("long").alias("row_id"), F.col("record_id").alias("task_id"))
+    batch = table(spark, d, "cot_rows").where("question is not null").select("row_id", F.col("row_id").alias("position"), "question").dropDuplicates(["row_id"])
+    rules = audit.breaking(batch, "row_id", {"prompt": F.col("question").isNotNull(), "id": F.col("row_id") > 0})
+    return tk.add_batch(held, batch.drop("question"), rules, "task_id").where("row_id is not null")
+
+
+@add("ext_skewed_counts", "SELECT object_type, object_id, count(*) AS n, round(avg(confidence), 5) AS mean FROM annotation_occurrences GROUP BY 1, 2")
+def ext_skewed(spark, d):
+    """Counts and means by a skewed key. Partial sums are combined before the exchange, so the hot key needs no salt."""
+    return table(spark, d, "annotation_occurrences").groupBy("object_type", "object_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 5).alias("mean"))
+
+
+@add("ext_group_folds", "SELECT count(DISTINCT patient_id) AS n_groups, 0::BIGINT AS torn, 5::BIGINT AS folds FROM ptbxl_recordings WHERE patient_id > 0")
+def ext_folds(spark, d):
+    """Folds that keep the recordings of a patient together."""
+    f = features.group_folds(table(spark, d, "ptbxl_recordings").where("patient_id > 0"), "patient_id", 5)
+    per = f.groupBy("patient_id").agg(F.min("fold").alias("a"), F.max("fold").alias("z"))
+    return per.agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("a") != F.col("z")).alias("torn"), F.count_distinct("a").alias("folds"))

@@ -160,13 +160,6 @@ def pj15(spark, d):
     return x.select("occurrence_id", F.when(whole, F.col("span.a")).alias("interval_start"), F.when(whole, F.col("span.z")).alias("interval_end"), F.when(F.col("span.kind") == "time_point", F.col("span.a")).alias("point"))
 
 
-@add("pj17_units", "SELECT DISTINCT signal_id, CASE unit WHEN 'uV' THEN 'microvolt' WHEN 'mV' THEN 'millivolt' WHEN 'bpm' THEN 'beat/minute' WHEN 'degC' THEN 'degree_Celsius' WHEN 'kW' THEN 'kilowatt' WHEN '1' THEN 'dimensionless' ELSE unit END AS unit FROM signals")
-def pj17(spark, d):
-    names = {"uV": "microvolt", "mV": "millivolt", "bpm": "beat/minute", "degC": "degree_Celsius", "kW": "kilowatt", "1": "dimensionless"}
-    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    return table(spark, d, "signals").select("signal_id", F.coalesce(F.try_element_at(known, F.col("unit")), F.col("unit")).alias("unit")).distinct()
-
-
 @add("pj18_clock_wrap", "SELECT event_id, (((value * 1000)::BIGINT - (epoch_us(ts) // 1000000) % 86400) % 86400 + 86400) % 86400 AS seconds FROM events")
 def pj18(spark, d):
     later = F.bround(F.col("value") * 1000).cast("long")
@@ -174,12 +167,6 @@ def pj18(spark, d):
     return table(spark, d, "events").select("event_id", tl.clock_wrap(later, now).alias("seconds"))
 
 
-@add("pj19_effective_access", "SELECT dataset_id, max(CASE source WHEN 'incident_log' THEN 3 WHEN 'qa_thread' THEN 2 WHEN 'recording_note' THEN 1 ELSE 0 END) AS level FROM documents WHERE dataset_id IS NOT NULL GROUP BY 1")
-def pj19(spark, d):
-    strict = F.when(F.col("source") == "incident_log", 3).when(F.col("source") == "qa_thread", 2).when(F.col("source") == "recording_note", 1).otherwise(0)
-    return table(spark, d, "documents").where("dataset_id is not null").groupBy("dataset_id").agg(F.max(strict).alias("level"))
-
-
 @add("pj20_exclusive_end", "SELECT DISTINCT occurrence_id, CASE WHEN span_type = 'time_point' THEN start_us + 1 WHEN span_type IN ('time_interval', 'step_interval') THEN end_us END AS end_us FROM annotation_occurrences")
 def pj20(spark, d):
     a = table(spark, d, "annotation_occurrences")

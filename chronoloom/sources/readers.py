@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,3 +166,68 @@ def read_wfdb(spark: SparkSession, folder: str) -> DataFrame:
     heads = read("hea").select(stem(F.col("path"), "hea").alias("path"), F.decode("content", "UTF-8").alias("header"))
     data = read("dat").select(stem(F.col("path"), "dat").alias("path"), "content")
     return heads.join(data, "path").mapInPandas(_wfdb, "path string, label string, unit string, rate_hz double, values array<float>")
+
+
+def decode_png(content: bytes):
+    """Pixels of an 8-bit PNG without interlacing as height x width x 3 or 4 (grey becomes RGB), turned as its EXIF tag says."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    if content[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG file")
+    at, body, head, turn = 8, b"", None, 1
+    while at < len(content):
+        (n,) = struct.unpack(">I", content[at : at + 4])
+        kind, data = content[at + 4 : at + 8], content[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", data)
+        elif kind == b"IDAT":
+            body += data
+        elif kind == b"eXIf":
+            order = "<" if data[:2] == b"II" else ">"
+            first = struct.unpack(order + "I", data[4:8])[0]
+            for k in range(struct.unpack(order + "H", data[first : first + 2])[0]):
+                tag, _, _, value = struct.unpack(order + "HHIH", data[first + 2 + 12 * k : first + 12 + 12 * k])
+                turn = value if tag == 0x0112 else turn
+        at += 12 + n
+    width, height, depth, colour, _, _, interlace = head
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
+    if depth != 8 or channels is None or interlace:
+        raise ValueError("only 8-bit grey, RGB and RGBA without interlacing can be read")
+    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * channels)
+    out = np.zeros((height, width * channels), np.uint8)
+    before = np.zeros(width * channels, np.int64)
+    for y in range(height):
+        kind, line = raw[y, 0], raw[y, 1:].astype(np.int64)
+        if kind == 2:
+            line = (line + before) & 255
+        elif kind in (1, 3, 4):
+            for x in range(len(line)):
+                a = line[x - channels] if x >= channels else 0
+                b, c = before[x], before[x - channels] if x >= channels else 0
+                p = a + b - c
+                near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                line[x] = (line[x] + (a if kind == 1 else (a + b) // 2 if kind == 3 else near)) & 255
+        out[y], before = line, line
+    pixels = out.reshape(height, width, channels)
+    if channels < 3:  # grey, with or without transparency
+        pixels = np.concatenate([np.repeat(pixels[..., :1], 3, axis=2), *([pixels[..., 1:]] if channels == 2 else [])], axis=2)
+    if turn in (2, 4, 5, 7):
+        pixels = pixels[:, ::-1]
+    return np.ascontiguousarray(np.rot90(pixels, {3: 2, 4: 2, 5: 1, 6: 3, 7: 3, 8: 1}.get(turn, 0)))
+
+
+def _images(batches):
+    for b in batches:
+        path, shape, values = [], [], []
+        for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+            x = decode_png(c)
+            path.append(p), shape.append(list(x.shape)), values.append(x.reshape(-1).astype("int16"))
+        yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(shape, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int16()))], names=["path", "shape", "values"])
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """``path, shape, values``: PNG images as one step each, height x width x channels in row order."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_images, "path string, shape array<int>, values array<short>")

@@ -90,3 +90,43 @@ def test_sections_and_shapes(spark):
     assert nd.head()["nd"][1][2] == [20, 21, 22, 23]
     flat, whole = store.flatten_nd(F.col("nd"), [2, 3, 4])
     assert nd.select(flat.alias("f"), whole.alias("w")).head() == (list(range(24)), True)
+
+
+def test_units_by_their_parts(spark):
+    from chronoloom.functions.units import normal_unit
+
+    u = ["mV", "m/s^2", "kW", "m", "Hz", "mm", "1", "bpm", "furlong", None, "uV/s"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(u)], "i int, u string").select(normal_unit(F.col("u")).alias("n"), "i").orderBy("i").select("n").collect()]
+    assert got == ["millivolt", "metre/second^2", "kilowatt", "metre", "hertz", "millimetre", "dimensionless", "beat/minute", "furlong", None, "microvolt/second"]
+
+
+def test_irregular_series_need_offsets_in_order(spark):
+    import pytest
+
+    from chronoloom.sources import memory
+
+    ok = spark.createDataFrame([(1, [0, 5, 5], [1.0, 2.0, None]), (2, [], [])], "signal_id long, offsets array<long>, values array<double>")
+    signals, axes, chunks = memory.from_irregular(ok, chunk=2)
+    assert rows(signals.select("signal_id", "n_values")) == [(1, 3), (2, 0)] and rows(chunks.select("signal_id", "chunk_idx", "n_values")) == [(1, 0, 2), (1, 1, 1)]
+    for bad in ([0, 5], [5, 4, 6], [0, None, 3]):
+        with pytest.raises(ValueError, match="offset"):
+            memory.from_irregular(spark.createDataFrame([(1, bad, [1.0, 2.0, 3.0])], ok.schema))
+
+
+def test_images_are_turned_and_grey_becomes_rgb():
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from chronoloom.sources.readers import decode_png
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", 0)
+
+    px = np.arange(6, dtype=np.uint8).reshape(2, 3)
+    body = b"".join(b"\x00" + line.tobytes() for line in px)
+    tag = b"MM\x00*" + struct.pack(">I", 8) + struct.pack(">H", 1) + struct.pack(">HHIHH", 0x0112, 3, 1, 6, 0) + b"\x00" * 4
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 0, 0, 0, 0)) + chunk(b"eXIf", tag) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+    out = decode_png(png)
+    assert out.shape == (3, 2, 3) and out[..., 0].tolist() == [[3, 0], [4, 1], [5, 2]]
