@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from chronoloom.session import numbered
 
 
+MOST_CONTENTS = 10_000  #: contents that are attached to every target at once
+
+
 def references(refs: DataFrame, key: str = "task_id", value: str = "record_id", position: str = "position") -> DataFrame:
     """Each reference of a task once, at its first position."""
     return refs.groupBy(key, value).agg(F.min(position).alias(position))
@@ -36,8 +39,10 @@ def annotate(targets: DataFrame, contents: DataFrame, windows: DataFrame, key: s
     ``contents`` is the fixed list of what is attached (``content_id, start_us, end_us``); ``windows`` has ``start_us, end_us``
     by target.
     """
+    if contents.limit(MOST_CONTENTS + 1).count() > MOST_CONTENTS:
+        raise ValueError(f"more than {MOST_CONTENTS} contents for every target")
     w = windows.select(key, F.col("start_us").alias("_ws"), F.col("end_us").alias("_we"))
-    rows = targets.select(key).distinct().join(w, key, "left").crossJoin(F.broadcast(contents))  # contents: a few rows given by the caller
+    rows = targets.select(key).distinct().join(w, key, "left").crossJoin(F.broadcast(contents))  # at most MOST_CONTENTS rows
     bad = rows.where(F.col("start_us").isNotNull() & ~F.coalesce((F.col("start_us") >= F.col("_ws")) & (F.col("end_us") <= F.col("_we")), F.lit(False)))
     if bad.limit(1).count():
         raise ValueError("a span lies outside its target's window; nothing is attached")
