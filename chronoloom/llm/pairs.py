@@ -79,7 +79,7 @@ def runs(words: list[str], n: int = SHINGLE) -> list[int]:
     return list(dict.fromkeys(xxhash.xxh64_intdigest(" ".join(words[i : i + n])) - (1 << 63) for i in range(len(words) - n + 1)))
 
 
-def is_copy(low: str, asked: set[str]) -> bool:
+def is_copy(low: str, asked: frozenset[str] | set[str]) -> bool:
     """The words of the response are those of the question, whatever their case, spacing, marks, repetition or label."""
     own = set(_WORDS.findall(_LABELS.sub("", low)))
     both = len(own & asked)
@@ -132,13 +132,12 @@ class _Counts:
         if len(w) < 2:
             return
         self.words[("", "")] += 1
-        stem = [x.rstrip(".!?") for x in w]
-        last = len(w) - 1
-        for i in range(1, len(w)):
-            if w[i].endswith(".."):  # no end of a sentence, nor does the text go on
-                continue
-            k = f"{w[i - 1]} {stem[i]}"
-            (self.marked if len(stem[i]) < len(w[i]) else self.bare if i == last else self.inside)[k] += 1
+        inside = [f"{a} {b}" for a, b in zip(w, w[1:]) if b[-1] not in ".!?"]
+        if w[-1][-1] not in ".!?":
+            self.bare[inside.pop()] += 1
+        self.inside.update(inside)
+        # dots are no end of a sentence, nor does the text go on there
+        self.marked.update([f"{a} {b.rstrip('.!?')}" for a, b in zip(w, w[1:]) if b[-1] in ".!?" and not b.endswith("..")])
 
     def full(self) -> bool:
         return len(self.words) + len(self.marked) + len(self.bare) + len(self.inside) > FLUSH
@@ -155,22 +154,49 @@ class _Counts:
         return pa.RecordBatch.from_arrays([pa.array(made[k], t) if k in made else pa.nulls(n, t) for k, t in _COLUMNS.items()], names=list(_COLUMNS))
 
 
+def _question(text: str | None) -> tuple[list[str], frozenset[str], str | None, str, list[int], str]:
+    """Words, distinct words, language, bare text, runs, and first words of a question."""
+    low = _squeeze(text).lower()
+    asked = _WORDS.findall(low)
+    q_words = _skeleton(" ".join(asked)).split()
+    return asked, frozenset(asked), _language(_votes(asked), 1), _NO_WORD.sub("", low), runs(q_words), " ".join(q_words[:3])
+
+
+def _response(text: str | None) -> tuple[str, str, list[str], list[int], list[int]]:
+    """Plain and lower-case text, words, votes of languages, and runs of the opening."""
+    plain = _squeeze(text)
+    low = plain.lower()
+    tokens = _WORDS.findall(low)
+    return plain, low, tokens, _votes(tokens), runs(_skeleton(" ".join(tokens[:OPENING_WORDS])).split()[:OPENING_WORDS])
+
+
+class _Known:
+    """What ``make`` gives for short texts, which recur; long ones are looked at anew."""
+
+    def __init__(self, make, most: int = 20_000, chars: int = 160) -> None:
+        self.make, self.most, self.chars, self.held = make, most, chars, {}
+
+    def __call__(self, text: str | None):
+        if text is not None and len(text) > self.chars:
+            return self.make(text)
+        out = self.held.get(text)
+        if out is None:
+            if len(self.held) >= self.most:
+                self.held.clear()
+            out = self.held[text] = self.make(text)
+        return out
+
+
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = _Counts()
+    counts, of_question, of_response = _Counts(), _Known(_question), _Known(_response)
     for b in batches:
         out = {k: [] for k in _COLUMNS}
         for row_id, topic, question, *texts in zip(*[b.column(c).to_pylist() for c in ("row_id", "topic", "question", "answer", "rationale")]):
-            lowq = _squeeze(question).lower()
-            asked = _WORDS.findall(lowq)
-            once, q_lang, lowq = set(asked), _language(_votes(asked), 1), _NO_WORD.sub("", lowq)
-            q_words = _skeleton(" ".join(asked)).split()
-            mine = _WORDS.findall(_squeeze(texts[0]).lower())
+            asked, once, q_lang, lowq, q_runs, first = of_question(question)
+            mine = of_response(texts[0])[2]
             counts.text(q_lang, asked)
             for field, text in zip(("answer", "rationale"), texts):
-                plain = _squeeze(text)
-                low = plain.lower()
-                tokens = _WORDS.findall(low)
-                votes = _votes(tokens)
+                plain, low, tokens, votes, opening = of_response(text)
                 empty = low in _EMPTY or not tokens
                 copy = not empty and is_copy(low, once)
                 rationale = field == "rationale"
@@ -185,8 +211,8 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 top = max(votes)
                 foreign = len(tokens) >= SHORT and top >= 4 and q_lang is not None and votes[LANGUAGES.index(q_lang)] < 0.6 * top
                 row = (
-                    row_id, field, topic if topic is not None else " ".join(q_words[:3]), empty, copy, cut, unsure, foreign, q_lang, tokens if len(tokens) < SHORT else [],
-                    runs(_skeleton(" ".join(tokens[:OPENING_WORDS])).split()[:OPENING_WORDS]), [] if rationale else runs(q_words), ending, None, None, None, None, None,
+                    row_id, field, topic if topic is not None else first, empty, copy, cut, unsure, foreign, q_lang, tokens if len(tokens) < SHORT else [],
+                    opening, [] if rationale else q_runs, ending, None, None, None, None, None,
                 )
                 for k, v in zip(_COLUMNS, row):
                     out[k].append(v)
